@@ -1,0 +1,34 @@
+"""Every registered query against its SQL twin."""
+
+from __future__ import annotations
+
+import os
+
+import pytest
+
+import __spark_entry__ as registry
+from tests.compare import difference, duck
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+NAMES = sorted(registry.queries())
+
+
+@pytest.fixture(scope="module")
+def con():
+    return duck(SF_DIR)
+
+
+def test_every_query_has_a_twin():
+    assert set(registry.oracle_sql()) == set(NAMES)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query_matches_sql(spark, con, name):
+    df = registry.queries()[name](spark, SF_DIR)
+    assert difference(df, con, registry.oracle_sql()[name]) == ""
+
+
+def test_entry(spark):
+    df = registry.entry(spark)
+    assert df.count() == 8
+    assert df.columns[0] == "segment"

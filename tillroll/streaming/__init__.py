@@ -1,0 +1 @@
+"""Intentionally empty: every load is a full batch replace, so there is nothing to stream."""
