@@ -22,8 +22,9 @@ PRODUCT_CODE_DIGITS = 5
 
 def clean_customer_id(value: Column) -> Column:
     """Stripped id text without one trailing ``.0``; blank and NULL become NULL."""
-    text = F.nullif(F.btrim(value.cast("string"), F.lit(WHITESPACE)), F.lit(""))
-    return F.when(text.endswith(".0"), F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
+    text = F.btrim(value.cast("string"), F.lit(WHITESPACE))
+    without_fraction = F.substring(text, F.lit(1), F.length(text) - 2)
+    return F.when(text == "", None).when(text.endswith(".0"), without_fraction).otherwise(text)
 
 
 def text_or(value: Column, default: str) -> Column:

@@ -24,7 +24,7 @@ def _position(key: Column, tie: Column) -> Column:
 
 
 def tile_cuts(df: DataFrame, keys: dict[str, Column], tie: str, tiles: int) -> DataFrame:
-    """One row, ``cuts``: score name -> the last position of each of its tiles but the last one.
+    """One row, ``cuts``: per score name, the last position of each of its tiles but the last one.
 
     ``keys`` maps a score name to its ascending numeric sort key. All scores share one range
     shuffle: the score name leads the sort order. ``tie`` must be unique within ``df``.
@@ -56,26 +56,30 @@ def tile_cuts(df: DataFrame, keys: dict[str, Column], tie: str, tiles: int) -> D
     )
     wanted = placed.select("score", "part", offsets.alias("offsets")).filter(F.size("offsets") > 0)
 
+    def cut_points(score: str) -> Column:
+        return F.sort_array(F.collect_list(F.when(F.col("score") == score, F.col("pos"))))
+
     # At most (tiles - 1) partitions per score hold a cut, so `wanted` has a fixed size bound.
     in_part = Window.partitionBy("score", "part").orderBy("pos")
     return (
         positions.join(F.broadcast(wanted), ["score", "part"])
         .withColumn("i", F.row_number().over(in_part).cast("bigint"))
         .filter(F.array_contains("offsets", F.col("i")))
-        .groupBy("score")
-        .agg(F.sort_array(F.collect_list("pos")).alias("points"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("score", "points"))).alias("cuts"))
+        .agg(F.struct(*[cut_points(score).alias(score) for score in keys]).alias("cuts"))
     )
 
 
 def with_tiles(df: DataFrame, keys: dict[str, Column], tie: str, tiles: int) -> DataFrame:
     """Add one 1-based NTILE column per entry of ``keys``, each ordered by (key, tie)."""
-    cuts = tile_cuts(df, keys, tie, tiles).scalar()
 
     def tile(score: str, key: Column) -> Column:
-        points = F.try_element_at(cuts, F.lit(score))
+        points = F.col("_cuts").getField(score)
         here = _position(key, F.col(tie))
         past = [F.when(here > F.get(points, F.lit(i)), 1).otherwise(0) for i in range(tiles - 1)]
         return sum(past, F.lit(1)).cast("bigint")
 
-    return df.withColumns({score: tile(score, key) for score, key in keys.items()})
+    return (
+        df.withColumn("_cuts", tile_cuts(df, keys, tie, tiles).scalar())
+        .withColumns({score: tile(score, key) for score, key in keys.items()})
+        .drop("_cuts")
+    )

@@ -7,7 +7,6 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from tillroll.functions.columns import month, ratio
-from tillroll.operators.distinct import distinct_counts
 from tillroll.operators.shares import with_share
 
 OUTLIER_Z = 3
@@ -29,17 +28,22 @@ def _product_sales(fct_sales: DataFrame) -> DataFrame:
 
 
 def q2_monthly_revenue(fct_sales: DataFrame) -> DataFrame:
-    """Orders, active customers and net product revenue per month."""
-    lines = _product_sales(fct_sales).select(
-        month(F.col("invoice_date")).alias("month"), "invoice_no", "customer_sk", "line_revenue"
+    """Orders, active customers and net product revenue per month.
+
+    Lines collapse to (day, invoice, customer) first, so the exact distinct counts copy order-grain
+    rows instead of lines and days are named by month after the collapse.
+    """
+    orders = (
+        _product_sales(fct_sales)
+        .groupBy("invoice_date", "invoice_no", "customer_sk")
+        .agg(F.sum("line_revenue").alias("revenue"))
     )
-    months = distinct_counts(
-        lines,
-        "month",
-        count={"invoice_no": "orders", "customer_sk": "active_customers"},
-        sums={"line_revenue": "net_revenue_gbp"},
+    months = orders.groupBy(month(F.col("invoice_date")).alias("month")).agg(
+        F.count_distinct("invoice_no").alias("orders"),
+        F.count_distinct("customer_sk").alias("active_customers"),
+        F.round(F.sum("revenue"), 2).alias("net_revenue_gbp"),
     )
-    return months.withColumn("net_revenue_gbp", F.round("net_revenue_gbp", 2)).orderBy("month")
+    return months.orderBy("month")
 
 
 def monthly_trend(fct_sales: DataFrame) -> DataFrame:

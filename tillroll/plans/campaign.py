@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tillroll.functions.columns import ratio
 from tillroll.plans.marts import dim_customer
 from tillroll.plans.rfm import as_of_date, rfm, winback_customers
+from tillroll.sources.scratch import hold
 
 # Campaign terms (fixed values).
 HOLDOUT_PCT = 20
@@ -33,9 +34,10 @@ def winback_holdout(rfm: DataFrame, salt: str = SALT, control_pct: int = HOLDOUT
     )
 
 
-def scores_on(stg: DataFrame, as_of: date) -> DataFrame:
-    """RFM as it stood on ``as_of``: later lines do not exist yet."""
-    return rfm(dim_customer(stg.filter(F.col("invoice_date") <= F.lit(as_of))), as_of)
+def scores_on(parts: DataFrame, as_of: date) -> DataFrame:
+    """RFM as it stood on ``as_of``: later lines do not exist yet. ``parts`` are the order parts."""
+    customers = hold(dim_customer(parts.filter(F.col("invoice_date") <= F.lit(as_of))), "customers-then")
+    return hold(rfm(customers, as_of), "scores-then")
 
 
 def winback_outcome(

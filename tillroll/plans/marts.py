@@ -1,7 +1,7 @@
-"""Dimensions and facts, each computed from staging alone.
+"""Dimensions and facts, each computed from staging.
 
-Every aggregation runs in two steps: lines are first counted per (key, value) with map-side
-combining, which also spreads a hot key over its values, and only those small groups are brought
+Every aggregation runs in two steps: lines are first combined per (key, value), which collapses most
+of them before the shuffle and spreads a hot key over its values, and only those groups are brought
 together per key.
 """
 
@@ -13,30 +13,46 @@ from tillroll.functions.columns import UNKNOWN_DESCRIPTION, most_frequent, surro
 from tillroll.schemas import conform
 
 
-def dim_customer(stg: DataFrame) -> DataFrame:
+def order_parts(stg: DataFrame) -> DataFrame:
+    """Staging rolled up to what an order consists of: the shared input of the customer dimension
+    and the order fact, so that lines are shuffled once for both.
+
+    One row per (invoice, day, customer, country, product-or-service). All running values are
+    fixed-width, which keeps this a hash aggregation.
+    """
+    return stg.groupBy("invoice_no", "invoice_date", "customer_id", "country", "is_service_line").agg(
+        F.min("invoice_ts").alias("invoice_ts"),
+        F.count("*").alias("n_lines"),
+        F.sum("quantity").alias("n_units"),
+        F.sum("line_revenue").alias("revenue"),
+        F.max("is_cancellation").alias("is_cancellation"),
+    )
+
+
+def dim_customer(parts: DataFrame) -> DataFrame:
     """One row per numeric customer id; purchase figures cover product lines only.
 
-    Grouping sets count the lines of each (customer, invoice) and each (customer, country) pair in
-    one pass, so the distinct orders and the modal country need neither a second scan nor a join.
-    Customers seen only on service lines keep zero orders and revenue and NULL dates.
+    Grouping sets add up each (customer, invoice) and each (customer, country) pair in one pass, so
+    the distinct orders and the modal country need neither a second scan nor a join. Customers seen
+    only on service lines keep zero orders and revenue and NULL dates.
     """
     product = ~F.col("is_service_line")
     pairs = (
-        stg.filter(F.col("customer_id").isNotNull())
+        parts.filter(F.col("customer_id").isNotNull())
         .groupingSets(
             [["customer_id", "invoice_no"], ["customer_id", "country"]], "customer_id", "invoice_no", "country"
         )
         .agg(
             (F.grouping("country") == 1).alias("per_invoice"),
-            F.count("*").alias("n_lines"),
-            F.count_if(product).alias("n_product_lines"),
+            F.sum("n_lines").alias("n_lines"),
+            F.max(product).alias("has_product"),
             F.min(F.when(product, F.col("invoice_date"))).alias("first_date"),
             F.max(F.when(product, F.col("invoice_date"))).alias("last_date"),
-            F.sum(F.when(product, F.col("line_revenue"))).alias("revenue"),
+            F.sum(F.when(product, F.col("revenue"))).alias("revenue"),
         )
     )
     per_invoice = F.col("per_invoice")
-    bought = per_invoice & F.col("invoice_no").isNotNull() & (F.col("n_product_lines") > 0)
+    bought = per_invoice & F.col("invoice_no").isNotNull() & F.col("has_product")
     customers = pairs.groupBy("customer_id").agg(
         most_frequent(F.col("country"), F.col("n_lines"), where=~per_invoice).alias("primary_country"),
         F.min("first_date").alias("first_purchase_date"),
@@ -78,22 +94,16 @@ def fct_sales(stg: DataFrame) -> DataFrame:
     return conform(keyed, "fct_sales")
 
 
-def fct_orders(stg: DataFrame) -> DataFrame:
-    """One row per invoice. The first step keeps all running values fixed-width (hash aggregation)."""
-    parts = stg.groupBy("invoice_no", "customer_id", "country").agg(
-        F.min("invoice_ts").alias("invoice_ts"),
-        F.count("*").alias("n_lines"),
-        F.sum("quantity").alias("n_units"),
-        F.sum("line_revenue").alias("order_revenue"),
-        F.max("is_cancellation").alias("is_cancellation"),
-    )
+def fct_orders(parts: DataFrame) -> DataFrame:
+    """One row per invoice."""
     orders = parts.groupBy("invoice_no").agg(
         F.max(surrogate_key(F.col("customer_id"))).alias("customer_sk"),
-        F.min("country").alias("country"),
+        F.min("invoice_date").alias("invoice_date"),
         F.min("invoice_ts").alias("invoice_ts"),
+        F.min("country").alias("country"),
         F.sum("n_lines").alias("n_lines"),
         F.sum("n_units").alias("n_units"),
-        F.sum("order_revenue").alias("order_revenue"),
+        F.sum("revenue").alias("order_revenue"),
         F.max("is_cancellation").alias("is_cancellation"),
     )
-    return conform(orders.withColumn("invoice_date", F.to_date("invoice_ts")), "fct_orders")
+    return conform(orders, "fct_orders")

@@ -194,15 +194,18 @@ def dq_null_rate(raw: DataFrame, rates: Mapping[str, tuple[float, float]] = USUA
         "nonpositive_quantity": F.col("quantity") <= 0,
     }
     shares = raw.agg(*[ratio(F.count_if(defects[d]), F.count("*"), 6).alias(d) for d in rates])
-    limits = F.create_map(*[F.lit(v) for d, (usual, stray) in rates.items() for v in (d, f"{usual};{stray}")])
-    long = shares.unpivot([], list(rates), "metric", "observed")
-    limit = F.split(F.element_at(limits, F.col("metric")), ";")
-    return long.select(
-        "metric",
-        "observed",
-        limit[0].cast("double").alias("expected"),
-        limit[1].cast("double").alias("tolerance"),
-    ).withColumn("passed", F.abs(F.col("observed") - F.col("expected")) <= F.col("tolerance"))
+    rows = [
+        F.struct(
+            F.lit(d).alias("metric"),
+            F.col(d).alias("observed"),
+            F.lit(float(usual)).alias("expected"),
+            F.lit(float(stray)).alias("tolerance"),
+        )
+        for d, (usual, stray) in rates.items()
+    ]
+    return shares.select(F.inline(F.array(*rows))).withColumn(
+        "passed", F.abs(F.col("observed") - F.col("expected")) <= F.col("tolerance")
+    )
 
 
 def dq_metric_anomaly(raw: DataFrame, trailing: int = 6, z_limit: float = 3.0) -> DataFrame:

@@ -5,23 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 from threading import RLock
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from tillroll.plans import analytics, marts, quality, rfm as scoring, staging
-from tillroll.schemas import require_contract
+from tillroll.schemas import CONTRACTS, require_contract
 from tillroll.sources.scratch import hold
 from tillroll.sources.sinks import read_table_files, save_table, write_metrics, write_table_files
 
 # Every model and the table it is built from, in build order.
 MODELS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "stg": ("raw", staging.stg_lines),
-    "dim_customer": ("stg", marts.dim_customer),
+    "order_parts": ("stg", marts.order_parts),
+    "dim_customer": ("order_parts", marts.dim_customer),
     "dim_product": ("stg", marts.dim_product),
     "fct_sales": ("stg", marts.fct_sales),
-    "fct_orders": ("stg", marts.fct_orders),
+    "fct_orders": ("order_parts", marts.fct_orders),
     "rfm": ("dim_customer", scoring.rfm),
 }
-TABLES = ["raw", *MODELS]
+
+# An intermediate roll-up, not part of the published schema.
+INTERNAL = {"order_parts"}
+TABLES = ["raw", *[name for name in MODELS if name not in INTERNAL]]
 
 # Pure per-row projections: reading their parent again is cheaper than a second copy of every line.
 VIEWS = {"fct_sales"}
@@ -39,6 +43,13 @@ class Warehouse(Mapping[str, DataFrame]):
         self._built: dict[str, DataFrame] = {}
         self._lock = RLock()
 
+    @classmethod
+    def over(cls, raw: DataFrame) -> Warehouse:
+        """The tables of a raw table that has already landed."""
+        warehouse = cls(lambda: raw)
+        warehouse._built["raw"] = require_contract(raw, "raw")
+        return warehouse
+
     def __getitem__(self, name: str) -> DataFrame:
         with self._lock:
             if name not in self._built:
@@ -59,41 +70,38 @@ class Warehouse(Mapping[str, DataFrame]):
         return table if name in VIEWS else hold(table, name)
 
 
-def rebuild(raw: DataFrame) -> dict[str, DataFrame]:
-    """Every table but raw as a lazy plan over ``raw``; nothing is written."""
-    tables = {"raw": raw}
-    for name, (parent, model) in MODELS.items():
-        tables[name] = model(tables[parent])
-    return {name: table for name, table in tables.items() if name != "raw"}
-
-
 def publish_files(raw: DataFrame, path: str) -> dict[str, DataFrame]:
-    """Write every table under ``path``, replacing what is there; each model reads its written parent."""
+    """Write every table under ``path``, replacing what is there; models read their written parent."""
     spark = raw.sparkSession
-    tables: dict[str, DataFrame] = {}
-    for name in TABLES:
-        parent, model = MODELS.get(name, (None, None))
-        table = require_contract(raw, "raw") if parent is None else model(tables[parent])
+
+    def publish(name: str, table: DataFrame) -> DataFrame:
         write_table_files(table, name, f"{path}/{name}")
-        tables[name] = read_table_files(spark, name, f"{path}/{name}")
-    return tables
+        return read_table_files(spark, name, f"{path}/{name}")
 
+    return _publish(raw, publish)
 
-def publish_catalog(
-    spark: SparkSession, raw: DataFrame, database: str, staging_as_view: bool = False
-) -> None:
+
+def publish_catalog(raw: DataFrame, database: str, staging_as_view: bool = False) -> dict[str, DataFrame]:
     """Save every table in ``database``; staging may stay a temporary view instead of a table."""
+    spark = raw.sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    save_table(require_contract(raw, "raw"), "raw", database)
-    tables = {"raw": spark.table(f"{database}.raw")}
-    for name, (parent, model) in MODELS.items():
-        table = model(tables[parent])
+
+    def publish(name: str, table: DataFrame) -> DataFrame:
         if name == "stg" and staging_as_view:
             table.createOrReplaceTempView("stg")
-            tables[name] = table
-            continue
+            return table
         save_table(table, name, database)
-        tables[name] = spark.table(f"{database}.{name}")
+        return spark.table(f"{database}.{name}").select(*CONTRACTS[name].names)
+
+    return _publish(raw, publish)
+
+
+def _publish(raw: DataFrame, publish: Callable[[str, DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    tables = {"raw": publish("raw", require_contract(raw, "raw"))}
+    for name, (parent, model) in MODELS.items():
+        table = model(tables[parent])
+        tables[name] = hold(table, name) if name in INTERNAL else publish(name, table)
+    return {name: tables[name] for name in TABLES}
 
 
 def write_analysis(tables: Mapping[str, DataFrame], path: str) -> None:

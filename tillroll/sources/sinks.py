@@ -41,7 +41,7 @@ def write_table_files(df: DataFrame, name: str, path: str) -> None:
 
 def read_table_files(spark: SparkSession, name: str, path: str) -> DataFrame:
     """The table written by :func:`write_table_files`, in contract column order."""
-    schema = StructType(CONTRACTS[name].fields)
+    schema = StructType(list(CONTRACTS[name].fields))
     if name == "raw":
         schema = schema.add(RAW_DAY, "date")
     return spark.read.schema(schema).parquet(path).select(*CONTRACTS[name].names)

@@ -32,11 +32,12 @@ def star_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+    # Small tables first: lines are shuffled for their order and their part only.
+    buyers = table("customer").join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = table("orders").join(buyers, F.col("o_custkey") == F.col("c_custkey"))
     lines = (
         table("lineitem")
-        .join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
     )
     order, buyer, part = F.col("o_orderkey"), F.col("o_custkey"), F.col("l_partkey")
