@@ -155,9 +155,9 @@ def test_publish_files_twice_is_idempotent(spark, tmp_path):
     assert all(quality.dq_assertions(first).toPandas().passed)
     again = publish_files(raw, str(tmp_path / "two"))
     assert all(r.identical for r in quality.rebuild_idempotent(first, again).collect())
-    publish_files(raw, str(tmp_path / "one"))
-    assert first["stg"].count() == 4
-    for name, table in first.items():
+    replaced = publish_files(raw, str(tmp_path / "one"))
+    assert replaced["stg"].count() == 4
+    for name, table in replaced.items():
         assert table.schema == CONTRACTS[name]
 
 
