@@ -28,6 +28,14 @@ def test_query_matches_sql(spark, con, name):
     assert difference(df, con, registry.oracle_sql()[name]) == ""
 
 
+def test_comparison_notices_differences(spark, con):
+    df = registry.queries()["repeat_rate"](spark, SF_DIR)
+    statement = registry.oracle_sql()["repeat_rate"]
+    assert "rows" in difference(df, con, statement.replace(">= 2", ">= 3"))
+    assert "columns" in difference(df, con, statement.replace("AS buyers", "AS customers"))
+    assert "types" in difference(df, con, statement.replace("count(*) AS buyers", "count(*)::DOUBLE AS buyers"))
+
+
 def test_entry(spark):
     df = registry.entry(spark)
     assert df.count() == 8
