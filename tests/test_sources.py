@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import LOADED_AT, raw_frame
+from tillroll.__main__ import main
 from tillroll.plans import quality
-from tillroll.plans.warehouse import TABLES, Warehouse, publish_catalog, publish_files, write_analysis
+from tillroll.plans.warehouse import TABLES, publish_catalog, publish_files
 from tillroll.schemas import CONTRACTS, ContractError, require_contract
 from tillroll.sources.scratch import scratch_root
 from tillroll.sources.sheets import land, read_csv_sheet, read_parquet_sheet
@@ -179,12 +180,22 @@ def test_publish_catalog_with_staging_view(spark):
     spark.sql("DROP DATABASE tillroll_test CASCADE")
 
 
-def test_analysis_document(spark, tmp_path):
-    warehouse = Warehouse.over(small_raw(spark))
-    write_analysis(warehouse, str(tmp_path))
-    totals = json.loads("".join(p.read_text() for p in (tmp_path / "totals").glob("*.json")))
-    assert totals["known_customers"] == 2 and totals["net_product_revenue"] == 4
-    assert (tmp_path / "segments").exists()
+def test_whole_run(spark, tmp_path):
+    """The command line lands sheets, publishes tables, writes the results and reports the checks."""
+    write_csv(tmp_path / "a.csv", [line(1), line(1), line(2, **{"Customer ID": "8"})])
+    write_csv(tmp_path / "b.csv", [line(3, StockCode="POST", **{"Customer ID": ""})])
+    sheets = [f"A={tmp_path}/a.csv", f"B={tmp_path}/b.csv"]
+    assert main([*sheets, "--out", str(tmp_path / "out"), "--start-date", "2010-01-01"]) == 0
+    assert spark.read.parquet(str(tmp_path / "out" / "fct_sales")).count() == 3
+
+    def document(name):
+        parts = sorted((tmp_path / "out" / "analysis" / name).glob("*.json"))
+        return [json.loads(text) for part in parts for text in part.read_text().splitlines()]
+
+    assert document("totals")[0]["known_customers"] == 2
+    assert document("monthly_revenue")[0] | {"orders": 2, "net_revenue_gbp": 10.2} == document("monthly_revenue")[0]
+    assert all(check["passed"] for check in document("assertions"))
+    assert len(document("top_customers")) == 2
 
 
 def test_scratch_follows_the_session(spark):

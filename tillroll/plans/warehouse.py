@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from datetime import date
 from threading import RLock
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from tillroll.plans import analytics, marts, quality, rfm as scoring, staging
 from tillroll.schemas import CONTRACTS, require_contract
 from tillroll.sources.scratch import hold
-from tillroll.sources.sinks import read_table_files, save_table, write_metrics, write_table_files
+from tillroll.sources.sinks import read_table_files, save_table, write_table_files
 
 # Every model and the table it is built from, in build order.
 MODELS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
@@ -104,18 +105,20 @@ def _publish(raw: DataFrame, publish: Callable[[str, DataFrame], DataFrame]) ->
     return {name: tables[name] for name in TABLES}
 
 
-def write_analysis(tables: Mapping[str, DataFrame], path: str) -> None:
-    """The analysis document: segments, totals, repeat rate, concentration and win-back target."""
-    rfm, customers, sales = tables["rfm"], tables["dim_customer"], tables["fct_sales"]
-    write_metrics(
-        {
-            "segments": scoring.rfm_segments(rfm),
-            "totals": scoring.headline_totals(customers, rfm, sales),
-            "repeat": scoring.repeat_rate(customers),
-            "pareto": scoring.pareto_top20(rfm),
-            "winback_target": scoring.winback_target(rfm),
-            "monthly": analytics.q2_monthly_revenue(sales),
-            "assertions": quality.dq_assertions(tables),
-        },
-        path,
-    )
+def analysis(tables: Mapping[str, DataFrame], start_date: date) -> dict[str, DataFrame]:
+    """Every result set of a run by name; ``start_date`` opens the best-seller period."""
+    customers, products = tables["dim_customer"], tables["dim_product"]
+    sales, orders, rfm = tables["fct_sales"], tables["fct_orders"], tables["rfm"]
+    return {
+        "assertions": quality.dq_assertions(tables),
+        "top_customers": analytics.q1_top_customers(customers),
+        "monthly_revenue": analytics.q2_monthly_revenue(sales),
+        "outlier_orders": analytics.q3_outlier_orders(orders),
+        "country_revenue": analytics.q4_country_revenue(orders),
+        "top_products": analytics.q5_top_products(sales, products, start_date),
+        "segments": scoring.rfm_segments(rfm),
+        "totals": scoring.headline_totals(customers, rfm, sales),
+        "repeat": scoring.repeat_rate(customers),
+        "pareto": scoring.pareto_top20(rfm),
+        "winback_target": scoring.winback_target(rfm),
+    }
