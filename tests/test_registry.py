@@ -28,6 +28,26 @@ def test_query_matches_sql(spark, con, name):
     assert difference(df, con, registry.oracle_sql()[name]) == ""
 
 
+# Known sizes of the smallest data set (fixed values).
+ROWS = {"raw": 6106, "stg": 6000, "dim_customer": 148, "dim_product": 197, "fct_orders": 1473, "rfm": 143}
+SEGMENTS = {
+    "Champions": 31,
+    "Loyal": 31,
+    "At Risk": 21,
+    "Cannot Lose Them": 2,
+    "New / Promising": 15,
+    "Potential Loyalist": 10,
+    "Hibernating": 10,
+    "Lost": 23,
+}
+
+
+def test_known_sizes(spark):
+    tables = registry.warehouse(spark, "/root/testdata/sf0.001")
+    assert {name: tables[name].count() for name in ROWS} == ROWS
+    assert {r.segment: r["count"] for r in tables["rfm"].groupBy("segment").count().collect()} == SEGMENTS
+
+
 def test_comparison_notices_differences(spark, con):
     df = registry.queries()["repeat_rate"](spark, SF_DIR)
     statement = registry.oracle_sql()["repeat_rate"]

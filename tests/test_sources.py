@@ -198,6 +198,14 @@ def test_whole_run(spark, tmp_path):
     assert len(document("top_customers")) == 2
 
 
+def test_failed_assertion_sets_the_exit_code(spark, tmp_path, monkeypatch):
+    write_csv(tmp_path / "a.csv", [line(1)])
+    failing = spark.range(1).select(F.lit("a check").alias("check"), F.lit(False).alias("passed"))
+    monkeypatch.setattr("tillroll.__main__.analysis", lambda tables, start: {"assertions": failing})
+    out = str(tmp_path / "out")
+    assert main([f"A={tmp_path}/a.csv", "--out", out, "--start-date", "2010-01-01"]) == 2
+
+
 def test_scratch_follows_the_session(spark):
     class Session:
         def __init__(self, **settings):

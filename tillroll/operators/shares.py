@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tillroll.functions.columns import ratio
 
 
-def with_share(groups: DataFrame, value: str, name: str, digits: int) -> DataFrame:
-    """Add ``name``: the percentage of the sum of ``value`` over all of ``groups``.
+def total_of(df: DataFrame, value: str | Column) -> Column:
+    """The sum of ``value`` over ``df`` as a scalar subquery."""
+    return df.agg(F.sum(value)).scalar()
 
-    The total is a scalar subquery over the same grouped rows, so Spark reuses their shuffle and
-    no window has to bring every group into one task.
+
+def with_share(groups: DataFrame, value: str, total: Column, name: str, digits: int) -> DataFrame:
+    """Add ``name``: ``value`` as a percentage of ``total``.
+
+    A scalar total replaces a window over all groups, which would bring them into one task. Take it
+    from the rows below the groups where that needs no shuffle; where it must follow a join, take it
+    from the groups themselves, and Spark reuses their shuffle.
     """
-    total = groups.agg(F.sum(value)).scalar()
     return groups.withColumn(name, ratio(F.col(value), total, digits, scale=100))

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from tillroll.functions.columns import month, ratio
-from tillroll.operators.shares import with_share
+from tillroll.operators.shares import total_of, with_share
 
 OUTLIER_Z = 3
 
@@ -55,7 +55,7 @@ def monthly_trend(fct_sales: DataFrame) -> DataFrame:
 
 def q3_outlier_orders(fct_orders: DataFrame, k: int = 20) -> DataFrame:
     """Unusually large orders: more than three standard deviations above the mean positive order."""
-    orders = fct_orders.filter(~F.col("is_cancellation") & (F.col("order_revenue") > 0))
+    orders = _standing_orders(fct_orders).filter(F.col("order_revenue") > 0)
     value = F.col("order_revenue").cast("double")
     spread = orders.agg(F.struct(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))).scalar()
     z = F.try_divide(value - spread.getField("mean"), spread.getField("sd"))
@@ -74,6 +74,10 @@ def q3_outlier_orders(fct_orders: DataFrame, k: int = 20) -> DataFrame:
     )
 
 
+def _standing_orders(fct_orders: DataFrame) -> DataFrame:
+    return fct_orders.filter(~F.col("is_cancellation"))
+
+
 def _country_totals(fct_orders: DataFrame) -> DataFrame:
     """Orders, customers and exact revenue of the non-cancelled orders per country.
 
@@ -81,7 +85,7 @@ def _country_totals(fct_orders: DataFrame) -> DataFrame:
     collapsed first, per (country, customer), which also spreads a dominant country.
     """
     pairs = (
-        fct_orders.filter(~F.col("is_cancellation"))
+        _standing_orders(fct_orders)
         .groupBy("country", "customer_sk")
         .agg(F.count("invoice_no").alias("n"), F.sum("order_revenue").alias("revenue"))
     )
@@ -94,7 +98,8 @@ def _country_totals(fct_orders: DataFrame) -> DataFrame:
 
 def q4_country_revenue(fct_orders: DataFrame, k: int = 15) -> DataFrame:
     """Ship-to countries by revenue (service lines included), with their share of all revenue."""
-    shared = with_share(_country_totals(fct_orders), "_revenue", "pct_of_total", 2)
+    total = total_of(_standing_orders(fct_orders), "order_revenue")
+    shared = with_share(_country_totals(fct_orders), "_revenue", total, "pct_of_total", 2)
     ranked = shared.withColumn("net_revenue_gbp", F.round("_revenue", 2))
     top = ranked.orderBy(F.desc("net_revenue_gbp"), "country").limit(k)
     return top.select("country", "orders", "customers", "net_revenue_gbp", "pct_of_total")
@@ -103,7 +108,7 @@ def q4_country_revenue(fct_orders: DataFrame, k: int = 15) -> DataFrame:
 def geo_top_k(fct_orders: DataFrame, k: int = 12) -> DataFrame:
     """Ship-to countries by revenue, as the explorer and the dashboard show them."""
     totals = (
-        fct_orders.filter(~F.col("is_cancellation"))
+        _standing_orders(fct_orders)
         .groupBy("country")
         .agg(F.count("invoice_no").alias("orders"), F.round(F.sum("order_revenue"), 0).alias("net_revenue"))
     )
@@ -128,7 +133,7 @@ def q5_top_products(
 ) -> DataFrame:
     """Best-selling descriptions since ``start_date`` and their share of that period's revenue."""
     totals = _description_totals(fct_sales, dim_product, start_date)
-    shared = with_share(totals, "_revenue", "pct_of_period_revenue", 2)
+    shared = with_share(totals, "_revenue", total_of(totals, "_revenue"), "pct_of_period_revenue", 2)
     ranked = shared.withColumn("net_revenue_gbp", F.round("_revenue", 2))
     top = ranked.orderBy(F.desc("net_revenue_gbp"), "description").limit(k)
     return top.select("description", "net_revenue_gbp", "pct_of_period_revenue")
@@ -142,7 +147,7 @@ def top_products_all_time(fct_sales: DataFrame, dim_product: DataFrame, k: int =
 
 def kpi_row(dim_customer: DataFrame, fct_orders: DataFrame, fct_sales: DataFrame) -> DataFrame:
     """Known customers, non-cancelled orders and net product revenue, in one row."""
-    orders = fct_orders.filter(~F.col("is_cancellation")).agg(F.count("*"))
+    orders = _standing_orders(fct_orders).agg(F.count("*"))
     return (
         _product_sales(fct_sales)
         .agg(F.sum("line_revenue").alias("net_revenue"))
@@ -156,9 +161,7 @@ def kpi_row(dim_customer: DataFrame, fct_orders: DataFrame, fct_sales: DataFrame
 
 def order_count_distribution(dim_customer: DataFrame) -> DataFrame:
     """How many customers placed how many orders."""
-    groups = dim_customer.filter("lifetime_orders > 0").groupBy("lifetime_orders")
-    counted = groups.agg(F.count("*").alias("customers"))
-    total = counted.agg(F.sum("customers")).scalar()
-    return counted.withColumn("pct_of_buyers", ratio(F.col("customers"), total, 2, scale=100)).orderBy(
-        "lifetime_orders"
-    )
+    buyers = dim_customer.filter("lifetime_orders > 0")
+    counted = buyers.groupBy("lifetime_orders").agg(F.count("*").alias("customers"))
+    share = ratio(F.col("customers"), buyers.agg(F.count("*")).scalar(), 2, scale=100)
+    return counted.withColumn("pct_of_buyers", share).orderBy("lifetime_orders")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tillroll.functions.columns import ratio
 from tillroll.operators.ntile import with_tiles
-from tillroll.operators.shares import with_share
+from tillroll.operators.shares import total_of, with_share
 from tillroll.schemas import MONEY, conform
 
 TILES = 5
@@ -70,7 +70,7 @@ def rfm_segments(rfm: DataFrame) -> DataFrame:
         ratio(F.sum("monetary"), F.count("monetary"), 0).alias("avg_net_revenue"),
         F.sum("monetary").alias("_revenue"),
     )
-    shared = with_share(groups, "_revenue", "pct_revenue", 1)
+    shared = with_share(groups, "_revenue", total_of(rfm, "monetary"), "pct_revenue", 1)
     return (
         shared.withColumn("total_net_revenue", F.round("_revenue", 0))
         .select(
