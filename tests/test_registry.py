@@ -10,7 +10,7 @@ import __spark_entry__ as registry
 from tests.compare import difference, duck
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-NAMES = sorted(registry.queries())
+NAMES = sorted(registry.retail_queries())
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,8 @@ def con():
 
 
 def test_every_query_has_a_twin():
-    assert set(registry.oracle_sql()) == set(NAMES)
+    assert set(registry.oracle_sql()) >= set(NAMES)
+    assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
