@@ -4,14 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm import chat, mixing, sharding
+from tillroll.llm import chat, ctph, decontaminate, language_id, mixing, quality, sharding, simhash, token_files, warc
 from tillroll.llm.common import table
 from tillroll.llm.oracle_sql import STATEMENTS
 from tillroll.sources.scratch import hold
 
 
+# The public tokenizer of the registered query and the id it ends documents with (fixed values).
+TOKENIZER = "word_bpe_49k.json"
+END_ID = 2
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token files, read back."""
+    documents = table(spark, sf_dir, "documents")
+    manifest, dictionary = token_files.write_tokens(documents, public_tokenizers.path(TOKENIZER), END_ID)
+    return token_files.read_tokens(manifest, dictionary)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random shards of all documents, digested from the written rows."""
     rows = sharding.shuffled_shards(table(spark, sf_dir, "documents"))
@@ -26,6 +44,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC archives, read back."""
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of each document."""
     planned = mixing.plan_mix(table(spark, sf_dir, "documents"))
@@ -34,6 +57,16 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of all documents."""
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select(
+        F.col("_id").alias("doc_id"),
+        simhash.hexadecimal(F.col("_print")).alias("fingerprint"),
+        F.col("_group").alias("component_id"),
+    )
+
+
 # Said by both sides of the added conversation (fixed value).
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -61,10 +94,33 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of all documents."""
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold a benchmark item, with the item."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("_id").alias("doc_id"), "item_id", "item_words", "covered_words", "changed_slots")
+
+
+def op10_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts, and likeness to the next document."""
+    return ctph.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
+    "op2_language_id": op2_language_id,
     "op3_sharding": op3_sharding,
+    "op4_warc": op4_warc,
     "op5_source_mix": op5_source_mix,
+    "op6_simhash": op6_simhash,
     "op7_chat_format": op7_chat_format,
+    "op8_quality": op8_quality,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_ctph": op10_ctph,
 }
 
 ORACLE: dict[str, str] = {name: sql for name, sql in STATEMENTS.items() if name in QUERIES}
