@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import shutil
+import tempfile
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tillroll.sources.scratch import hold
@@ -16,6 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_sent: set[str] = set()
+
+
+def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``query`` after sending this package to the workers, once per application, where tasks import it."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        if spark.sparkContext.applicationId not in _sent:
+            root = Path(__file__).resolve().parents[2]
+            archive = Path(tempfile.mkdtemp()) / "tillroll"
+            spark.sparkContext.addPyFile(shutil.make_archive(str(archive), "zip", root, "tillroll"))
+            _sent.add(spark.sparkContext.applicationId)
+        return query(spark, *args)
+
+    return run
+
+
 def column(name: str) -> Column:
     """The column of exactly this name, whatever characters are in it."""
     return F.col("`" + name.replace("`", "``") + "`")

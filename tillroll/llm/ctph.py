@@ -2,7 +2,7 @@
 
 A fingerprint is ``SIZE:FINE:COARSE``. A rolling hash of the last seven bytes ends a chunk wherever it is
 SIZE - 1 modulo SIZE; every chunk adds one character to FINE. COARSE is made in the same way with twice
-the size. The last chunk of a signature takes whatever is left, so every byte counts.
+the size. What is left behind the last end is a chunk too, so every byte counts.
 """
 
 from __future__ import annotations
@@ -43,17 +43,19 @@ def _rolling(data: bytes, start: int, end: int) -> np.ndarray:
     return total ^ (total >> np.uint32(15))
 
 
-def _chunk_ends(data: bytes, size: int) -> np.ndarray:
-    """Where chunks of ``size`` end, found in blocks so that a long text needs little memory."""
-    found = [np.empty(0, np.int64)]
+def _triggers(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where chunks of ``size`` end and the hashes there, in blocks so that a long text needs little memory."""
+    ends, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     for start in range(0, len(data), BLOCK_BYTES):
-        hashes = _rolling(data, start, min(len(data), start + BLOCK_BYTES))
-        found.append(np.flatnonzero(hashes % np.uint32(size) == size - 1) + start + 1)
-    return np.concatenate(found)
+        rolled = _rolling(data, start, min(len(data), start + BLOCK_BYTES))
+        found = np.flatnonzero(rolled % np.uint32(size) == size - 1)
+        ends.append(found + start + 1)
+        hashes.append(rolled[found].astype(np.uint64))
+    return np.concatenate(ends), np.concatenate(hashes)
 
 
-def _signature(data: bytes, ends: np.ndarray, longest: int) -> str:
-    cuts = [0, *ends[: longest - 1].tolist()]
+def _signature(data: bytes, ends: np.ndarray) -> str:
+    cuts = [0, *ends.tolist()]
     if cuts[-1] < len(data):
         cuts.append(len(data))
     view = memoryview(data)
@@ -61,16 +63,24 @@ def _signature(data: bytes, ends: np.ndarray, longest: int) -> str:
 
 
 def fingerprint(data: bytes) -> str:
-    """Equal texts give equal fingerprints; the empty text gives ``3::``."""
+    """The signatures at the smallest size that ends fewer than LONGEST chunks, and at twice that size.
+
+    Ends at twice a size are ends at the size too, so one pass at a finer size finds those of all coarser
+    ones. Equal texts give equal fingerprints; the empty text gives ``3::``.
+    """
     size = LEAST_SIZE
-    while size * LONGEST < len(data):
+    while size * LONGEST * 4 < len(data):
         size *= 2
-    ends = _chunk_ends(data, size)
-    while size > LEAST_SIZE and len(ends) + 1 < LONGEST // 2:
+    ends, hashes = _triggers(data, size)
+    while size > LEAST_SIZE and len(ends) < LONGEST:
         size //= 2
-        ends = _chunk_ends(data, size)
-    coarse = _chunk_ends(data, size * 2)
-    return f"{size}:{_signature(data, ends, LONGEST)}:{_signature(data, coarse, LONGEST // 2)}"
+        ends, hashes = _triggers(data, size)
+    while len(ends) >= LONGEST:
+        size *= 2
+        coarser = hashes % np.uint64(size) == size - 1
+        ends, hashes = ends[coarser], hashes[coarser]
+    coarse = ends[hashes % np.uint64(2 * size) == 2 * size - 1]
+    return f"{size}:{_signature(data, ends)}:{_signature(data, coarse)}"
 
 
 def edit_distance(a: str, b: str) -> int:

@@ -32,7 +32,7 @@ def create(folder: str, suffix: str) -> tuple[str, pa.NativeFile]:
     address = f"{folder}/{uuid.uuid4().hex}{suffix}"
     store, path = pyarrow.fs.FileSystem.from_uri(address)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return address, store.open_output_stream(path)
+    return address, store.open_output_stream(path, compression=None)
 
 
 def open_file(address: str) -> pa.NativeFile:

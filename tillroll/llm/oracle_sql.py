@@ -10,10 +10,11 @@ hashed AS (
          CAST(from_hex(sha1(payload)) AS BIT)::VARCHAR AS bits FROM record),
 named AS (
   SELECT page_id, payload_bytes, max(page_id) OVER (PARTITION BY same) AS leader,
-         list_aggregate(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-           CAST(1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT)
-           + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT)
-           + CAST(substr(bits, 5 * i + 5, 1) AS INT) AS BIGINT), 1)), 'string_agg', '') AS payload_digest
+         list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1
+             + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT)
+             + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT)
+             + CAST(substr(bits, 5 * i + 5, 1) AS INT) AS BIGINT), 1) FOR i IN range(0, 32)],
+           'string_agg', '') AS payload_digest
   FROM hashed)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN page_id = leader OR leader IS NULL THEN 'response' ELSE 'revisit' END AS record_type,

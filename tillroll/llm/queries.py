@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillroll.llm import chat, ctph, decontaminate, language_id, mixing, quality, sharding, simhash, token_files, warc
-from tillroll.llm.common import table
+from tillroll.llm.common import shipped, table
 from tillroll.llm.oracle_sql import STATEMENTS
 from tillroll.sources.scratch import hold
 
@@ -123,4 +123,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ctph": op10_ctph,
 }
 
+QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 ORACLE: dict[str, str] = {name: sql for name, sql in STATEMENTS.items() if name in QUERIES}

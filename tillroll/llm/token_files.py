@@ -28,8 +28,8 @@ from tillroll.sources.scratch import hold
 
 MAGIC = b"TKZ1"
 END_ID = 2
-HEAD = struct.Struct("<4sBQ")
-TAIL = struct.Struct("<QQ4s")
+HEAD = "<4sBQ"
+TAIL = "<QQ4s"
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("tokens", "<u4")])
 READ_ROWS = 2048
 
@@ -118,12 +118,12 @@ def _writer(folder: str, tokenizer_path: str, end_id: int, dictionary: bytes):
         compress = zstandard.ZstdCompressor(level=3, dict_data=shared).compress
         address = out = None
         index: list[tuple] = []
-        at = HEAD.size
+        at = struct.calcsize(HEAD)
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 if out is None:
                     address, out = create(folder, ".tkz")
-                    out.write(HEAD.pack(MAGIC, width, xxhash.xxh64_intdigest(dictionary)))
+                    out.write(struct.pack(HEAD, MAGIC, width, xxhash.xxh64_intdigest(dictionary)))
                 ids = encode(text.as_py()) + end
                 frame = compress(ids)
                 out.write(frame)
@@ -134,7 +134,7 @@ def _writer(folder: str, tokenizer_path: str, end_id: int, dictionary: bytes):
             return
         rows = np.array(index, dtype=INDEX)
         out.write(rows.tobytes())
-        out.write(TAIL.pack(at, len(rows), MAGIC))
+        out.write(struct.pack(TAIL, at, len(rows), MAGIC))
         out.close()
         yield pa.RecordBatch.from_pydict(
             {
@@ -193,11 +193,11 @@ def read_document(path: str, position: int, dictionary: bytes) -> np.ndarray:
 
 
 def _index(source: pa.NativeFile, dictionary: bytes) -> tuple[np.ndarray, int]:
-    magic, width, digest = HEAD.unpack(source.read(HEAD.size))
+    magic, width, digest = struct.unpack(HEAD, source.read(struct.calcsize(HEAD)))
     if magic != MAGIC or digest != xxhash.xxh64_intdigest(dictionary):
         raise ValueError("not a token file of this dictionary")
-    source.seek(source.size() - TAIL.size)
-    at, n, magic = TAIL.unpack(source.read(TAIL.size))
+    source.seek(source.size() - struct.calcsize(TAIL))
+    at, n, magic = struct.unpack(TAIL, source.read(struct.calcsize(TAIL)))
     if magic != MAGIC:
         raise ValueError("a token file that was cut off")
     source.seek(at)
