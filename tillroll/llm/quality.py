@@ -139,16 +139,20 @@ def _solved(sums: np.ndarray) -> np.ndarray:
     return np.linalg.solve(whole + (RIDGE * whole[0, 0] + 1e-9) * np.eye(d), sums[:, d])
 
 
-def isotonic(means: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The non-decreasing values nearest to ``means``: neighbours that fall are pooled."""
-    blocks: list[list[float]] = []
-    for mean, weight in zip(means.tolist(), weights.tolist()):
-        blocks.append([mean, weight, 1])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            m, w, n = blocks.pop()
-            p = blocks[-1]
-            blocks[-1] = [(p[0] * p[1] + m * w) / (p[1] + w), p[1] + w, p[2] + n]
-    return np.concatenate([np.full(int(n), m) for m, _, n in blocks]) if blocks else np.empty(0)
+def isotonic(at: np.ndarray, means: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Non-decreasing levels nearest to ``means``: neighbours that fall are pooled.
+
+    A pool stands at the mean place of its rows, and one more row of either label pulls its level away
+    from 0 and 1; between pools scores are interpolated.
+    """
+    pools: list[tuple[float, float, float]] = []  # weight, weight * mean, weight * place
+    for x, mean, weight in zip(at.tolist(), means.tolist(), weights.tolist()):
+        pools.append((weight, weight * mean, weight * x))
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            last, before = pools.pop(), pools.pop()
+            pools.append((before[0] + last[0], before[1] + last[1], before[2] + last[2]))
+    n, ones, places = np.array(pools).T
+    return places / n, np.maximum.accumulate((ones + 0.5) / (n + 1.0))
 
 
 def fit(stats: DataFrame, labels: DataFrame) -> Model:
@@ -203,8 +207,8 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
         .collect()
     )
     n = np.array([s["n"] for s in steps])
-    levels = isotonic(np.array([s["y"] for s in steps]) / n, n)
-    return Model(center, scale, model.weights, np.array([s["step"] for s in steps]) / SCORE_STEP, levels)
+    places = np.array([s["step"] for s in steps]) / SCORE_STEP
+    return Model(center, scale, model.weights, *isotonic(places, np.array([s["y"] for s in steps]) / n, n))
 
 
 def scores(stats: Column, model: Model) -> Column:
