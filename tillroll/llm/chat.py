@@ -111,21 +111,25 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
         one = F.array(turn)
         return ~_same(one, parsed(_joined(_rendered(one, F.array(F.lit(False))))))
 
+    # Whole-conversation checks stay outside of the lambdas, which would repeat them for every turn.
     checked = plain.withColumn("_clean", _same(F.col("_turns"), parsed(F.col("_raw"))))
     first = checked.withColumn(
-        "_hide", F.transform("_turns", lambda t: F.when(F.col("_clean"), False).otherwise(conflicts(t)))
+        "_hide",
+        F.when(F.col("_clean"), F.transform("_turns", lambda _: F.lit(False))).otherwise(
+            F.transform("_turns", conflicts)
+        ),
     ).withColumn("_pieces", _rendered(F.col("_turns"), F.col("_hide")))
-    second = first.withColumn(
-        "_good", F.col("_clean") | _same(F.col("_turns"), parsed(_joined(F.col("_pieces"))))
-    ).withColumn("_hide", F.transform("_hide", lambda h: h | ~F.col("_good")))
+    second = first.withColumn("_good", F.col("_clean") | _same(F.col("_turns"), parsed(_joined(F.col("_pieces")))))
     last = second.withColumn(
+        "_hide", F.when(F.col("_good"), F.col("_hide")).otherwise(F.transform("_turns", lambda _: F.lit(True)))
+    ).withColumn(
         "_pieces",
         F.when(F.col("_good"), F.col("_pieces")).otherwise(_rendered(F.col("_turns"), F.col("_hide"))),
     ).withColumn("formatted", _joined(F.col("_pieces")))
-    proven = last.filter(
-        F.when(_same(F.col("_turns"), parsed(F.col("formatted"))), True).otherwise(
-            F.raise_error(F.concat(F.lit("no round trip for conversation "), F.col("conv_id").cast("string")))
-        )
+    no_way = F.raise_error(F.concat(F.lit("no round trip for conversation "), F.col("conv_id").cast("string")))
+    proven = last.withColumn(
+        "formatted",
+        F.when(_same(F.col("_turns"), parsed(F.col("formatted"))), F.col("formatted")).otherwise(no_way),
     )
     # A running offset over the pieces; where the k-th text starts is the sum of all lengths before it.
     starts = F.aggregate(
