@@ -1,0 +1,78 @@
+from __future__ import annotations
+
+import re
+from collections import defaultdict
+
+import pytest
+
+from tests.llm.frames import doc, empty, frame, messy
+from tillroll.llm import mixing
+from tillroll.llm.common import WORD
+
+
+def targets_by_hand(sizes: dict, weights=(5, 2, 1), most=3, percent=100) -> dict:
+    names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    left, open_, target = sum(sizes.values()) * percent / 100, set(names), {}
+    while open_:
+        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        over = {s for s in open_ if share[s] > most * sizes[s]}
+        if not over:
+            return target | share
+        target |= {s: most * sizes[s] for s in over}
+        left -= sum(target[s] for s in over)
+        open_ -= over
+    return target
+
+
+def words(text):
+    return len(re.findall(WORD, text or ""))
+
+
+def check(docs):
+    planned = mixing.plan_mix(docs).collect()
+    sizes = defaultdict(int)
+    for r in docs.collect():
+        sizes[r["source"]] += words(r["text"])
+    target = targets_by_hand(dict(sizes))
+    for r in planned:
+        assert r["size"] == words(r["text"]) and r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(target[r["source"]])
+        rate = r["target"] / r["source_size"] if r["source_size"] else 1
+        assert int(rate) <= r["copies"] <= int(rate) + 1 and r["copies"] <= 3
+    return planned
+
+
+def test_targets_and_copies(spark):
+    docs = messy(spark)
+    planned = check(docs)
+    assert len(planned) == docs.count()
+    assert {r["copies"] for r in planned if r["doc_id"] == 9 and r["text"]} and all(r["a.b"] == "mine 11" for r in planned)
+    emitted = mixing.emit(mixing.plan_mix(docs)).collect()
+    assert len(emitted) == sum(r["copies"] for r in planned)
+
+
+def test_small_sources_stop_and_the_rest_is_shared_again(spark):
+    rows = [doc(k, "w " * (1 + k % 9), source=f"s{(k * k) % 11:02d}" if k % 3 else "s05") for k in range(400)]
+    rows += [doc(1000 + k, "one two", source="s00") for k in range(3)] + [doc(2000, None, source="zero")]
+    planned = check(frame(spark, rows))
+    total, taken = sum(r["size"] for r in planned), sum(r["size"] * r["copies"] for r in planned)
+    assert taken == pytest.approx(total, rel=0.15)
+
+
+def test_taken_words_come_near_the_target(spark):
+    planned = check(frame(spark, [doc(k, "w " * (20 + k % 7), source="ab"[k % 5 == 0]) for k in range(4000)]))
+    for source in "ab":
+        rows = [r for r in planned if r["source"] == source]
+        assert sum(r["size"] * r["copies"] for r in rows) == pytest.approx(rows[0]["target"], rel=0.05)
+
+
+def test_reruns_agree_and_seeds_do_not(spark):
+    docs = frame(spark, [doc(k, "some words here", source="ab"[k % 4 == 0]) for k in range(200)])
+    one = {r["doc_id"]: r["copies"] for r in mixing.plan_mix(docs).collect()}
+    assert one == {r["doc_id"]: r["copies"] for r in mixing.plan_mix(docs.repartition(7)).collect()}
+    assert one != {r["doc_id"]: r["copies"] for r in mixing.plan_mix(docs, seed=6).collect()}
+
+
+def test_empty_table(spark):
+    assert mixing.emit(mixing.plan_mix(empty(spark))).collect() == []

@@ -1,0 +1,86 @@
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+
+from tests.llm.frames import doc, empty, frame, messy
+from tillroll.llm import quality
+from tillroll.llm.queries import QUERIES
+
+SF_DIR = "/root/testdata/sf0.01"
+LABELS = "doc_id bigint, quality int, toxic int, score string"
+
+
+def test_held_out_labels_are_predicted(spark):
+    got = QUERIES["op8_quality"](spark, SF_DIR)
+    rows = got.join(spark.read.parquet(f"{SF_DIR}/labels.parquet"), "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    unseen = [r for r in rows if r["held_out"]]
+    assert np.mean([r["predicted"] == r["quality"] for r in unseen]) > 0.95
+    low = [r["score"] for r in unseen if r["quality"] == 0]
+    assert np.mean([r["score"] > np.median(low) for r in unseen if r["quality"] == 1]) > 0.97
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+
+
+def labels(spark, rows):
+    return spark.createDataFrame([(*r, 0, "mine") for r in rows], LABELS)
+
+
+def test_messy_rows(spark):
+    docs = messy(spark)
+    known = labels(spark, [(1, 1), (1, 1), (2, 0), (4, 0), (6, 1), (8, 1), (9, 1), (9, 0), (9, None), (None, 1), (77, 1)])
+    got = quality.score_documents(docs, known).collect()
+    assert len(got) == docs.count()
+    same = [r["score"] for r in got if r["doc_id"] in (1, 2)]
+    assert same[0] == same[1]  # equal texts
+    assert all(0 <= r["score"] <= 1 for r in got)
+    assert all(r["held_out"] is False for r in got if r["doc_id"] is None)
+    kept = quality.keep_good(docs, known).collect()
+    assert len(kept) == sum(r["predicted"] for r in got) and (not kept or kept[0]["a.b"] == "mine 11")
+
+
+def test_no_labels_one_class_and_empty_table(spark):
+    docs = messy(spark)
+    none = quality.score_documents(docs, labels(spark, [])).collect()
+    assert {r["score"] for r in none} == {0.5}
+    one = quality.score_documents(docs, labels(spark, [(k, 1) for k in range(1, 9)])).collect()
+    assert all(r["score"] > 0.5 for r in one)
+    assert quality.score_documents(empty(spark), labels(spark, [(1, 1)])).collect() == []
+
+
+def test_held_out_labels_are_not_learned(spark):
+    docs = frame(spark, [doc(k, f"text number {k} " * (1 + k % 7)) for k in range(120)])
+    told = [(k, int(k % 7 > 2)) for k in range(120)]
+    turned = [(k, q if zlib.crc32(str(k).encode()) % 3 != 1 else 1 - q) for k, q in told]
+    one, two = (
+        {r["doc_id"]: r["score"] for r in quality.score_documents(docs, labels(spark, known)).collect()}
+        for known in (told, turned)
+    )
+    assert np.allclose([one[k] for k in one], [two[k] for k in one], atol=1e-9)
+
+
+def test_equations_and_weights_are_those_of_plain_ridge(spark):
+    docs = frame(spark, [doc(k, ("Good prose with words. " if k % 3 else "BAD!! $$$ ") * (1 + k % 11)) for k in range(300)])
+    known = labels(spark, [(k, int(k % 3 > 0)) for k in range(300)])
+    stats = quality.all_statistics(docs)
+    model = quality.fit(stats, known)
+    x = np.array([r["stats"] for r in stats.orderBy("doc_id").collect()])
+    y = np.array([int(k % 3 > 0) for k in range(300)])
+    assert np.allclose(model.center, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-6))
+    z = quality.fourier(x, model.center, model.scale)
+    weights = np.linalg.solve(z.T @ z + (quality.RIDGE * len(z) + 1e-9) * np.eye(z.shape[1]), z.T @ y)
+    assert np.allclose(z @ weights, z @ model.weights, atol=1e-4)
+
+
+def test_fourier_features_approximate_the_kernel():
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(40, quality.N_STATS))
+    z = quality.fourier(x, np.zeros(quality.N_STATS), np.ones(quality.N_STATS))[:, 1:]
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / (2 * quality.N_STATS))
+    assert np.abs(z @ z.T - kernel).mean() < 0.1
+
+
+def test_isotonic():
+    places, levels = quality.isotonic(np.arange(5.0), np.array([0, 1, 0, 1, 1.0]), np.ones(5))
+    assert np.allclose(places, [0, 1.5, 3.5]) and np.allclose(levels, [0.25, 0.5, 2.5 / 3])

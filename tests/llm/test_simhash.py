@@ -1,0 +1,109 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter
+
+import pytest
+import xxhash
+
+from tests.llm.frames import PROSE, doc, empty, frame, messy
+from tillroll.llm import simhash
+from tillroll.llm.graph import components
+from tillroll.llm.queries import QUERIES
+
+
+def slow_simhash(text: str | None) -> int:
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    if not words:
+        return 0
+    shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def roots(nodes, links):
+    parent = {n: n for n in nodes}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def groups_by_hand(prints: dict) -> dict:
+    items = list(prints.items())
+    links = [(a, b) for k, (a, x) in enumerate(items) for b, y in items[:k] if (x ^ y).bit_count() <= 2]
+    return roots(prints, links)
+
+
+def test_query_against_all_pairs(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    prints = {r["doc_id"]: slow_simhash(r["text"]) for r in documents.collect()}
+    group = groups_by_hand(prints)
+    got = QUERIES["op6_simhash"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {
+        d: (f"{p:016x}", group[d]) for d, p in prints.items()
+    }
+
+
+def test_links_tie_all_near_fingerprints(spark):
+    """Families that spread step by step, far pairs, and fingerprints with the sign bit set."""
+    draw = random.Random(3)
+    values = {0, 1, 3, (1 << 64) - 1, 1 << 63}
+    for _ in range(12):
+        value = draw.getrandbits(64)
+        for _ in range(25):
+            values.add(value)
+            for _ in range(draw.choice([1, 1, 2, 2, 3])):
+                value ^= 1 << draw.randrange(64)
+    expected = groups_by_hand({simhash._signed(v): v for v in values})
+    frame_ = spark.createDataFrame([(simhash._signed(v),) for v in values], "_print bigint")
+    links = simhash.near_links(frame_)
+    assert all(((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count() <= 2 for r in links.collect())
+    found = {r["node"]: r["root"] for r in components(links).collect()}
+    assert {v: found.get(v, v) for v in expected} == expected
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components(spark, seed):
+    draw = random.Random(seed)
+    links = [(draw.randrange(300), draw.randrange(300)) for _ in range(140)]
+    links += [(1000 + k, 1001 + k) for k in range(60)] + [(-5, 5000 + k) for k in range(80)]
+    links += links[:10] + [(7, 7)]
+    nodes = {n for a, b in links if a != b for n in (a, b)}
+    expected = roots(nodes, [(a, b) for a, b in links if a != b])
+    got = components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    assert sorted((r["node"], r["root"]) for r in got) == sorted(expected.items())
+
+
+def test_messy_rows(spark):
+    docs = messy(spark)
+    got = simhash.near_groups(docs).collect()
+    assert Counter(r["_id"] for r in got) == Counter(r["doc_id"] for r in docs.collect())
+    by_id = {r["_id"]: r for r in got if r["_id"] is not None}
+    assert by_id[2]["_group"] == 1
+    assert {by_id[k]["_group"] for k in (3, 4, 5)} == {3}  # no words, with the null text that has no id
+    kept = simhash.drop_near_duplicates(docs).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(
+        {(r["doc_id"], r["text"]): 1 for r in docs.collect() if r["doc_id"] not in (2, 4, 5) and (r["doc_id"], r["text"]) != (None, None)}
+    )
+    assert kept[0].asDict().keys() == docs.first().asDict().keys()
+
+
+def test_one_of_each_group_stays(spark):
+    near = PROSE * 30
+    docs = frame(spark, [doc(k, near if k % 2 else near + f" end{k % 6}") for k in range(40)] + [doc(99, "quite another text")])
+    prints = {k: slow_simhash(near if k % 2 else near + f" end{k % 6}") for k in range(40)}
+    group = groups_by_hand(prints | {99: slow_simhash("quite another text")})
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == sorted(set(group.values()))
+
+
+def test_empty_table(spark):
+    assert simhash.near_groups(empty(spark)).collect() == [] == simhash.drop_near_duplicates(empty(spark)).collect()

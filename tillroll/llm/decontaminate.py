@@ -161,10 +161,6 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
 
 
-def _bit(windows: np.ndarray) -> np.ndarray:
-    return windows & np.uint64(FILTER_BITS - 1)
-
-
 def _cutter(lengths: list[int], wanted: np.ndarray | None):
     """Windows of ``lengths``, or of a text's own length where it is shorter; ``wanted`` is a bit filter."""
 
@@ -181,7 +177,7 @@ def _cutter(lengths: list[int], wanted: np.ndarray | None):
                     for names in forms:
                         windows, counts = template.windows(n, names)
                         if wanted is not None:
-                            bits = _bit(windows)
+                            bits = windows & np.uint64(64 * len(wanted) - 1)
                             counts &= wanted[bits >> np.uint64(6)] >> (bits & np.uint64(63)) & np.uint64(1) > 0
                         for at in np.flatnonzero(counts).tolist():
                             slots = template.slots(at, n, names)
