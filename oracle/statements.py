@@ -79,7 +79,8 @@ kept AS (
   SELECT * EXCLUDE (place) FROM (
     SELECT *, row_number() OVER (
         PARTITION BY _record_hash
-        ORDER BY _source_sheet, _source_row, description NULLS FIRST, country NULLS FIRST) AS place
+        ORDER BY _source_sheet, _source_row, _source_file, description NULLS FIRST, country NULLS FIRST,
+                 price NULLS FIRST) AS place
     FROM raw) AS ranked
   WHERE place = 1
 )"""
@@ -419,7 +420,7 @@ STATEMENTS["dq_assertions"] = _statement(
   UNION ALL SELECT 'dim_customer.customer_sk is unique', (SELECT count(*) FROM dim_customer),
                    (SELECT count(DISTINCT customer_sk) FROM dim_customer)
   UNION ALL SELECT 'fct_sales products exist in dim_product',
-                   (SELECT count(*) FROM fct_sales f WHERE product_sk IS NOT NULL AND NOT EXISTS
+                   (SELECT count(*) FROM fct_sales f WHERE NOT EXISTS
                       (SELECT 1 FROM dim_product p WHERE p.product_sk = f.product_sk)), 0
   UNION ALL SELECT 'fct_sales customers exist in dim_customer',
                    (SELECT count(*) FROM fct_sales f WHERE customer_sk IS NOT NULL AND NOT EXISTS
@@ -639,7 +640,7 @@ STATEMENTS["lapsed_top_customers"] = _statement(
     f"""
 SELECT customer_id, last_purchase_date, lifetime_orders, {_money('lifetime_net_revenue', 2)} AS net_revenue_gbp
 FROM dim_customer
-WHERE primary_country = 'GERMANY'
+WHERE primary_country = 'NATION_7'
   AND last_purchase_date < (SELECT CAST(max(last_purchase_date) + 1 - INTERVAL 6 MONTH AS DATE) FROM dim_customer)
 ORDER BY lifetime_net_revenue DESC, customer_id LIMIT 20""",
 )

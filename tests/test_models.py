@@ -33,6 +33,19 @@ def test_dedup_keeps_the_earliest_source_row(spark):
     assert dedup_lines(raw).count() == 2
 
 
+def test_dedup_does_not_depend_on_input_order(spark):
+    """Copies that share sheet and row number, as the files of one sheet do."""
+    raw = raw_frame(
+        spark,
+        {"_source_row": 2, "_source_file": "q", "description": "a"},
+        {"_source_row": 2, "_source_file": "p", "description": "b", "price": 1.00004},
+        {"_source_row": 2, "_source_file": "p", "description": "b", "price": 1.0},
+    ).coalesce(1)
+    for order in (F.col("_source_file"), F.desc("_source_file"), F.desc("price"), F.rand(5)):
+        (row,) = stg_lines(raw.sortWithinPartitions(order)).collect()
+        assert (row.source_file, row.description, row.unit_price) == ("p", "b", 1)
+
+
 def test_dedup_trims_copies_before_the_shuffle(spark):
     plan = dedup_lines(raw_frame(spark, {}))._jdf.queryExecution().executedPlan().toString()
     final, exchange, partial = (plan.index(w) for w in ("1, Final", "Exchange", "1, Partial"))

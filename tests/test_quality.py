@@ -39,6 +39,23 @@ def test_assertions(spark):
     assert ("dim_customer.customer_sk is unique",) in failed(quality.dq_assertions(tables), "check")
 
 
+def test_null_product_keys_are_orphans(spark):
+    """One line without a stock code has no product; a guest line without a customer is fine."""
+    tables = warehouse(spark, *GOOD, {"invoice": "9", "stock_code": None})
+    tables["dim_product"] = tables["dim_product"].filter("stock_code IS NOT NULL")
+    assert failed(quality.dq_assertions(tables), "check", "observed") == [
+        ("fct_sales has no NULL product_sk", 1),
+        ("fct_sales products exist in dim_product", 1),
+    ]
+    assert failed(quality.dq_relationships(tables), "parent") == []
+
+
+def test_fingerprint_sees_where_nulls_are(spark):
+    one, two = (spark.createDataFrame([row], "a string, b string") for row in ((None, "a"), ("a", None)))
+    assert quality.fingerprint(one).first() != quality.fingerprint(two).first()
+    assert quality.fingerprint(one).first() == quality.fingerprint(one.repartition(3)).first()
+
+
 def test_not_null_unique_relationships(spark):
     tables = warehouse(spark, *GOOD)
     assert failed(quality.dq_not_null(tables), "column_name") == []

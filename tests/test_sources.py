@@ -14,7 +14,7 @@ from tillroll.plans.warehouse import TABLES, publish_catalog, publish_files
 from tillroll.schemas import CONTRACTS, ContractError, require_contract
 from tillroll.sources.scratch import scratch_root
 from tillroll.sources.sheets import land, read_csv_sheet, read_parquet_sheet
-from tillroll.sources.sinks import read_table_files, write_parquet, write_table_files
+from tillroll.sources.sinks import read_table_files, write_metrics, write_parquet, write_table_files
 
 HEADINGS = ["Invoice", "StockCode", "Description", "Quantity", "InvoiceDate", "Price", "Customer ID", "Country"]
 
@@ -64,6 +64,76 @@ def test_bad_number_fails_the_load(spark, tmp_path):
         land([read_csv_sheet(spark, str(tmp_path / "a.csv"), "A")], LOADED_AT).collect()
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "1,85123A,x,2,2010-12-01 08:26:00,2.55,17850.0,France,surplus,more",
+        "1,85123A,x",
+        '1,85123A,"never closed,2,2010-12-01 08:26:00,2.55,17850.0,France',
+        '1,85123A,x,2,2010-12-01 08:26:00,2.55,17850.0,"broken\nacross lines"',
+    ],
+    ids=["long", "short", "open quote", "line break"],
+)
+def test_broken_lines_fail_the_load(spark, tmp_path, text):
+    (tmp_path / "a.csv").write_text(",".join(HEADINGS) + "\n" + text + "\n")
+    with pytest.raises(Exception, match="MALFORMED_RECORD|open quote"):
+        read_csv_sheet(spark, str(tmp_path / "a.csv"), "A")
+
+
+@pytest.mark.parametrize(
+    "headings",
+    [[*HEADINGS, "Extra"], HEADINGS[:-1], [HEADINGS[1], HEADINGS[0], *HEADINGS[2:]], [h.lower() for h in HEADINGS]],
+    ids=["added", "missing", "order", "spelling"],
+)
+def test_other_headings_fail_the_load(spark, tmp_path, headings):
+    write_csv(tmp_path / "a.csv", [line(1)])
+    (tmp_path / "b.csv").write_text(",".join(headings) + "\n")
+    with pytest.raises(Exception, match="headings are|MALFORMED_RECORD"):
+        read_csv_sheet(spark, str(tmp_path), "A")
+
+
+def test_blank_lines_are_counted_but_hold_no_row(spark, tmp_path):
+    write_csv(tmp_path / "a.csv", [line(1), [], line(2), [], []])
+    rows = read_csv_sheet(spark, str(tmp_path / "a.csv"), "A").frame.collect()
+    assert sorted((r.Invoice, r.SourceRow) for r in rows) == [("1", 2), ("2", 4)]
+
+
+def test_line_breaks_in_fields_need_multiline(spark, tmp_path):
+    write_csv(tmp_path / "a.csv", [line(1, Description="two\nlines"), line(2)])
+    rows = read_csv_sheet(spark, str(tmp_path / "a.csv"), "A", multiline=True).frame.collect()
+    assert sorted((r.Invoice, r.Description, r.SourceRow) for r in rows) == [
+        ("1", "two\nlines", 2),
+        ("2", 'say "hi", é 2', 3),
+    ]
+    (tmp_path / "b.csv").write_text(",".join(HEADINGS) + "\n1,2,3\n")
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        read_csv_sheet(spark, str(tmp_path / "b.csv"), "B", multiline=True)
+
+
+SHEET = (
+    "Invoice string, StockCode string, Description string, Quantity int, InvoiceDate string, "
+    "Price double, `Customer ID` string, Country string"
+)
+
+
+def test_parquet_contract(spark, tmp_path):
+    good = spark.createDataFrame([tuple(line(1))], SHEET)
+    changed = {
+        "unexpected column Extra": good.withColumn("Extra", F.lit(1)),
+        "missing column Country": good.drop("Country"),
+        "column Price is boolean": good.withColumn("Price", F.lit(True)),
+    }
+    for k, (problem, bad) in enumerate(changed.items()):
+        bad.write.parquet(str(tmp_path / f"bad{k}"))
+        with pytest.raises(ContractError, match=problem):
+            read_parquet_sheet(spark, str(tmp_path / f"bad{k}"), "A")
+    # One file of many is enough.
+    good.write.parquet(str(tmp_path / "mixed"))
+    good.withColumn("Extra", F.lit(1)).write.mode("append").parquet(str(tmp_path / "mixed"))
+    with pytest.raises(ContractError, match="unexpected column Extra"):
+        read_parquet_sheet(spark, str(tmp_path / "mixed"), "A")
+
+
 def test_csv_rows_are_numbered_across_splits(spark, tmp_path):
     """Many small splits of several files, read in any order, still number each file's rows from 2."""
     for name, n in [("p.csv", 900), ("q.csv", 350)]:
@@ -109,6 +179,8 @@ def test_contract_is_enforced(spark):
         require_contract(raw.drop("country"), "raw")
     with pytest.raises(ContractError, match="unexpected column extra"):
         require_contract(raw.withColumn("extra", F.lit(1)), "raw")
+    with pytest.raises(ContractError, match="repeated column country"):
+        require_contract(raw.select("*", F.lit("x").alias("country")), "raw")
     with pytest.raises(ContractError, match="quantity is int, expected bigint"):
         require_contract(raw.withColumn("quantity", F.col("quantity").cast("int")), "raw")
 
@@ -120,6 +192,27 @@ def test_write_replaces(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
 
 
+def test_days_that_are_gone_are_replaced_too(spark, tmp_path):
+    """Also where the session's default is to keep the days that a write does not touch."""
+    one, two = raw_frame(spark, {}), raw_frame(spark, {"invoice_date": datetime(2011, 2, 1)})
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        for raw in (one, two):
+            write_table_files(raw, "raw", str(tmp_path / "raw"))
+            publish_catalog(raw, "tillroll_replace")
+        assert read_table_files(spark, "raw", str(tmp_path / "raw")).count() == 1
+        assert spark.table("tillroll_replace.raw").count() == spark.table("tillroll_replace.fct_sales").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+        spark.sql("DROP DATABASE IF EXISTS tillroll_replace CASCADE")
+
+
+def test_null_metrics_are_written(spark, tmp_path):
+    write_metrics({"m": spark.sql("SELECT 1 AS n, CAST(NULL AS DOUBLE) AS guest_revenue")}, str(tmp_path))
+    text = next((tmp_path / "m").glob("*.json")).read_text()
+    assert json.loads(text) == {"n": 1, "guest_revenue": None}
+
+
 def test_hot_day_is_split_over_files(spark, tmp_path):
     """Nearly all rows share a day: its folder holds several files, and no day loses rows."""
     hot = raw_frame(spark, {}).crossJoin(spark.range(60_000)).withColumn("_source_row", F.col("id")).drop("id")

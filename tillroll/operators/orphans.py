@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def orphan_rows(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """One row, ``orphans``: child rows with a non-NULL ``key`` that no parent row has.
+def orphan_rows(child: DataFrame, parent: DataFrame, key: str, null_is_orphan: bool = False) -> DataFrame:
+    """One row, ``orphans``: child rows with a ``key`` that no parent row has.
 
-    The child is counted per key before the anti join, so hot keys shrink to one row first.
+    NULL keys are exempt (a guest has no customer) unless ``null_is_orphan``. The child is counted per
+    key before the anti join, so hot keys shrink to one row first.
     """
-    keys = child.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
+    rows = child if null_is_orphan else child.filter(F.col(key).isNotNull())
+    keys = rows.groupBy(key).agg(F.count("*").alias("_rows"))
     return keys.join(parent.select(key), key, "left_anti").agg(
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("orphans")
     )

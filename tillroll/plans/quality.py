@@ -86,7 +86,7 @@ def dq_assertions(tables: Tables) -> DataFrame:
             ),
             check(
                 "fct_sales products exist in dim_product",
-                orphan_rows(sales, tables["dim_product"], "product_sk"),
+                orphan_rows(sales, tables["dim_product"], "product_sk", null_is_orphan=True),
                 zero,
             ),
             check("fct_sales customers exist in dim_customer", orphan_rows(sales, customers, "customer_sk"), zero),
@@ -265,8 +265,12 @@ def dq_profile(raw: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and an order-free content hash, as one row."""
-    digest = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")
+    """Row count and an order-free content hash, as one row.
+
+    The hash skips NULLs, so which values are NULL is hashed with them.
+    """
+    values = [F.col(c) for c in df.columns]
+    digest = F.xxhash64(*[v.isNull() for v in values], *values).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("n_rows"), F.sum(digest).alias("digest"))
 
 

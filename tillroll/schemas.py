@@ -39,6 +39,20 @@ SHEET_COLUMNS = {
     "Country": "country",
 }
 
+# Types a column of a source sheet may have; CSV fields are text and typed on landing (fixed values).
+_TEXT = ("string",)
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+SHEET_TYPES: dict[str, tuple[str, ...]] = {
+    "Invoice": _TEXT,
+    "StockCode": _TEXT,
+    "Description": _TEXT,
+    "Quantity": (*_TEXT, *_WHOLE),
+    "InvoiceDate": (*_TEXT, "date", "timestamp", "timestamp_ntz"),
+    "Price": (*_TEXT, "float", "double"),
+    "Customer ID": (*_TEXT, *_WHOLE, "float", "double"),
+    "Country": _TEXT,
+}
+
 RAW = _table(
     invoice=_STR,
     stock_code=_STR,
@@ -172,8 +186,10 @@ class ContractError(ValueError):
 def contract_problems(actual: StructType, expected: StructType) -> list[str]:
     """Every added, missing or re-typed column, as readable text."""
     have = {f.name: f.dataType for f in actual.fields}
+    repeated = sorted({n for n in actual.names if actual.names.count(n) > 1})
     want = {f.name: f.dataType for f in expected.fields}
-    problems = [f"missing column {c} ({t.simpleString()})" for c, t in want.items() if c not in have]
+    problems = [f"repeated column {c}" for c in repeated]
+    problems += [f"missing column {c} ({t.simpleString()})" for c, t in want.items() if c not in have]
     problems += [f"unexpected column {c} ({t.simpleString()})" for c, t in have.items() if c not in want]
     problems += [
         f"column {c} is {have[c].simpleString()}, expected {t.simpleString()}"
@@ -183,6 +199,20 @@ def contract_problems(actual: StructType, expected: StructType) -> list[str]:
     return problems
 
 
+def sheet_problems(actual: StructType) -> list[str]:
+    """Every added, missing, repeated or re-typed column of a source sheet, as readable text."""
+    kinds = {f.name: f.dataType.simpleString() for f in actual.fields}
+    problems = [f"repeated column {c}" for c in sorted(kinds) if actual.names.count(c) > 1]
+    problems += [f"missing column {c}" for c in SHEET_TYPES if c not in kinds]
+    problems += [f"unexpected column {c} ({t})" for c, t in kinds.items() if c not in SHEET_TYPES]
+    problems += [
+        f"column {c} is {t}, expected one of {', '.join(SHEET_TYPES[c])}"
+        for c, t in kinds.items()
+        if c in SHEET_TYPES and t not in SHEET_TYPES[c]
+    ]
+    return problems
+
+
 def require_contract(df: DataFrame, name: str) -> DataFrame:
     """Return ``df`` in contract column order, or raise :class:`ContractError`."""
     problems = contract_problems(df.schema, CONTRACTS[name])

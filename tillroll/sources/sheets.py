@@ -7,9 +7,10 @@ from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from tillroll.functions.columns import clean_customer_id, record_hash
-from tillroll.schemas import SHEET_COLUMNS, conform
+from tillroll.schemas import SHEET_COLUMNS, ContractError, conform, sheet_problems
 from tillroll.sources.scratch import hold
 
 ROW_COLUMN = "SourceRow"
@@ -27,9 +28,19 @@ class Sheet:
     frame: DataFrame
 
 
+def _require_sheet(schema: StructType, path: str) -> None:
+    problems = sheet_problems(schema)
+    if problems:
+        raise ContractError(f"{path}: " + "; ".join(problems))
+
+
 def read_parquet_sheet(spark: SparkSession, path: str, name: str) -> Sheet:
-    """A sheet stored as Parquet. Parquet scans know each row's index within its file."""
-    frame = spark.read.parquet(path)
+    """A sheet stored as Parquet. Parquet scans know each row's index within its file.
+
+    The schemas of all files are merged and checked: an added, missing or re-typed column fails.
+    """
+    frame = spark.read.parquet(path, mergeSchema=True)
+    _require_sheet(frame.schema, path)
     return Sheet(
         name,
         frame.select(
@@ -40,18 +51,38 @@ def read_parquet_sheet(spark: SparkSession, path: str, name: str) -> Sheet:
     )
 
 
-def read_csv_sheet(spark: SparkSession, path: str, name: str) -> Sheet:
+_FIELDS = "fields"
+_CSV_OPTIONS = {"mode": "FAILFAST", "escape": '"'}
+
+
+def read_csv_sheet(spark: SparkSession, path: str, name: str, multiline: bool = False) -> Sheet:
     """A sheet stored as CSV with a header line; every field is read as text and typed on landing.
 
-    A text scan does not know row numbers, so the rows are written once with the file block they
-    came from and their order inside it; a running total over blocks (not rows) gives each block
-    its first row number.
+    A line with too many or too few fields, an open quote or other headings fails the load. Blank lines
+    hold no row but are counted, so that a row's number is its line. With ``multiline`` fields may hold
+    line breaks; then one task reads a file and rows are counted instead of lines.
+
+    Writes when called: a text scan does not know line numbers, so the fields are written once with the
+    file block they came from and their order inside it; a running total over blocks (not lines) gives
+    each block its first number.
     """
     text_schema = ", ".join(f"`{c}` STRING" for c in SHEET_COLUMNS)
-    scan = spark.read.schema(text_schema).csv(path, header=True, escape='"', enforceSchema=False)
-    rows = hold(
+    if multiline:
+        scan = spark.read.schema(text_schema).csv(path, multiLine=True, **_CSV_OPTIONS)
+        fields = F.struct(*[F.col(c) for c in SHEET_COLUMNS])
+    else:
+        scan = spark.read.text(path)
+        line = F.col("value")
+        open_quote = (F.length(line) - F.length(F.replace(line, F.lit('"')))) % 2 == 1
+        refused = F.raise_error(F.concat(F.lit("open quote in line: "), line)).cast(f"struct<{_struct(text_schema)}>")
+        fields = (
+            F.when(F.trim(line) == "", None)
+            .when(open_quote, refused)
+            .otherwise(F.from_csv(line, text_schema, _CSV_OPTIONS))
+        )
+    lines = hold(
         scan.select(
-            *[F.col(c) for c in SHEET_COLUMNS],
+            fields.alias(_FIELDS),
             F.col("_metadata.file_path").alias("_path"),
             F.col("_metadata.file_name").alias(FILE_COLUMN),
             F.col("_metadata.file_block_start").alias("_block"),
@@ -61,15 +92,26 @@ def read_csv_sheet(spark: SparkSession, path: str, name: str) -> Sheet:
     )
     earlier = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
-        rows.groupBy("_path", "_block")
+        lines.groupBy("_path", "_block")
         .agg(F.count("*").alias("_n"), F.min("_order").alias("_first"))
         .withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .drop("_n")
     )
-    numbered = rows.join(blocks, ["_path", "_block"]).withColumn(
-        ROW_COLUMN, F.col("_start") + F.col("_order") - F.col("_first") + FIRST_DATA_ROW
+    numbered = lines.join(blocks, ["_path", "_block"]).withColumn(
+        ROW_COLUMN, F.col("_start") + F.col("_order") - F.col("_first") + 1
     )
-    return Sheet(name, numbered.select(*SHEET_COLUMNS, ROW_COLUMN, FILE_COLUMN))
+    heading = F.array(*[F.col(_FIELDS)[c] for c in SHEET_COLUMNS])
+    wrong = F.coalesce(heading != F.array(*[F.lit(c) for c in SHEET_COLUMNS]), F.lit(True))
+    other = numbered.filter((F.col(ROW_COLUMN) == 1) & wrong).select(FILE_COLUMN, heading.alias("found")).first()
+    if other:
+        raise ContractError(f"{other[FILE_COLUMN]}: the headings are {other['found']}")
+    rows = numbered.filter((F.col(ROW_COLUMN) >= FIRST_DATA_ROW) & F.col(_FIELDS).isNotNull())
+    return Sheet(name, rows.select(f"{_FIELDS}.*", ROW_COLUMN, FILE_COLUMN))
+
+
+def _struct(columns: str) -> str:
+    """Column definitions as the fields of a struct type."""
+    return columns.replace("` STRING", "`: STRING")
 
 
 def _typed(sheet: Sheet, loaded_at: Column) -> DataFrame:

@@ -30,7 +30,10 @@ def _laid_out(df: DataFrame, name: str) -> DataFrame:
 
 
 def _writer(df: DataFrame, name: str) -> DataFrameWriter:
-    writer = _laid_out(df, name).write.mode("overwrite").format("parquet")
+    # A session set to dynamic overwrite would keep the days that the new rows do not have.
+    writer = (
+        _laid_out(df, name).write.mode("overwrite").option("partitionOverwriteMode", "static").format("parquet")
+    )
     return writer.partitionBy(PARTITION_DAY[name]) if name in PARTITION_DAY else writer
 
 
@@ -53,6 +56,6 @@ def save_table(df: DataFrame, name: str, database: str) -> None:
 
 
 def write_metrics(metrics: dict[str, DataFrame], path: str) -> None:
-    """One JSON folder per named metric frame."""
+    """One JSON folder per named metric frame; NULL metrics are written as null."""
     for name, df in metrics.items():
-        df.write.mode("overwrite").json(f"{path}/{name}")
+        df.write.mode("overwrite").json(f"{path}/{name}", ignoreNullFields=False)
