@@ -209,6 +209,20 @@ STATEMENTS: dict[str, str] = {}
 
 STATEMENTS["ingest_raw"] = _statement(_TO_RAW, "SELECT * FROM raw")
 
+# Sheets from files: every 997th source row has a timestamp that is none.
+STATEMENTS["ingest_csv_sheets"] = STATEMENTS["ingest_parquet_sheets"] = _statement(
+    [
+        LINES,
+        SHEETS.replace("sheets AS", "whole AS"),
+        """
+sheets AS (
+  SELECT * REPLACE (CASE WHEN source_row % 997 = 0 THEN NULL ELSE invoice_date END AS invoice_date) FROM whole
+)""",
+        RAW.replace("strftime(invoice_date, '%Y-%m-%d %H:%M:%S')", "coalesce(strftime(invoice_date, '%Y-%m-%d %H:%M:%S'), '')"),
+    ],
+    "SELECT * EXCLUDE (_source_file, _source_row) FROM raw",
+)
+
 STATEMENTS["clean_customer_id"] = _statement(
     [LINES, SHEETS],
     """
@@ -493,17 +507,16 @@ FROM (SELECT max(_loaded_at) AS max_loaded_at,
       FROM raw) AS aged""",
 )
 
-_LOADS = f"""
+_LOADS_BY = f"""
 loads AS (
-  SELECT strftime(invoice_date, '%Y-%m') AS load, count(*) AS n_rows,
+  SELECT {{}} AS load, count(*) AS n_rows,
          count(*) FILTER (WHERE customer_id IS NULL) AS n_null_ids,
          sum(CAST(quantity * price AS {NUMERIC})) AS revenue, max(CAST(invoice_date AS DATE)) AS max_invoice_date
   FROM raw GROUP BY 1
 )"""
+_LOADS = _LOADS_BY.format("strftime(invoice_date, '%Y-%m')")
 
-STATEMENTS["dq_volume"] = _statement(
-    [*_TO_RAW, _LOADS],
-    """
+_VOLUME = """
 SELECT load, n_rows, round(mean, 2) AS baseline_rows, in_band, max_invoice_date, advanced,
        in_band AND advanced AS passed
 FROM (
@@ -511,8 +524,10 @@ FROM (
          coalesce(max_invoice_date > before, TRUE) AS advanced
   FROM (SELECT *, avg(n_rows) OVER (ORDER BY load ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS mean,
                max(max_invoice_date) OVER (ORDER BY load ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
-        FROM loads) AS trailed) AS judged""",
-)
+        FROM loads) AS trailed) AS judged"""
+
+STATEMENTS["dq_volume"] = _statement([*_TO_RAW, _LOADS], _VOLUME)
+STATEMENTS["dq_volume_by_sheet"] = _statement([*_TO_RAW, _LOADS_BY.format("_source_sheet")], _VOLUME)
 
 STATEMENTS["dq_null_rate"] = _statement(
     _TO_RAW,
@@ -569,6 +584,7 @@ SELECT count(*) FILTER (WHERE customer_id IS NULL) AS null_customer_id,
        count(*) FILTER (WHERE price <= 0) AS nonpositive_price,
        count(*) FILTER (WHERE TRY_CAST(left(stock_code, 5) AS BIGINT) IS NULL) AS service_lines,
        count(*) FILTER (WHERE description IS NULL) AS null_description,
+       count(*) FILTER (WHERE invoice_date IS NULL) AS null_invoice_date,
        count(*) - count(DISTINCT _record_hash) AS duplicate_lines
 FROM raw""",
 )
@@ -578,7 +594,7 @@ STATEMENTS["rebuild_idempotent"] = _statement(
     " UNION ALL ".join(
         f"SELECT '{table}' AS table_name, count(*) AS rows_first, count(*) AS rows_second, TRUE AS identical "
         f"FROM {table}"
-        for table in ["stg", "dim_customer", "dim_product", "fct_sales", "fct_orders", "rfm"]
+        for table in ["raw", "stg", "dim_customer", "dim_product", "fct_sales", "fct_orders", "rfm"]
     ),
 )
 

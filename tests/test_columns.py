@@ -90,13 +90,19 @@ def hash_of(spark, invoice, stock, quantity, when, price, customer):
     )
 
 
-@pytest.mark.parametrize("price", [0.0, 2.1, 2.55, 11062.06, -11062.06, 0.001, 1e6, 1234567.8901])
+@pytest.mark.parametrize("price", [0.0, 2.1, 2.55, 11062.06, -11062.06, 0.001, 1e6, 1234567.8901, -0.00001, -0.00004, 0.00001, -0.00009])
 def test_record_hash_text(spark, price):
     expected = f"489434|85048|12|2009-12-01 07:45:00|{price:.4f}|13085"
     digest = hash_of(spark, "489434", "85048", 12, datetime(2009, 12, 1, 7, 45), price, "13085")
     assert digest == hashlib.md5(expected.encode()).hexdigest()
 
 
+def test_record_hash_of_a_tie_rounds_up(spark):
+    """The decided text of a price whose fifth and last decimal is 5 (printf would give 2.6757)."""
+    expected = hashlib.md5(b"1|2|3||2.6758|").hexdigest()
+    assert hash_of(spark, "1", "2", 3, None, 2.67575, None) == expected
+
+
 def test_record_hash_of_missing_parts(spark):
     expected = hashlib.md5(b"489434|85048||||").hexdigest()
     assert hash_of(spark, "489434", "85048", None, None, None, None) == expected

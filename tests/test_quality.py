@@ -100,6 +100,18 @@ def test_volume(spark):
     assert all(r.advanced for r in rows.values())
 
 
+def test_a_load_that_stands_still_fails(spark):
+    """The second load repeats the last day of the first, the third goes back."""
+    days = {0: 5, 1: 5, 2: 3, 3: 9}
+    raw = raw_frame(
+        spark,
+        *[{"_loaded_at": LOADED_AT + timedelta(days=k), "invoice_date": datetime(2011, 1, d)} for k, d in days.items()],
+    )
+    rows = quality.dq_volume(raw, load=F.col("_loaded_at")).orderBy("load").collect()
+    assert [r.advanced for r in rows] == [True, False, False, True]
+    assert [r.passed for r in rows] == [True, False, False, True]
+
+
 def test_null_rate(spark):
     raw = raw_frame(spark, *([{}] * 77), *([{"customer_id": None}] * 22), {"price": None, "quantity": -1})
     rows = {r.metric: r for r in quality.dq_null_rate(raw).collect()}
@@ -132,7 +144,7 @@ def test_profile(spark):
             {},
             {"customer_id": None, "description": None},
             {"invoice": "C9", "quantity": -1},
-            {"price": 0.0, "stock_code": "DOT"},
+            {"price": 0.0, "stock_code": "DOT", "invoice_date": None},
         )
     ).first()
     assert row.asDict() == {
@@ -142,6 +154,7 @@ def test_profile(spark):
         "nonpositive_price": 1,
         "service_lines": 1,
         "null_description": 1,
+        "null_invoice_date": 1,
         "duplicate_lines": 2,
     }
 

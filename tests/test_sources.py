@@ -2,7 +2,8 @@ from __future__ import annotations
 
 import csv
 import json
-from datetime import date, datetime, timezone
+from datetime import date, datetime, timedelta, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tests.helpers import LOADED_AT, raw_frame
 from tillroll.__main__ import main
 from tillroll.plans import quality
-from tillroll.plans.warehouse import TABLES, publish_catalog, publish_files
+from tillroll.plans.warehouse import TABLES, Warehouse, checks, publish_catalog, publish_files
 from tillroll.schemas import CONTRACTS, ContractError, require_contract
 from tillroll.sources.scratch import scratch_root
 from tillroll.sources.sheets import land, read_csv_sheet, read_parquet_sheet
@@ -281,22 +282,50 @@ def test_whole_run(spark, tmp_path):
     assert main([*sheets, "--out", str(tmp_path / "out"), "--start-date", "2010-01-01"]) == 0
     assert spark.read.parquet(str(tmp_path / "out" / "fct_sales")).count() == 3
 
-    def document(name):
-        parts = sorted((tmp_path / "out" / "analysis" / name).glob("*.json"))
+    def document(name, folder="analysis"):
+        parts = sorted((tmp_path / "out" / folder / name).glob("*.json"))
         return [json.loads(text) for part in parts for text in part.read_text().splitlines()]
 
     assert document("totals")[0]["known_customers"] == 2
     assert document("monthly_revenue")[0] | {"orders": 2, "net_revenue_gbp": 10.2} == document("monthly_revenue")[0]
-    assert all(check["passed"] for check in document("assertions"))
+    for name in ("assertions", "not_null", "unique", "relationships", "freshness"):
+        assert document(name, "checks") and all(check["passed"] for check in document(name, "checks"))
+    assert document("profile")[0]["duplicate_lines"] == 1
+    assert {c["arm"] for c in document("winback_customers")} <= {"control", "treatment"}
+    assert document("kpi")[0]["customers"] == 2 and document("geography")[0]["country"] == "France"
     assert len(document("top_customers")) == 2
 
 
-def test_failed_assertion_sets_the_exit_code(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("passed, code", [(False, 2), (True, 0)])
+def test_a_failed_check_sets_the_exit_code(spark, tmp_path, monkeypatch, passed, code):
     write_csv(tmp_path / "a.csv", [line(1)])
-    failing = spark.range(1).select(F.lit("a check").alias("check"), F.lit(False).alias("passed"))
-    monkeypatch.setattr("tillroll.__main__.analysis", lambda tables, start: {"assertions": failing})
+    result = spark.range(1).select(F.lit("a check").alias("check"), F.lit(passed).alias("passed"))
+    monkeypatch.setattr("tillroll.__main__.checks", lambda tables, now: {"unique": result})
+    monkeypatch.setattr("tillroll.__main__.analysis", lambda tables, start: {})
     out = str(tmp_path / "out")
-    assert main([f"A={tmp_path}/a.csv", "--out", out, "--start-date", "2010-01-01"]) == 2
+    assert main([f"A={tmp_path}/a.csv", "--out", out, "--start-date", "2010-01-01"]) == code
+
+
+def test_a_late_load_only_warns(spark):
+    tables = {"raw": raw_frame(spark, {})}
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("dq_assertions", "dq_not_null", "dq_unique", "dq_relationships"):
+            patch.setattr(quality, name, lambda _: None)
+        passed = [checks(tables, LOADED_AT + timedelta(hours=h))["freshness"].first().passed for h in (1, 40, 80)]
+    assert passed == [True, True, False]
+
+
+def test_closed_warehouse_leaves_no_files(spark):
+    warehouse = Warehouse(lambda: small_raw(spark))
+    kept = {name: warehouse[name] for name in ("raw", "stg", "fct_sales")}
+    folder = Path(kept["stg"].inputFiles()[0].removeprefix("file:")).parent
+    assert folder.exists()
+    given = Warehouse.over(kept["raw"])
+    given["stg"].count()
+    given.close()
+    assert kept["raw"].count() == 5  # what was handed in stays
+    warehouse.close()
+    assert not folder.exists()
 
 
 def test_scratch_follows_the_session(spark):

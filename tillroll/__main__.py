@@ -1,7 +1,7 @@
 """Land sheets, publish the tables, write the results: ``python -m tillroll A=a.csv B=b.csv --out DIR``.
 
-Exits with 2 when a build assertion fails. All results are written first, so a failing run can be
-looked into.
+Exits with 2 when a build assertion, a test of nulls, keys or references, or freshness fails (a warning
+does not). All results are written first, so a failing run can be looked into.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from datetime import date, datetime, timezone
 
 from pyspark.sql import SparkSession
 
-from tillroll.plans.warehouse import analysis, publish_catalog, publish_files
+from tillroll.plans.warehouse import analysis, checks, monitors, publish_catalog, publish_files
 from tillroll.sources.sheets import land, read_csv_sheet, read_parquet_sheet
 from tillroll.sources.sinks import write_metrics
 
@@ -30,17 +30,25 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("tillroll").getOrCreate()
     read = read_csv_sheet if args.format == "csv" else read_parquet_sheet
     sheets = [read(spark, path, name) for name, path in (sheet.split("=", 1) for sheet in args.sheets)]
-    raw = land(sheets, datetime.now(timezone.utc))
+    now = datetime.now(timezone.utc)
+    raw = land(sheets, now)
 
     if args.database:
         tables = publish_catalog(raw, args.database, args.staging_view)
     else:
         tables = publish_files(raw, args.out)
 
-    write_metrics(analysis(tables, args.start_date), f"{args.out}/analysis")
-    assertions = spark.read.json(f"{args.out}/analysis/assertions")
-    assertions.show(truncate=False)
-    return 0 if assertions.filter("NOT passed").isEmpty() else 2
+    write_metrics(analysis(tables, args.start_date) | monitors(tables), f"{args.out}/analysis")
+    required = checks(tables, now)
+    write_metrics(required, f"{args.out}/checks")
+    failed = []
+    for name in required:
+        written = spark.read.json(f"{args.out}/checks/{name}")
+        if not written.filter("NOT passed").isEmpty():
+            failed.append(name)
+            written.filter("NOT passed").show(truncate=False)
+    print(f"checks: {', '.join(failed)} failed" if failed else "checks: all passed")
+    return 2 if failed else 0
 
 
 if __name__ == "__main__":

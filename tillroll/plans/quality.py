@@ -146,12 +146,13 @@ def dq_freshness(
     return aged.withColumn("status", status)
 
 
-def _per_load(raw: DataFrame) -> DataFrame:
-    """Row count, missing ids, exact revenue and last day of each load (an invoice month).
+def _per_load(raw: DataFrame, load: Column | None = None) -> DataFrame:
+    """Row count, missing ids, exact revenue and last day of each load; without ``load`` an invoice month.
 
-    The calendar bounds the result, so the trailing windows below run over a few dozen rows.
+    Loads are few, months at most a few hundred, so the trailing windows below run over as many rows.
     """
-    return raw.groupBy(month(F.col("invoice_date")).alias("load")).agg(
+    key = month(F.col("invoice_date")) if load is None else load
+    return raw.groupBy(key.alias("load")).agg(
         F.count("*").alias("n_rows"),
         F.count_if(F.col("customer_id").isNull()).alias("n_null_ids"),
         F.sum((F.col("quantity") * F.col("price")).cast("decimal(38,9)")).alias("revenue"),
@@ -159,16 +160,19 @@ def _per_load(raw: DataFrame) -> DataFrame:
     )
 
 
-def dq_volume(raw: DataFrame, trailing: int = 6, tolerance: float = 0.5) -> DataFrame:
+def dq_volume(
+    raw: DataFrame, trailing: int = 6, tolerance: float = 0.5, load: Column | None = None
+) -> DataFrame:
     """Is each load's row count within a band around the trailing mean, and does its last day advance?
 
-    The first load has nothing to compare with and passes.
+    ``load`` tells loads apart and orders them, such as ``_loaded_at`` or ``_source_sheet``; invoice months,
+    the default, advance by their nature. The first load has nothing to compare with and passes.
     """
     by_load = Window.orderBy("load")
     baseline = by_load.rowsBetween(-trailing, -1)
     mean = F.sum("n_rows").over(baseline) / F.count("n_rows").over(baseline)
     checked = (
-        _per_load(raw)
+        _per_load(raw, load)
         .select("load", "n_rows", "max_invoice_date")
         .withColumn("_mean", F.when(F.count("n_rows").over(baseline) > 0, mean))
         .withColumn("_before", F.max("max_invoice_date").over(by_load.rowsBetween(Window.unboundedPreceding, -1)))
@@ -261,6 +265,7 @@ def dq_profile(raw: DataFrame) -> DataFrame:
         F.count_if(F.col("price") <= 0).alias("nonpositive_price"),
         F.count_if(is_service_code(F.col("stock_code"))).alias("service_lines"),
         F.count_if(F.col("description").isNull()).alias("null_description"),
+        F.count_if(F.col("invoice_date").isNull()).alias("null_invoice_date"),
     ).select("*", copies.agg(F.coalesce(F.sum("extra"), F.lit(0))).scalar().alias("duplicate_lines"))
 
 

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
-from datetime import date
+from datetime import date, datetime
 from threading import RLock
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from tillroll.plans import analytics, marts, quality, rfm as scoring, staging
+from tillroll.plans import analytics, campaign, marts, quality, rfm as scoring, staging
 from tillroll.schemas import CONTRACTS, require_contract
-from tillroll.sources.scratch import hold
+from tillroll.sources.scratch import hold, release
 from tillroll.sources.sinks import read_table_files, save_table, write_table_files
 
 # Every model and the table it is built from, in build order.
@@ -42,6 +42,7 @@ class Warehouse(Mapping[str, DataFrame]):
     def __init__(self, raw: Callable[[], DataFrame]):
         self._raw = raw
         self._built: dict[str, DataFrame] = {}
+        self._given: set[str] = set()
         self._lock = RLock()
 
     @classmethod
@@ -49,8 +50,21 @@ class Warehouse(Mapping[str, DataFrame]):
         """The tables of a raw table that has already landed."""
         warehouse = cls(lambda: raw)
         warehouse._built["raw"] = require_contract(raw, "raw")
+        warehouse._given.add("raw")
         return warehouse
 
+    def again(self) -> Warehouse:
+        """A second, independent build from the same source."""
+        return Warehouse(self._raw)
+
+    def close(self) -> None:
+        """Delete the tables from shared storage; they must not be read any more."""
+        with self._lock:
+            for name in [*self._built]:
+                table = self._built.pop(name)
+                if name not in VIEWS and name not in self._given:
+                    release(table)
+
     def __getitem__(self, name: str) -> DataFrame:
         with self._lock:
             if name not in self._built:
@@ -110,7 +124,7 @@ def analysis(tables: Mapping[str, DataFrame], start_date: date) -> dict[str, Dat
     customers, products = tables["dim_customer"], tables["dim_product"]
     sales, orders, rfm = tables["fct_sales"], tables["fct_orders"], tables["rfm"]
     return {
-        "assertions": quality.dq_assertions(tables),
+        # questions
         "top_customers": analytics.q1_top_customers(customers),
         "monthly_revenue": analytics.q2_monthly_revenue(sales),
         "outlier_orders": analytics.q3_outlier_orders(orders),
@@ -121,4 +135,37 @@ def analysis(tables: Mapping[str, DataFrame], start_date: date) -> dict[str, Dat
         "repeat": scoring.repeat_rate(customers),
         "pareto": scoring.pareto_top20(rfm),
         "winback_target": scoring.winback_target(rfm),
+        # explorer
+        "kpi": analytics.kpi_row(customers, orders, sales),
+        "monthly_trend": analytics.monthly_trend(sales),
+        "explorer_segments": scoring.explorer_segments(rfm),
+        "top_products_all_time": analytics.top_products_all_time(sales, products),
+        "geography": analytics.geo_top_k(orders),
+        "order_counts": analytics.order_count_distribution(customers),
+        # campaign
+        "winback_customers": campaign.winback_holdout(rfm),
+        "winback_impact": campaign.winback_impact(rfm),
+    }
+
+
+def checks(tables: Mapping[str, DataFrame], now: datetime) -> dict[str, DataFrame]:
+    """The checks a run must pass, by name. All have ``passed``; freshness only fails on an error."""
+    fresh = quality.dq_freshness(tables["raw"], now)
+    return {
+        "assertions": quality.dq_assertions(tables),
+        "not_null": quality.dq_not_null(tables),
+        "unique": quality.dq_unique(tables),
+        "relationships": quality.dq_relationships(tables),
+        "freshness": fresh.withColumn("passed", F.col("status") != "error"),
+    }
+
+
+def monitors(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Figures to watch, by name: they report what is unusual and stop nothing."""
+    raw = tables["raw"]
+    return {
+        "volume": quality.dq_volume(raw),
+        "null_rate": quality.dq_null_rate(raw),
+        "anomaly": quality.dq_metric_anomaly(raw),
+        "profile": quality.dq_profile(raw),
     }

@@ -23,6 +23,11 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """An unused address in the shared folder, below the application id."""
+    return f"{scratch_root(spark)}/{spark.conf.get('spark.app.id')}/{name}-{uuid.uuid4().hex}"
+
+
 def hold(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a scan of it.
 
@@ -30,6 +35,18 @@ def hold(df: DataFrame, name: str) -> DataFrame:
     push filters. Each call uses a new folder, so nothing is ever overwritten under a reader.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{spark.conf.get('spark.app.id')}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(table: DataFrame) -> None:
+    """Delete the folder of a table that :func:`hold` returned; it must not be read any more."""
+    spark = table.sparkSession
+    root = f"{scratch_root(spark)}/{spark.conf.get('spark.app.id')}/"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        # Only what is below this application's folder was written by hold().
+        if root.split(":", 1)[-1].strip("/") in folder:
+            path = hadoop(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

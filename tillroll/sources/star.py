@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tillroll.sources.sheets import FILE_COLUMN, ROW_COLUMN, Sheet
+from tillroll.schemas import SHEET_COLUMNS
+from tillroll.sources.scratch import new_path
+from tillroll.sources.sheets import FILE_COLUMN, ROW_COLUMN, Sheet, read_csv_sheet, read_parquet_sheet
 
 # Sheet B starts one month before sheet A ends (fixed values).
 SHEET_A_END = "1998-07-01"
@@ -26,6 +28,16 @@ def _stock_code(part: Column, service_only: Column) -> Column:
     )
 
 
+TABLES = ("lineitem", "orders", "customer", "nation", "part")
+
+
+def tables_state(spark: SparkSession, sf_dir: str) -> tuple[int, ...]:
+    """When each star table was last changed."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet") for name in TABLES]
+    conf = spark._jsc.hadoopConfiguration()
+    return tuple(p.getFileSystem(conf).getFileStatus(p).getModificationTime() for p in paths)
+
+
 def star_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order line under the source sheet's headings. Spark picks the join strategies."""
 
@@ -79,3 +91,28 @@ def star_sheets(spark: SparkSession, sf_dir: str) -> list[Sheet]:
             lines.filter(day >= F.lit(SHEET_B_START).cast("timestamp_ntz")).withColumn("Description", reworded),
         ),
     ]
+
+
+# Every so many source rows have a timestamp that is none (fixed value).
+BAD_TIMESTAMP_EVERY = 997
+
+
+def sheets_from_files(spark: SparkSession, sf_dir: str, kind: str) -> list[Sheet]:
+    """The star sheets written to shared storage as folders of ``csv`` or ``parquet`` files and read again.
+
+    Some timestamps are text that is none. Row numbers are those of the written files.
+    """
+    bad = F.col(ROW_COLUMN) % BAD_TIMESTAMP_EVERY == 0
+    when = F.when(bad, "not a date").otherwise(F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss"))
+    read = {"csv": read_csv_sheet, "parquet": read_parquet_sheet}[kind]
+    landed = []
+    for sheet in star_sheets(spark, sf_dir):
+        path = new_path(spark, f"sheet-{sheet.name}")
+        writer = sheet.frame.withColumn("InvoiceDate", when).select(*SHEET_COLUMNS).write
+        if kind == "csv":
+            # Leading and trailing blanks are part of a field.
+            writer.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        else:
+            writer.parquet(path)
+        landed.append(read(spark, path, sheet.name))
+    return landed
