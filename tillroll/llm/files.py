@@ -41,11 +41,16 @@ def open_file(address: str) -> pa.NativeFile:
 
 
 def sample(df: DataFrame, key: Column, value: Column) -> list[bytes]:
-    """At most SAMPLE_DOCS values of at most SAMPLE_DOC_BYTES, the same ones in every run."""
+    """At most SAMPLE_DOCS values of at most SAMPLE_DOC_BYTES, the same ones in every run.
+
+    The least hashes are found first, without the values; then the rows that have them are fetched.
+    """
     small = df.select(F.xxhash64(key, value).alias("order"), value.cast("binary").alias("value")).filter(
         (F.octet_length("value") > 0) & (F.octet_length("value") <= SAMPLE_DOC_BYTES)
     )
-    return [bytes(r["value"]) for r in small.orderBy("order").limit(SAMPLE_DOCS).collect()]
+    least = [r["order"] for r in small.select("order").orderBy("order").limit(SAMPLE_DOCS).collect()]
+    chosen = small.filter(F.col("order").isin(least)).dropDuplicates(["order"]).collect()
+    return [bytes(r["value"]) for r in sorted(chosen, key=lambda r: r["order"])]
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:

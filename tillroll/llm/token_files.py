@@ -11,7 +11,9 @@ from __future__ import annotations
 import functools
 import json
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,45 +38,58 @@ READ_ROWS = 2048
 # Words one worker remembers the ids of; beyond it the memory starts anew.
 WORDS_KEPT = 500_000
 
+# Marks that may stand behind a word: ASCII, neither letters, digits nor white space (fixed values).
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
 
 class WordIds(dict):
     """Serialized ids of words, worked out when first asked for.
 
     For a tokenizer that splits at white space and lower-cases character by character, the ids of a text
-    are those of its words, one after the other; invented or rare words are few against all words.
+    are those of its words, one after the other; invented or rare words are few against all words. A word
+    of simple letters is one piece for the model, and marks behind it are another.
     """
 
     def __init__(self, tokenizer: tokenizers.Tokenizer, width: int):
         super().__init__()
         self.tokenizer = tokenizer
-        self.kind = np.dtype(f"<u{width}")
+        self.model = tokenizer.model
+        self.kind = {2: "H", 4: "I"}[width]
         spell = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         # Letters below U+0250 have one form in NFC; these are the characters the model spells them with.
         self.spelling = {c: spell(chr(c))[0][0] for c in range(0x80, 0x250) if chr(c).isalpha()}
 
-    def plain(self, word: str) -> str | None:
-        """The piece a word of simple letters becomes; None if only the whole tokenizer can tell."""
-        if word.isalpha() and max(word) < "ɐ":
-            lower = word.lower()
+    def piece(self, stem: bytes) -> str | None:
+        """What a word of simple letters is to the model; None if only the whole tokenizer can tell."""
+        if stem.isalpha():  # ASCII letters
+            return stem.lower().decode()
+        text = stem.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < "ɐ":
+            lower = text.lower()
             if lower.isalpha() and max(lower) < "ɐ":
-                return lower if lower.isascii() else lower.translate(self.spelling)
+                return lower.translate(self.spelling)
         return None
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        tail = b""
-        piece = self.plain(text)
-        if piece is None and text[-1] in ",." and (piece := self.plain(text[:-1])) is not None:
-            tail = self.whole(text[-1])
-        ids = self.whole(text) if piece is None else self.serial([t.id for t in self.tokenizer.model.tokenize(piece)])
-        self[word] = ids + tail
-        return self[word]
+        stem = word.rstrip(MARKS)
+        piece = self.piece(stem) if stem else None
+        if piece is None:
+            ids = self.whole(word.decode("utf-8", "replace"))
+        else:
+            ids = self.serial([t.id for t in self.model.tokenize(piece)])
+            if len(stem) < len(word):
+                ids += self[word[len(stem) :]]
+        self[word] = ids
+        return ids
 
     def whole(self, text: str) -> bytes:
         return self.serial(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def serial(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
+        numbers = array(self.kind, ids)
+        if sys.byteorder == "big":
+            numbers.byteswap()
+        return numbers.tobytes()
 
 
 def _word_by_word(tokenizer: tokenizers.Tokenizer) -> bool:
@@ -88,7 +103,7 @@ def _word_by_word(tokenizer: tokenizers.Tokenizer) -> bool:
         and steps == ["NFC", "Replace", "Lowercase"]
         and cuts == ["Split", "ByteLevel"]
         and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]
-        # Fixed value: the pattern for which words of letters, with or without one mark behind, are cut as above.
+        # Fixed value: the pattern for which words of letters, with or without marks behind, are cut as above.
         == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
     )
 
