@@ -11,7 +11,7 @@ import corpus_pipeline
 from tests.llm.frames import empty, messy
 from tests.llm.test_decontaminate import plain
 from tests.llm.test_mixing import targets_by_hand, words
-from tests.llm.test_simhash import groups_by_hand, slow_simhash
+from tests.llm.test_simhash import similar_by_hand
 from tillroll.llm import quality
 from tillroll.llm.common import id_remainder
 from tillroll.sources.scratch import hold
@@ -60,8 +60,8 @@ def test_quality_against_ridge_in_one_piece(spark, results):
 
 
 def test_near_duplicates(results):
-    prints = {r["doc_id"]: slow_simhash(r["text"]) for r in results["quality"].collect()}
-    assert ids(results["near_duplicates"]) == sorted(set(groups_by_hand(prints).values()))
+    texts = {r["doc_id"]: r["text"] for r in results["quality"].collect()}
+    assert ids(results["near_duplicates"]) == sorted(set(similar_by_hand(texts).values()))
 
 
 def test_decontamination(spark, results):

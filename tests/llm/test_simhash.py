@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -43,6 +44,24 @@ def groups_by_hand(prints: dict) -> dict:
     return roots(prints, links)
 
 
+def shingles_of(text: str | None) -> set:
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar_by_hand(texts: dict) -> dict:
+    """Groups over all pairs that share 0.8 of their five-word shingles."""
+    sets = {d: shingles_of(t) for d, t in texts.items()}
+    items = list(sets.items())
+    links = [
+        (a, b)
+        for k, (a, x) in enumerate(items)
+        for b, y in items[:k]
+        if (not x and not y) or (min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y))
+    ]
+    return roots(sets, links)
+
+
 def test_query_against_all_pairs(spark):
     documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     prints = {r["doc_id"]: slow_simhash(r["text"]) for r in documents.collect()}
@@ -97,12 +116,47 @@ def test_messy_rows(spark):
     assert kept[0].asDict().keys() == docs.first().asDict().keys()
 
 
-def test_one_of_each_group_stays(spark):
-    near = PROSE * 30
-    docs = frame(spark, [doc(k, near if k % 2 else near + f" end{k % 6}") for k in range(40)] + [doc(99, "quite another text")])
-    prints = {k: slow_simhash(near if k % 2 else near + f" end{k % 6}") for k in range(40)}
-    group = groups_by_hand(prints | {99: slow_simhash("quite another text")})
-    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == sorted(set(group.values()))
+def test_similar_texts_against_all_pairs(spark):
+    """Copies with a few to many changed words, in families that also spread step by step."""
+    draw = random.Random(5)
+    texts, n = {}, 0
+    for _ in range(25):
+        words = [f"w{draw.randrange(4000)}" for _ in range(draw.choice([30, 120, 400]))]
+        for _ in range(8):
+            texts[n] = " ".join(words)
+            n += draw.choice([1, 2])
+            for _ in range(draw.choice([0, 1, 2, len(words) // 40, len(words) // 8])):
+                words[draw.randrange(len(words))] = f"new{draw.randrange(9999)}"
+    texts |= {n + 1: "one two", n + 2: "One  TWO", n + 3: "one three", n + 4: None, n + 5: " "}
+    expected = similar_by_hand(texts)
+    docs = frame(spark, [doc(d, t) for d, t in texts.items()])
+    assert {r["_id"]: r["_group"] for r in simhash.similar_groups(docs).collect()} == expected
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == sorted(set(expected.values()))
+
+
+def test_similar_documents_of_the_tables(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    expected = similar_by_hand({r["doc_id"]: r["text"] for r in documents.collect()})
+    assert {r["_id"]: r["_group"] for r in simhash.similar_groups(documents).collect()} == expected
+    assert len(set(expected.values())) < len(expected)
+
+
+def test_a_large_family_of_near_copies(spark):
+    """Every copy has a change of its own; all hang together though few pairs are compared."""
+    base = [f"word{k}" for k in range(200)]
+    rows = [doc(k, " ".join([*base[: k % 200], f"own{k}", *base[k % 200 :]])) for k in range(1500)]
+    assert {r["_group"] for r in simhash.similar_groups(frame(spark, rows)).collect()} == {0}
+
+
+def test_long_fingerprints_measure_similarity():
+    draw = random.Random(6)
+    words = [f"w{draw.randrange(9000)}" for _ in range(800)]
+    other = words[:700] + [f"x{k}" for k in range(100)]
+    one, two = (simhash.long_simhash(" ".join(w).encode()) for w in (words, other))
+    apart = sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(one[0], two[0]))
+    truth = len(shingles_of(" ".join(words)) & shingles_of(" ".join(other))) / len(shingles_of(" ".join(words)) | shingles_of(" ".join(other)))
+    cosine = math.cos(apart * math.pi / 1024) * (one[1] * two[1]) ** 0.5
+    assert cosine / (one[1] + two[1] - cosine) == pytest.approx(truth, abs=0.06)
 
 
 def test_empty_table(spark):
