@@ -185,7 +185,7 @@ def fit(docs: DataFrame) -> Model:
         return Model()
     each = min(ROWS_PER_LANGUAGE, max(LEAST_ROWS, ROWS_IN_ALL // n))
     keys = chosen.filter(F.col("nth") <= each).select("lang", "order").distinct()
-    texts = rows.join(F.broadcast(keys), ["lang", "order"]).dropDuplicates(["lang", "order"])
+    texts = rows.join(hold(keys, "language-keys"), ["lang", "order"]).dropDuplicates(["lang", "order"])
     learned = texts.select("lang", "order", _features_of("text").alias("x")).orderBy("lang", "order").collect()
     return train(np.array([r["x"] for r in learned], dtype=np.float32), [r["lang"] for r in learned])
 
