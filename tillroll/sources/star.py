@@ -97,22 +97,25 @@ def star_sheets(spark: SparkSession, sf_dir: str) -> list[Sheet]:
 BAD_TIMESTAMP_EVERY = 997
 
 
-def sheets_from_files(spark: SparkSession, sf_dir: str, kind: str) -> list[Sheet]:
-    """The star sheets written to shared storage as folders of ``csv`` or ``parquet`` files and read again.
+def write_sheet(spark: SparkSession, sheet: Sheet, kind: str) -> tuple[str, str]:
+    """A sheet as a folder of ``csv`` or ``parquet`` files in shared storage; returns its name and address.
 
-    Some timestamps are text that is none. Row numbers are those of the written files.
+    Some timestamps are text that is none.
     """
+    path = new_path(spark, f"sheet-{sheet.name}")
     bad = F.col(ROW_COLUMN) % BAD_TIMESTAMP_EVERY == 0
     when = F.when(bad, "not a date").otherwise(F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss"))
+    writer = sheet.frame.withColumn("InvoiceDate", when).select(*SHEET_COLUMNS).write
+    if kind == "csv":
+        # Leading and trailing blanks are part of a field.
+        writer.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    else:
+        writer.parquet(path)
+    return sheet.name, path
+
+
+def sheets_from_files(spark: SparkSession, sf_dir: str, kind: str) -> list[Sheet]:
+    """The star sheets, written and read again. Row numbers are those of the written files."""
     read = {"csv": read_csv_sheet, "parquet": read_parquet_sheet}[kind]
-    landed = []
-    for sheet in star_sheets(spark, sf_dir):
-        path = new_path(spark, f"sheet-{sheet.name}")
-        writer = sheet.frame.withColumn("InvoiceDate", when).select(*SHEET_COLUMNS).write
-        if kind == "csv":
-            # Leading and trailing blanks are part of a field.
-            writer.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-        else:
-            writer.parquet(path)
-        landed.append(read(spark, path, sheet.name))
-    return landed
+    written = [write_sheet(spark, sheet, kind) for sheet in star_sheets(spark, sf_dir)]
+    return [read(spark, path, name) for name, path in written]
