@@ -210,17 +210,20 @@ STATEMENTS: dict[str, str] = {}
 STATEMENTS["ingest_raw"] = _statement(_TO_RAW, "SELECT * FROM raw")
 
 # Sheets from files: every 997th source row has a timestamp that is none.
-STATEMENTS["ingest_csv_sheets"] = STATEMENTS["ingest_parquet_sheets"] = _statement(
-    [
-        LINES,
-        SHEETS.replace("sheets AS", "whole AS"),
-        """
+_FILES = [
+    LINES,
+    SHEETS.replace("sheets AS", "whole AS"),
+    """
 sheets AS (
   SELECT * REPLACE (CASE WHEN source_row % 997 = 0 THEN NULL ELSE invoice_date END AS invoice_date) FROM whole
 )""",
-        RAW.replace("strftime(invoice_date, '%Y-%m-%d %H:%M:%S')", "coalesce(strftime(invoice_date, '%Y-%m-%d %H:%M:%S'), '')"),
-    ],
-    "SELECT * EXCLUDE (_source_file, _source_row) FROM raw",
+    RAW.replace("strftime(invoice_date, '%Y-%m-%d %H:%M:%S')", "coalesce(strftime(invoice_date, '%Y-%m-%d %H:%M:%S'), '')"),
+]
+STATEMENTS["ingest_parquet_sheets"] = _statement(_FILES, "SELECT * EXCLUDE (_source_file, _source_row) FROM raw")
+# An empty CSV field is NULL.
+STATEMENTS["ingest_csv_sheets"] = _statement(
+    _FILES,
+    "SELECT * EXCLUDE (_source_file, _source_row) REPLACE (nullif(country, '') AS country) FROM raw",
 )
 
 STATEMENTS["clean_customer_id"] = _statement(

@@ -58,9 +58,9 @@ _CSV_OPTIONS = {"mode": "FAILFAST", "escape": '"'}
 def read_csv_sheet(spark: SparkSession, path: str, name: str, multiline: bool = False) -> Sheet:
     """A sheet stored as CSV with a header line; every field is read as text and typed on landing.
 
-    A line with too many or too few fields, an open quote or other headings fails the load. Blank lines
-    hold no row but are counted, so that a row's number is its line. With ``multiline`` fields may hold
-    line breaks; then one task reads a file and rows are counted instead of lines.
+    A line with too many or too few fields, an open quote or other headings fails the load. An empty field
+    is NULL, quoted or not. Blank lines hold no row but are counted, so that a row's number is its line.
+    With ``multiline`` fields may hold line breaks; then one task reads a file and rows are counted instead.
 
     Writes when called: a text scan does not know line numbers, so the fields are written once with the
     file block they came from and their order inside it; a running total over blocks (not lines) gives
