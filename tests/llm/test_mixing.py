@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -48,8 +48,11 @@ def test_targets_and_copies(spark):
     planned = check(docs)
     assert len(planned) == docs.count()
     assert {r["copies"] for r in planned if r["doc_id"] == 9 and r["text"]} and all(r["a.b"] == "mine 11" for r in planned)
-    emitted = mixing.emit(mixing.plan_mix(docs)).collect()
-    assert len(emitted) == sum(r["copies"] for r in planned)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"], r["copies"]) for r in mixed.collect()) == sum(
+        (Counter({(r["doc_id"], r["text"], "mine 4"): r["copies"]}) for r in planned), Counter()
+    )
 
 
 def test_small_sources_stop_and_the_rest_is_shared_again(spark):
@@ -75,4 +78,4 @@ def test_reruns_agree_and_seeds_do_not(spark):
 
 
 def test_empty_table(spark):
-    assert mixing.emit(mixing.plan_mix(empty(spark))).collect() == []
+    assert mixing.mix(empty(spark)).collect() == [] == mixing.plan_mix(empty(spark)).collect()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillroll.llm.common import column, packed, running_totals, unpacked, word_count
+from tillroll.llm.common import ROW, column, packed, running_totals, unpacked, word_count
 from tillroll.sources.scratch import hold
 
 WEIGHTS = (5, 2, 1)
@@ -74,19 +74,8 @@ def chance(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
-def plan_mix(
-    docs: DataFrame,
-    seed: int = 5,
-    weights: tuple[int, ...] = WEIGHTS,
-    most_repeats: int = MOST_REPEATS,
-    share_percent: int = SHARE_PERCENT,
-) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``, the times each document is emitted.
-
-    A document is emitted floor(rate) times and once more with a probability equal to the fraction, by
-    a hash of seed and doc_id; reruns and recomputed tasks agree. Null text has no words, a null source
-    is a source of its own, rows with the same doc_id (or none) share one draw, an empty table stays
-    empty. Input columns named like an added one give way to it.
+def _planned(docs: DataFrame, seed: int, weights: tuple[int, ...], most_repeats: int, share_percent: int) -> DataFrame:
+    """Packed rows with ``_size``, ``_source_size``, ``_target`` and ``_copies``.
 
     The narrow sizes are summed per source first, so a source with a third of all rows meets in partial
     sums only; the few target rows go back by a join that Spark broadcasts if they are small on disk
@@ -100,26 +89,49 @@ def plan_mix(
         share_percent,
     )
     known = targets.withColumnRenamed("_source", "_of")
-    joined = sized.join(known, F.col("_source").eqNullSafe(F.col("_of")))
     whole_copies = F.floor(F.col("_rate"))
     drawn = chance(F.lit(seed), F.col("_row.doc_id")) < F.col("_rate") - whole_copies
-    return joined.select(
+    return sized.join(known, F.col("_source").eqNullSafe(F.col("_of"))).withColumn(
+        "_copies", whole_copies + drawn.cast("bigint")
+    )
+
+
+def plan_mix(
+    docs: DataFrame,
+    seed: int = 5,
+    weights: tuple[int, ...] = WEIGHTS,
+    most_repeats: int = MOST_REPEATS,
+    share_percent: int = SHARE_PERCENT,
+) -> DataFrame:
+    """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``, the times the mix takes each document.
+
+    A document is taken floor(rate) times and once more with a probability equal to the fraction, by a
+    hash of seed and doc_id; reruns and recomputed tasks agree. Null text has no words, a null source is a
+    source of its own, rows with the same doc_id (or none) share one draw, an empty table stays empty.
+    Input columns named like an added one give way to it.
+    """
+    return _planned(docs, seed, weights, most_repeats, share_percent).select(
         *unpacked(
             docs.columns,
             {
                 "size": F.col("_size"),
                 "source_size": F.col("_source_size"),
                 "target": F.col("_target"),
-                "copies": whole_copies + drawn.cast("bigint"),
+                "copies": F.col("_copies"),
             },
         )
     )
 
 
-def emit(planned: DataFrame) -> DataFrame:
-    """Each row of a plan ``copies`` times, numbered from 0 in ``copy``."""
-    copies = F.when(F.col("copies") > 0, F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).otherwise(
-        F.array().cast("array<int>")
-    )
-    kept = [column(c) for c in planned.columns if c not in ("copies", "copy")]
-    return planned.select(*kept, F.explode(copies).alias("copy"))
+def mix(
+    docs: DataFrame,
+    seed: int = 5,
+    weights: tuple[int, ...] = WEIGHTS,
+    most_repeats: int = MOST_REPEATS,
+    share_percent: int = SHARE_PERCENT,
+) -> DataFrame:
+    """The rows of ``docs``, with their columns, each as often as :func:`plan_mix` takes it."""
+    none = F.array().cast("array<int>")
+    copies = F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies").cast("int"))).otherwise(none)
+    planned = _planned(docs, seed, weights, most_repeats, share_percent)
+    return planned.select(ROW, F.explode(copies).alias("_copy")).select(*unpacked(docs.columns, {}))
