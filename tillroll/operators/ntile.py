@@ -12,6 +12,8 @@ rows and assigns tiles by comparison:
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillroll.schemas import MONEY
@@ -23,10 +25,12 @@ def _position(key: Column, tie: Column) -> Column:
     return F.struct(key.isNull().alias("missing"), key.cast(MONEY).alias("key"), tie.alias("tie"))
 
 
-def tile_cuts(df: DataFrame, keys: dict[str, Column], tie: str, tiles: int) -> DataFrame:
+def tile_cuts(
+    df: DataFrame, keys: dict[str, Column], tie: str, tiles: int, wanted: Sequence[int] | None = None
+) -> DataFrame:
     """One row, ``cuts``: per score name, the last position of each of its tiles but the last one.
 
-    ``keys`` maps a score name to its ascending numeric sort key. All scores share one range
+    ``wanted`` picks some of the tiles. Writes the positions when called. ``keys`` maps a score name to its ascending numeric sort key. All scores share one range
     shuffle: the score name leads the sort order. ``tie`` must be unique within ``df``.
     """
     scores = F.array(
@@ -48,21 +52,21 @@ def tile_cuts(df: DataFrame, keys: dict[str, Column], tie: str, tiles: int) -> D
     last_ranks = F.array(
         *[
             F.lit(t) * F.expr(f"total div {tiles}") + F.least(F.lit(t), F.col("total") % tiles)
-            for t in range(1, tiles)
+            for t in wanted or range(1, tiles)
         ]
     )
     offsets = F.filter(
         F.transform(last_ranks, lambda rank: rank - F.col("start")), lambda i: (i >= 1) & (i <= F.col("n"))
     )
-    wanted = placed.select("score", "part", offsets.alias("offsets")).filter(F.size("offsets") > 0)
+    holding = placed.select("score", "part", offsets.alias("offsets")).filter(F.size("offsets") > 0)
 
     def cut_points(score: str) -> Column:
         return F.sort_array(F.collect_list(F.when(F.col("score") == score, F.col("pos"))))
 
-    # At most (tiles - 1) partitions per score hold a cut, so `wanted` has a fixed size bound.
+    # At most (tiles - 1) partitions per score hold a cut, so `holding` has a fixed size bound.
     in_part = Window.partitionBy("score", "part").orderBy("pos")
     return (
-        positions.join(F.broadcast(wanted), ["score", "part"])
+        positions.join(F.broadcast(holding), ["score", "part"])
         .withColumn("i", F.row_number().over(in_part).cast("bigint"))
         .filter(F.array_contains("offsets", F.col("i")))
         .agg(F.struct(*[cut_points(score).alias(score) for score in keys]).alias("cuts"))
@@ -83,3 +87,9 @@ def with_tiles(df: DataFrame, keys: dict[str, Column], tie: str, tiles: int) ->
         .withColumns({score: tile(score, key) for score, key in keys.items()})
         .drop("_cuts")
     )
+
+
+def in_first_tile(df: DataFrame, key: Column, tie: str, tiles: int) -> Column:
+    """Whether a row of ``df`` is in tile 1 of (key, tie); only that tile's last row is looked for."""
+    cut = F.get(tile_cuts(df, {"first": key}, tie, tiles, wanted=[1]).scalar().getField("first"), F.lit(0))
+    return ~F.coalesce(_position(key, F.col(tie)) > cut, F.lit(False))

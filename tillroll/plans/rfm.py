@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillroll.functions.columns import ratio
-from tillroll.operators.ntile import with_tiles
+from tillroll.operators.ntile import in_first_tile, with_tiles
 from tillroll.operators.shares import total_of, with_share
 from tillroll.schemas import MONEY, conform
 
@@ -126,9 +126,9 @@ def repeat_rate(dim_customer: DataFrame) -> DataFrame:
 
 def pareto_top20(rfm: DataFrame) -> DataFrame:
     """Revenue share of the fifth of the customers who spend most."""
-    by_spend = with_tiles(rfm, {"quintile": -F.col("monetary")}, tie="customer_sk", tiles=TILES)
-    top = F.sum(F.when(F.col("quintile") == 1, F.col("monetary")).otherwise(F.lit(0).cast(MONEY)))
-    return by_spend.agg(ratio(top, F.sum("monetary"), 1, scale=100).alias("top20pct_revenue_share"))
+    in_top = in_first_tile(rfm, -F.col("monetary"), tie="customer_sk", tiles=TILES)
+    top = F.sum(F.when(in_top, F.col("monetary")).otherwise(F.lit(0).cast(MONEY)))
+    return rfm.agg(ratio(top, F.sum("monetary"), 1, scale=100).alias("top20pct_revenue_share"))
 
 
 def winback_customers(rfm: DataFrame) -> DataFrame:
