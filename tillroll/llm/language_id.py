@@ -21,6 +21,7 @@ SEED = 2
 ROWS_PER_LANGUAGE = 400
 ROWS_IN_ALL = 4000
 LEAST_ROWS = 30
+SPREAD = 64
 EPOCHS = 12
 COST = 1.0
 
@@ -168,18 +169,22 @@ def fit(docs: DataFrame) -> Model:
 
     Learned from a bounded sample: per language the ROWS_PER_LANGUAGE rows with the least hash of id and
     text (fewer if there are very many languages), texts with a letter only, whole texts. A language with
-    a third of all rows is trimmed to the bound in each task before rows are shuffled.
+    a third of all rows is trimmed to the bound in each task, then in each of SPREAD parts of it, so that
+    the last choice sees a fixed number of rows.
     """
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select(
         F.col("lang").cast("string").alias("lang"),
         column("text").alias("text"),
         F.xxhash64(F.lit(SEED), column("doc_id"), column("text")).alias("order"),
     ).filter(has_letter(F.col("text")))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+
+    def least(frame: DataFrame, *group: str) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy(*group).orderBy("order"))
+        return frame.withColumn("nth", nth).filter(F.col("nth") <= ROWS_PER_LANGUAGE)
+
     # Narrow first: which hashes are chosen; only their texts are looked at again.
-    chosen = hold(
-        rows.select("lang", "order").withColumn("nth", first).filter(F.col("nth") <= ROWS_PER_LANGUAGE), "language-rows"
-    )
+    hashes = rows.select("lang", "order", F.pmod("order", F.lit(SPREAD)).alias("part"))
+    chosen = hold(least(least(hashes, "lang", "part"), "lang"), "language-rows")
     n = chosen.select("lang").distinct().count()
     if not n:
         return Model()
