@@ -161,3 +161,17 @@ def test_long_fingerprints_measure_similarity():
 
 def test_empty_table(spark):
     assert simhash.near_groups(empty(spark)).collect() == [] == simhash.drop_near_duplicates(empty(spark)).collect()
+
+
+def test_a_chance_of_meeting_does_not_depend_on_the_size(spark):
+    """Pairs just over the threshold among many thousand other texts: none is missed."""
+    draw = random.Random(9)
+    rows, expected = [doc(10_000 + k, " ".join(f"z{draw.randrange(10**6)}" for _ in range(8))) for k in range(20_000)], {}
+    for k in range(100):
+        words = [f"p{k}w{j}" for j in range(104)]
+        other = [*words[:92], *[f"q{k}w{j}" for j in range(9)]]
+        rows += [doc(2 * k, " ".join(words)), doc(2 * k + 1, " ".join(other))]
+        assert 0.8 <= len(shingles_of(" ".join(words)) & shingles_of(" ".join(other))) / len(shingles_of(" ".join(words)) | shingles_of(" ".join(other))) < 0.81
+        expected |= {2 * k: 2 * k, 2 * k + 1: 2 * k}
+    got = simhash.similar_groups(frame(spark, rows)).filter("_id < 10000").collect()
+    assert {r["_id"]: r["_group"] for r in got} == expected

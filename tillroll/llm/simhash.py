@@ -1,9 +1,9 @@
-"""SimHash fingerprints and near-duplicate groups by multi-index hashing.
+"""SimHash fingerprints and near-duplicate groups.
 
-Two sizes of fingerprint share one method: look up candidates by segments of the fingerprint, verify the
-complete distance, join what hangs together. ``near_groups`` links 64-bit fingerprints that differ by two bits
-or fewer, without a miss. ``similar_groups`` takes long fingerprints, whose distance measures how similar two
-sets of shingles are, to find texts of a given similarity.
+``near_groups`` links 64-bit fingerprints that differ by two bits or fewer by multi-index hashing, and
+``similar_groups`` texts that share a given part of their shingles by prefix filtering. Both look up
+candidates, verify each of them and join what hangs together, without a miss at any size. Long fingerprints
+measure how similar two sets of shingles are.
 """
 
 from __future__ import annotations
@@ -28,14 +28,13 @@ SEGMENTS = 4
 MOST_DIFFERING = 2
 COUNT_BLOCK = 1 << 16
 
-# Long fingerprints: 16 words of 64 bits, of the distinct five-word shingles.
+# Long fingerprints: 16 words of 64 bits, of the distinct five-word shingles; similar texts share those too.
 LONG_WORDS = 16
 LONG_SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-# Bits by which a segment is longer than needed to number all fingerprints, so that chance meetings stay few.
-SPARE_BITS = 2
-# How far an estimate of the similarity may be off; pairs within it are compared shingle by shingle.
-ESTIMATE_ERROR = 0.1
+# Slots that count how often shingles occur, and how many of them make a row.
+COUNT_SLOTS = 1 << 20
+COUNT_CHUNK = 1 << 12
 
 
 def simhash(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -163,44 +162,83 @@ def _grouped(prints: DataFrame, links: DataFrame) -> DataFrame:
     return prints.join(labels, "_print").select("_id", "_hash", "_print", "_root", "_group")
 
 
-def _long_fingerprinter(shingle_words: int):
+def _shingle_counts(shingle_words: int):
+    """How many texts have a shingle of each slot, as one row of COUNT_CHUNK counts per part of the table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNT_SLOTS, np.int64)
         for batch in batches:
-            found = [long_simhash(t.as_py(), shingle_words) for t in batch.column(1)]
-            words = pa.array([w for w, _ in found], pa.list_(pa.int64()))
-            counts = pa.array([n for _, n in found], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), words, counts], names=["_id", "_hash", "_long", "_shingles"]
-            )
+            for text in batch.column(0):
+                slots = np.unique(_shingle_hashes(text.as_py(), shingle_words)) & np.uint64(COUNT_SLOTS - 1)
+                np.add.at(counts, slots.astype(np.int64), 1)
+        parts = counts.reshape(-1, COUNT_CHUNK)
+        filled = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(filled, pa.int64()), pa.array([parts[k].tobytes() for k in filled], pa.binary())], names=["part", "counts"]
+        )
 
     return run
 
 
-def _segment_keys(width: int):
-    """One row per segment of ``width`` bits of each fingerprint; a key holds the segment's number and value."""
+def _summed_counts(rows: pa.Table) -> pa.Table:
+    total = np.zeros(COUNT_CHUNK, np.int64)
+    for counts in rows.column("counts"):
+        total += np.frombuffer(counts.as_py(), np.int64)
+    ranks = np.frexp(total.astype(np.float64))[1].astype(np.uint8)
+    return pa.table({"part": rows.column("part").slice(0, 1), "ranks": pa.array([ranks.tobytes()], pa.binary())})
+
+
+def _ranks(texts: DataFrame, shingle_words: int) -> np.ndarray:
+    """A rank for every slot of shingles, by powers of two of how often they occur: 1 MB at any size.
+
+    Any order of the shingles gives the same links. This one puts the rare ones first, so that what many
+    texts share is seldom looked up.
+    """
+    counts = texts.select("text").mapInArrow(_shingle_counts(shingle_words), "part bigint, counts binary")
+    found = counts.groupBy("part").applyInArrow(_summed_counts, "part bigint, ranks binary").collect()
+    ranks = np.zeros((COUNT_SLOTS // COUNT_CHUNK, COUNT_CHUNK), np.uint8)
+    for part, row in found:
+        ranks[part] = np.frombuffer(row, np.uint8)
+    return ranks.ravel()
+
 
+def _prefix(hashes: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of the distinct ``hashes`` by rank: texts that are similar by ``similarity`` share one of them.
+
+    Such texts share ``similarity`` of either one's shingles, so not all that they share can come behind.
+    """
+    order = np.argsort(ranks[(hashes & np.uint64(COUNT_SLOTS - 1)).astype(np.int64)], kind="stable")
+    behind = max(1, math.ceil(similarity * len(hashes) - 1e-9)) - 1
+    return hashes[order][: max(0, len(hashes) - behind)]
+
+
+def _prefixes(shingle_words: int, ranks: np.ndarray, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments = BITS * LONG_WORDS // width
-        powers = np.int64(1) << np.arange(width, dtype=np.int64)
-        numbers = np.arange(segments, dtype=np.int64) << np.int64(width)
         for batch in batches:
-            words = np.asarray(batch.column(2).flatten()).reshape(-1, LONG_WORDS)
-            bits = np.unpackbits(words.astype(">i8").view(np.uint8), axis=1)[:, : segments * width]
-            keys = bits.reshape(-1, segments, width).astype(np.int64) @ powers + numbers
-            node, size = (np.repeat(np.asarray(batch.column(c)), segments) for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node), pa.array(size)], names=["_key", "_print", "_shingles"])
+            sets = [np.unique(_shingle_hashes(t.as_py(), shingle_words)) for t in batch.column(1)]
+            prints = [_signed(xxhash.xxh64_intdigest(h.tobytes(), HASH_SEED)) for h in sets]
+            firsts = [_prefix(h, ranks, similarity).astype(np.int64) for h in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(2),
+                    pa.array(prints, pa.int64()),
+                    pa.array([len(h) for h in sets], pa.int64()),
+                    pa.array(firsts, pa.list_(pa.int64())),
+                ],
+                names=["_id", "_hash", "_print", "_shingles", "_prefix"],
+            )
 
     return run
 
 
-def _similarity(distance: Column, one: Column, other: Column) -> Column:
-    """Shared over all shingles, from the share of differing bits and the numbers of shingles.
+def _may_be_similar(n_a: Column, at_a: Column, n_b: Column, at_b: Column, similarity: float) -> Column:
+    """False only where the sizes, or the shingles from the shared one on, rule the similarity out.
 
-    Bits differ as often as the angle between the sets is of a half turn.
+    The first shared shingle passes for every pair that is similar: all else they share comes behind it.
     """
-    cosine = F.cos(distance * math.pi / (BITS * LONG_WORDS))
-    shared = cosine * F.sqrt(one * other)
-    return F.when((one == 0) | (other == 0), (one == other).cast("double")).otherwise(shared / (one + other - shared))
+    needed = similarity / (1 + similarity) * (n_a + n_b) - 1e-6
+    return F.least(n_a - at_a, n_b - at_b) >= needed
 
 
 def similar_groups(
@@ -208,14 +246,15 @@ def similar_groups(
 ) -> DataFrame:
     """Like ``near_groups``, over pairs of texts whose shingle sets are similar by ``similarity`` or more.
 
-    Fingerprints have 1,024 bits; each of their segments is a table. A segment is as long as numbering all
-    fingerprints takes and SPARE_BITS more, so meetings by chance stay a fixed share at any size, and rows
-    grow as the input does. Fingerprints that meet in a table are ordered by number of shingles, and each
-    is compared with the one before it and with the first: complete distances, from which the similarity
-    follows to about 0.03. Pairs whose estimate is within ESTIMATE_ERROR of ``similarity`` are decided by
-    their texts. A group of many thousand near copies thus costs two comparisons a row and table, and
-    pairs not compared in one table hang together over others. With a quarter of a million fingerprints,
-    a pair of similarity 0.8 shares a segment with a chance of 0.86, one of 0.9 with 0.998.
+    Prefix filtering, without a miss at any size: shingles have one order, rare ones first, and two similar
+    texts share one of the first 1 - ``similarity`` of either's. Texts are indexed by these shingles only, a
+    fifth of a row a word. Every text is first compared with one text under each of its shingles, which
+    ties families of near copies together with links as many as their rows. Then all texts that share an
+    indexed shingle and are not in one group yet are compared. Pairs drop out only where their sizes, or the
+    places of the shared shingle, rule the similarity out; all others are decided by their shingles.
+
+    A family whose members are near the threshold and in no common group costs a look at each of its
+    pairs, which the join spreads over tasks.
     """
     rows = docs.select(
         column("doc_id").cast("bigint").alias("_id"),
@@ -224,38 +263,51 @@ def similar_groups(
     )
     found = hold(
         rows.mapInArrow(
-            _long_fingerprinter(shingle_words), "_id bigint, _hash bigint, _long array<bigint>, _shingles bigint"
-        ).withColumn("_print", F.xxhash64("_long", "_shingles")),
-        "simhash-long",
+            _prefixes(shingle_words, _ranks(rows, shingle_words), similarity),
+            "_id bigint, _hash bigint, _print bigint, _shingles bigint, _prefix array<bigint>",
+        ),
+        "simhash-prefixes",
     )
-    nodes = hold(
-        found.groupBy("_print").agg(F.any_value("_shingles").alias("_shingles"), F.any_value("_long").alias("_long")),
-        "simhash-long-nodes",
+    index = (
+        found.groupBy("_print")
+        .agg(F.any_value("_shingles").alias("_shingles"), F.any_value("_prefix").alias("_prefix"))
+        .select("_print", "_shingles", F.posexplode("_prefix").alias("_at", "_key"))
     )
-    width = max(8, nodes.count().bit_length() + SPARE_BITS)
-    index = nodes.select("_print", "_shingles", "_long").mapInArrow(
-        _segment_keys(width), "_key bigint, _print bigint, _shingles bigint"
+    index = hold(index, "simhash-index")
+    leads = (
+        index.groupBy("_key")
+        .agg(F.min(F.struct("_print", "_shingles", "_at")).alias("lead"), F.max("_print").alias("last"))
+        .filter("lead._print <> last")
     )
-    table = Window.partitionBy("_key").orderBy("_shingles", "_print")
-    met = index.select("_print", F.array(F.lag("_print").over(table), F.first("_print").over(table)).alias("others"))
-    pairs = (
-        met.select("_print", F.explode("others").alias("other"))
-        .filter("other IS NOT NULL AND other <> _print")
-        .select(F.least("_print", "other").alias("a"), F.greatest("_print", "other").alias("b"))
-        .distinct()
+    shared = hold(index.join(leads.select("_key", "lead"), "_key"), "simhash-shared")
+    lead = {name: F.col(f"lead.{name}") for name in ("_print", "_shingles", "_at")}
+    first = hold(
+        shared.filter(
+            (F.col("_print") != lead["_print"])
+            & _may_be_similar(F.col("_shingles"), F.col("_at"), lead["_shingles"], lead["_at"], similarity)
+        )
+        .select(F.least("_print", lead["_print"]).alias("a"), F.greatest("_print", lead["_print"]).alias("b"))
+        .distinct(),
+        "simhash-first",
     )
-    one = nodes.select(F.col("_print").alias("a"), F.col("_long").alias("long_a"), F.col("_shingles").alias("n_a"))
-    other = nodes.select(F.col("_print").alias("b"), F.col("_long").alias("long_b"), F.col("_shingles").alias("n_b"))
-    distance = F.aggregate(
-        F.zip_with("long_a", "long_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n
+    links = hold(_compared_texts(docs, found, first, shingle_words, similarity), "simhash-first-links")
+    roots = components(links, "simhash-first-groups")
+    rooted = shared.join(roots, F.col("_print") == F.col("node"), "left").select(
+        "_key", "_print", "_shingles", "_at", F.coalesce("root", "_print").alias("_root")
     )
-    compared = pairs.join(one, "a").join(other, "b").select(
-        "a", "b", _similarity(distance, F.col("n_a"), F.col("n_b")).alias("similarity")
+    rooted = hold(rooted, "simhash-rooted")
+    apart = rooted.groupBy("_key").agg(F.min("_root").alias("least"), F.max("_root").alias("most"))
+    open_rows = hold(rooted.join(apart.filter("least <> most").select("_key"), "_key"), "simhash-open")
+    one = open_rows.select("_key", *[F.col(c).alias(f"{c}_a") for c in ("_print", "_shingles", "_at", "_root")])
+    other = open_rows.select("_key", *[F.col(c).alias(f"{c}_b") for c in ("_print", "_shingles", "_at", "_root")])
+    likely = _may_be_similar(*[F.col(c) for c in ("_shingles_a", "_at_a", "_shingles_b", "_at_b")], similarity)
+    met = one.join(
+        other,
+        (one["_key"] == other["_key"]) & (F.col("_print_a") < F.col("_print_b")) & (F.col("_root_a") != F.col("_root_b")) & likely,
     )
-    likely = hold(compared.filter(F.col("similarity") >= similarity - ESTIMATE_ERROR), "simhash-likely")
-    sure = likely.filter(F.col("similarity") >= similarity + ESTIMATE_ERROR).select("a", "b")
-    unsure = likely.filter(F.col("similarity") < similarity + ESTIMATE_ERROR).select("a", "b")
-    links = hold(sure.unionAll(_compared_texts(docs, found, unsure, shingle_words, similarity)), "simhash-similar")
+    rest = met.select(F.col("_print_a").alias("a"), F.col("_print_b").alias("b")).distinct()
+    rest = hold(rest.join(first, ["a", "b"], "left_anti"), "simhash-rest")
+    links = hold(links.unionAll(_compared_texts(docs, found, rest, shingle_words, similarity)), "simhash-similar")
     return _grouped(found.select("_id", "_hash", "_print"), links)
 
 
