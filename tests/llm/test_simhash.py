@@ -175,3 +175,19 @@ def test_a_chance_of_meeting_does_not_depend_on_the_size(spark):
         expected |= {2 * k: 2 * k, 2 * k + 1: 2 * k}
     got = simhash.similar_groups(frame(spark, rows)).filter("_id < 10000").collect()
     assert {r["_id"]: r["_group"] for r in got} == expected
+
+
+def test_pairs_in_a_dense_family_below_the_threshold(spark):
+    """Texts of one form, about 0.7 alike, that crowd every table; pairs of 0.8 to 0.85 and other lengths."""
+    draw = random.Random(8)
+    form = [f"form{k}" for k in range(120)]
+    texts = {}
+    for k in range(400):
+        words = [*form, *[f"own{k}x{j}" for j in range(25)]]
+        texts[2 * k] = " ".join(words)
+        if k % 10 == 0:
+            texts[2 * k + 1] = " ".join([*words[draw.randrange(10) :], *[f"more{k}x{j}" for j in range(draw.choice([3, 10, 18]))]])
+    expected = similar_by_hand(texts)
+    got = simhash.similar_groups(frame(spark, [doc(d, t) for d, t in texts.items()])).collect()
+    assert {r["_id"]: r["_group"] for r in got} == expected
+    assert 350 < len(set(expected.values())) < len(texts)
