@@ -101,3 +101,13 @@ def test_windows_by_hand():
     again = decontaminate.Template(b"On Friday Eve ran 9 miles. Then Tom ate 4lb of pie; he paid 1", words)
     assert (hashes == again.windows(8, True)[0]).all() and counts.tolist()[0] is False
     assert (t.windows(8, False)[0] != again.windows(8, False)[0]).any()
+
+
+def test_items_made_of_figures(spark):
+    items = [
+        "Sort 7 3 9 1 4 8 in ascending order",
+        "2 4 8 16 32 64 128 256 512",
+        "Year 1990 12 km 1991 15 km 1992 19 km 1993 25 km 1994 31 km",
+    ]
+    docs = frame(spark, [doc(k, f"{FILL}{t} {FILL}") for k, t in enumerate([*items, items[0].replace("3 9", "9 3")])])
+    assert set(found(docs, benchmark(spark, items))) == {(0, 0), (1, 1), (2, 2)}

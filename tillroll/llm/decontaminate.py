@@ -80,6 +80,22 @@ def _slot(kind: bytes, word: bytes) -> str:
     return f"{kind.decode()}{core_of(word.decode('utf-8', 'replace')).lower()}"
 
 
+def _window_hashes(values: np.ndarray, n: int) -> np.ndarray:
+    m = max(0, len(values) - n + 1)
+    total = np.full(m, n, np.uint64)
+    for k in range(n):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + values[k : k + m]
+    total ^= total >> np.uint64(29)
+    total *= np.uint64(0xBF58476D1CE4E5B9)
+    return total ^ (total >> np.uint64(32))
+
+
+def _held(marks: np.ndarray, n: int) -> np.ndarray:
+    """How many words of every window are marked."""
+    total = np.concatenate([[0], np.cumsum(marks)])
+    return total[n:] - total[: max(0, len(total) - n)]
+
+
 class Template:
     """The canonical words of a text: punctuation apart, lower case, typed placeholders in place of slots.
 
@@ -125,16 +141,11 @@ class Template:
         """Hash of every window of ``n`` words, and whether enough of its words are literal to count."""
         values = self.template if names else self.filled
         slots = self.value | self.name if names else self.value
-        m = len(values) - n + 1
-        if m <= 0:
-            return np.empty(0, np.uint64), np.empty(0, bool)
-        total = np.full(m, n, np.uint64)
-        for k in range(n):
-            total = total * np.uint64(0x9E3779B97F4A7C15) + values[k : k + m]
-        total ^= total >> np.uint64(29)
-        total *= np.uint64(0xBF58476D1CE4E5B9)
-        held = np.concatenate([[0], np.cumsum(slots)])
-        return total ^ (total >> np.uint64(32)), n - (held[n:] - held[:-n]) >= LEAST_LITERAL * n
+        return _window_hashes(values, n), n - _held(slots, n) >= LEAST_LITERAL * n
+
+    def literal_windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of every window with all its words literal; those count whose placeholders say too little."""
+        return _window_hashes(self.literal, n), n - _held(self.value, n) < LEAST_LITERAL * n
 
     def slots(self, start: int, n: int, names: bool) -> list[str]:
         """The values in the placeholders of a window, each with its type in front."""
@@ -173,14 +184,16 @@ def _cutter(lengths: list[int], wanted: np.ndarray | None):
                 for n in own:
                     if n < LEAST_WORDS:
                         continue
-                    forms = (True, False) if template.name.any() else (False,)
+                    forms = [True, False] if template.name.any() else [False]
+                    if (n - _held(template.value, n) < LEAST_LITERAL * n).any():
+                        forms.append(None)
                     for names in forms:
-                        windows, counts = template.windows(n, names)
+                        windows, counts = template.literal_windows(n) if names is None else template.windows(n, names)
                         if wanted is not None:
                             bits = windows & np.uint64(64 * len(wanted) - 1)
                             counts &= wanted[bits >> np.uint64(6)] >> (bits & np.uint64(63)) & np.uint64(1) > 0
                         for at in np.flatnonzero(counts).tolist():
-                            slots = template.slots(at, n, names)
+                            slots = [] if names is None else template.slots(at, n, names)
                             window = windows[at].astype(np.int64).item()
                             rows.append((key.as_py(), digest.as_py(), window, at, n, len(template), slots))
                             if len(rows) >= OUT_ROWS:
@@ -222,8 +235,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     are joined by hash. Windows of a document and an item with the same offset are one occurrence. It
     counts if its slots are consistent, each value of the item standing for one value of the document and
     the other way round, and if it covers RUN_WORDS words or ITEM_SHARE of the item. Windows with less
-    than LEAST_LITERAL literal words say too little and are left out; items under LEAST_WORDS words can't
-    be told from chance and never match.
+    than LEAST_LITERAL literal words say too little with placeholders and are compared word for word
+    instead; items under LEAST_WORDS words can't be told from chance and never match.
 
     A bit filter of fixed size, summed up in Spark from all benchmark windows, keeps windows of documents
     that can't match out of the shuffle; if the benchmark outgrows it, more of them pass and the join
