@@ -90,3 +90,25 @@ def test_likeness_falls_with_changes():
     assert ctph.fingerprint(b"a" * 100_000).count(":") == 2 and ctph.fingerprint(b"") == "3::"
     # Twice the text has twice the chunk size, and can still be compared.
     assert ctph.likeness(print_, ctph.fingerprint(text + other)) > 0
+
+
+def test_repeated_lines_keep_their_chunks():
+    draw = random.Random(4)
+    after = "".join(draw.choice("abcdefghij ") for _ in range(20_000))
+    marks = []
+    for repeats in (64, 70, 100, 400):
+        for _ in range(15):
+            line = "".join(draw.choice("abcdefghijklmnop ") for _ in range(draw.choice([40, 75, 200]))) + "\n"
+            text = line * repeats
+            own, new = (ctph.fingerprint(t.encode()) for t in (text, ctph.edited(text, after)))
+            assert len(own.split(":")[1]) >= ctph.LONGEST
+            marks.append(ctph.likeness(own, new))
+    # Sizes chosen for a text and its edit may still be too far apart to compare.
+    assert max(marks) < 1 and sum(m > 0.3 for m in marks) >= 0.8 * len(marks)
+
+
+def test_different_short_texts_are_not_alike():
+    prints = [ctph.fingerprint(f"{k:04d}".encode()) for k in range(600)]
+    assert len(set(prints)) == 600
+    assert max(ctph.likeness(a, b) for k, a in enumerate(prints) for b in prints[:k]) < 1
+    assert ctph.likeness(prints[5], ctph.fingerprint(b"0005")) == 1

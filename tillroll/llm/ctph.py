@@ -1,8 +1,8 @@
 """Document fingerprints by context-triggered piecewise hashing, compared by edit distance.
 
 A fingerprint is ``SIZE:FINE:COARSE``. A rolling hash of the last seven bytes ends a chunk wherever it is
-SIZE - 1 modulo SIZE; every chunk adds one character to FINE. COARSE is made in the same way with twice
-the size. What is left behind the last end is a chunk too, so every byte counts.
+SIZE - 1 modulo SIZE; every chunk adds one character to FINE, or six where chunks are few. COARSE is made
+in the same way with twice the size. What is left behind the last end is a chunk too, so every byte counts.
 """
 
 from __future__ import annotations
@@ -21,8 +21,12 @@ from tillroll.sources.scratch import hold
 
 WINDOW = 7
 LEAST_SIZE = 3
+BITS_OF_HASH = 32
 LONGEST = 64
+# Twice a size leaves about half of the ends; if it leaves less than one in LEAST_LEFT, the text repeats itself.
+LEAST_LEFT = 3
 SHARED_RUN = 7
+LETTERS_OF_FEW = 6
 BLOCK_BYTES = 1 << 20
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
@@ -54,37 +58,58 @@ def _triggers(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ends), np.concatenate(hashes)
 
 
+def _end_counts(data: bytes) -> np.ndarray:
+    """How many chunks end at LEAST_SIZE and at each of its doubles."""
+    steps = np.zeros(BITS_OF_HASH + 2, np.int64)
+    for start in range(0, len(data), BLOCK_BYTES):
+        above = _rolling(data, start, min(len(data), start + BLOCK_BYTES)).astype(np.uint64) + np.uint64(1)
+        above = above[above % np.uint64(LEAST_SIZE) == 0]
+        lowest = (above & (~above + np.uint64(1))).astype(np.float64)
+        steps += np.bincount(np.frexp(lowest)[1] - 1, minlength=len(steps))
+    return np.cumsum(steps[::-1])[::-1]
+
+
 def _signature(data: bytes, ends: np.ndarray) -> str:
     cuts = [0, *ends.tolist()]
     if cuts[-1] < len(data):
         cuts.append(len(data))
     view = memoryview(data)
-    return "".join(LETTERS[zlib.crc32(view[a:b]) & 63] for a, b in zip(cuts, cuts[1:]))
+    # Few chunks are spelled out, or equal letters would prove nothing.
+    letters = 1 if len(cuts) > SHARED_RUN else LETTERS_OF_FEW
+    sums = (zlib.crc32(view[a:b]) for a, b in zip(cuts, cuts[1:]))
+    return "".join(LETTERS[total >> 6 * k & 63] for total in sums for k in range(letters))
 
 
 def fingerprint(data: bytes) -> str:
     """The signatures at the smallest size that ends fewer than LONGEST chunks, and at twice that size.
 
-    Ends at twice a size are ends at the size too, so one pass at a finer size finds those of all coarser
-    ones. Equal texts give equal fingerprints; the empty text gives ``3::``.
+    A text that repeats itself has its ends at few values of the hash, and they go at once. So no size is
+    taken that leaves less than one in LEAST_LEFT of the ends, all chunks are kept, and of sizes that end
+    nearly the same ones the finest counts. A signature of fewer than SHARED_RUN chunks has LETTERS_OF_FEW
+    letters for each.
+
+    Ends at twice a size are ends at the size too, so one pass counts those of every size. Equal texts give
+    equal fingerprints; the empty text gives ``3::``.
     """
-    size = LEAST_SIZE
-    while size * LONGEST * 4 < len(data):
-        size *= 2
+    counts = _end_counts(data)
+    step = taken = 0
+    while counts[step] >= LONGEST and counts[step + 1] * LEAST_LEFT >= counts[step]:
+        step += 1
+        if counts[step] * 4 < counts[step - 1] * 3:
+            taken = step
+    size = LEAST_SIZE << taken
     ends, hashes = _triggers(data, size)
-    while size > LEAST_SIZE and len(ends) < LONGEST:
-        size //= 2
-        ends, hashes = _triggers(data, size)
-    while len(ends) >= LONGEST:
-        size *= 2
-        coarser = hashes % np.uint64(size) == size - 1
-        ends, hashes = ends[coarser], hashes[coarser]
     coarse = ends[hashes % np.uint64(2 * size) == 2 * size - 1]
     return f"{size}:{_signature(data, ends)}:{_signature(data, coarse)}"
 
 
 def edit_distance(a: str, b: str) -> int:
     """Insertions, deletions and replacements that turn ``a`` into ``b``; a column of the table is one integer."""
+    # What both begin and end with costs nothing.
+    same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[same:], b[same:]
+    same = next((k for k, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - same], b[: len(b) - same]
     if not a or not b:
         return len(a) + len(b)
     places: dict[str, int] = {}
