@@ -1,0 +1,136 @@
+from __future__ import annotations
+
+import hashlib
+import json
+from array import array
+
+import public_tokenizers
+import pytest
+import tokenizers
+from hypothesis import given, settings, strategies as st
+
+from tests.llm.frames import LONG, empty, messy
+from tillroll.llm import bpe
+from tillroll.llm.queries import QUERIES
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+WHOLE = tokenizers.Tokenizer.from_file(PATH)
+OWN = bpe.vocabulary(PATH)
+
+
+def ids_of(text: str) -> list[int]:
+    return WHOLE.encode(text, add_special_tokens=False).ids
+
+
+def own_ids(text: str) -> list[int]:
+    return list(array("I", OWN.encode(text)))
+
+
+def plain_merges(symbols: list[int], merges: dict) -> list[int]:
+    """Pair by pair over the whole word: the leftmost of the lowest rank."""
+    symbols = list(symbols)
+    while True:
+        found = [(merges[p][0], k) for k, p in enumerate(zip(symbols, symbols[1:])) if p in merges]
+        if not found:
+            return symbols
+        _, k = min(found)
+        symbols[k : k + 2] = [merges[symbols[k], symbols[k + 1]][1]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.integers(0, 3), max_size=40),
+    st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=30, unique=True),
+)
+def test_segment_tree_merges_as_the_plain_way(symbols, pairs):
+    merges = {pair: (rank, 4 + rank % 6) for rank, pair in enumerate(pairs)}
+    assert list(bpe.merged(list(symbols), merges)) == plain_merges(symbols, merges)
+
+
+@settings(max_examples=300, deadline=None)
+@given(
+    st.one_of(
+        st.text(max_size=80),
+        st.lists(
+            st.sampled_from(
+                ["the", " The", "  ", "\n", "\r\n", "\t", "'s", "'ll", "'S", "12", "½", "é", "ß", "漢字", "🙂", "\x1c", "\x85"]
+                + ["\xa0", " ", "​", "!?", "<|endoftext|>", "<|endoftext", "a", "zzzz", "́", "Ⅷ", "\U00010940"]
+            ),
+            max_size=25,
+        ).map("".join),
+    )
+)
+def test_ids_and_text_are_those_of_the_library(text):
+    text = text.encode("utf-8", "replace").decode()
+    ids = ids_of(text)
+    assert own_ids(text) == ids
+    assert OWN.decode(OWN.encode(text)) == WHOLE.decode(ids, skip_special_tokens=False)
+
+
+def test_every_character_is_cut_as_the_library_does():
+    cut = WHOLE.pre_tokenizer.pre_tokenize_str
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for start in range(0, len(chars), 1 << 8):
+        text = "\n".join(f"a{c}1{c} {c}." for c in chars[start : start + (1 << 8)])
+        lengths = [len(word) for word in OWN.cut(text)]
+        assert lengths == [end - begin for _, (begin, end) in cut(text)]
+
+
+def test_ids_that_are_no_text():
+    ids = array("I", [OWN.of_byte[0xE6], OWN.of_byte[0xBC], 50256, OWN.of_byte[0xFF]])
+    assert OWN.decode(ids.tobytes()) == WHOLE.decode(list(ids), skip_special_tokens=False)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["ab" * 20_000, "a" * 20_001, "漢字仮名" * 4_000, "\n" * 20_000, "-=" * 10_000, LONG, "x " * 700_000 + "é" * 9],
+    ids=["pairs", "one letter", "no spaces", "lines", "marks", "long", "pieces"],
+)
+def test_long_texts(text):
+    assert own_ids(text) == ids_of(text)
+    assert OWN.decode(OWN.encode(text)) == text
+
+
+def test_memory_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 4_000)
+    fresh = bpe.Bpe(PATH)
+    words = [f"word{k:05d}x" for k in range(300)] + ["漢" * 1_000 + str(k) for k in range(50)]
+    for word in words:
+        assert list(array("I", fresh.encode(word))) == ids_of(word)
+        assert sum(len(w) + len(i) + 200 for w, i in fresh.words.items()) < 4_500
+        assert all(len(w) <= bpe.REMEMBERED_WORD for w in fresh.words)
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    with pytest.raises(ValueError):
+        bpe.Bpe(public_tokenizers.path("word_bpe_49k.json"))
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    spec["added_tokens"][0]["lstrip"] = True
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        bpe.Bpe(str(other))
+
+
+def test_every_row_is_kept(spark):
+    docs = messy(spark)
+    rows = bpe.decode_documents(bpe.encode_documents(docs, PATH), PATH).collect()
+    expected = [(r["doc_id"], ids_of(r["text"] or ""), r["text"] or "") for r in docs.collect()]
+    got = [(r["doc_id"], list(array("I", bytes(r["ids"]))), r["decoded"]) for r in rows]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_empty_table(spark):
+    assert bpe.decode_documents(bpe.encode_documents(empty(spark), PATH), PATH).collect() == []
+
+
+def test_query_is_the_library_over_whole_texts(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    got = {tuple(r) for r in QUERIES["op12_bpe"](spark, sf_dir).collect()}
+    expected = set()
+    for doc_id, text in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        ids = ids_of(text or "")
+        decoded = WHOLE.decode(ids, skip_special_tokens=False)
+        digests = [hashlib.sha256(b).hexdigest() for b in (array("I", ids).tobytes(), decoded.encode())]
+        expected.add((doc_id, len(ids), *digests))
+    assert got == expected

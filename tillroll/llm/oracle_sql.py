@@ -72,3 +72,35 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(7 + length(body) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 0 ELSE 16 + length(role) END)
             AS BIGINT) AS formatted_chars
 FROM drawn GROUP BY conv_id"""
+
+STATEMENTS["op11_lexical_search"] = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+word AS (
+  SELECT r, any_value(doc_id) AS doc_id, term, count(*) AS tf
+  FROM (SELECT r, doc_id, unnest(regexp_extract_all(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM doc)
+  GROUP BY r, term),
+total AS (SELECT CAST(count(DISTINCT r) AS BIGINT) AS docs, CAST(sum(tf) AS BIGINT) AS terms FROM word),
+norm AS (
+  SELECT r, 100 - 75 + (75 * CAST(sum(tf) AS BIGINT) * any_value(docs)) // any_value(terms) AS m FROM word, total GROUP BY r),
+weighed AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM word, total GROUP BY term),
+item AS (SELECT row_number() OVER () AS i, item_id, text FROM benchmark),
+asked AS (
+  SELECT i, any_value(item_id) AS item_id, term, count(*) AS times
+  FROM (SELECT i, item_id, unnest(regexp_extract_all(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM item)
+  GROUP BY i, term),
+scored AS (
+  SELECT i, r, any_value(item_id) AS item_id, any_value(doc_id) AS doc_id,
+         CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked JOIN weighed USING (term) JOIN word USING (term) JOIN norm USING (r)
+  GROUP BY i, r),
+ranked AS (
+  SELECT item_id, doc_id, score,
+         row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS nth
+  FROM scored WHERE score > 0)
+SELECT item_id, CAST(nth AS INT) AS rank, doc_id, score FROM ranked WHERE nth <= 10"""

@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm import chat, ctph, decontaminate, language_id, mixing, quality, sharding, simhash, token_files, warc
+from tillroll.llm import (
+    bpe,
+    chat,
+    ctph,
+    decontaminate,
+    language_id,
+    lexical,
+    mixing,
+    quality,
+    sharding,
+    simhash,
+    token_files,
+    warc,
+    whitening,
+)
 from tillroll.llm.common import shipped, table
 from tillroll.llm.oracle_sql import STATEMENTS
 from tillroll.sources.scratch import hold
@@ -16,6 +30,8 @@ from tillroll.sources.scratch import hold
 # The public tokenizer of the registered query and the id it ends documents with (fixed values).
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
+# The public vocabulary of the byte-level encoder (fixed value).
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +126,29 @@ def op10_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of all for each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again."""
+    path = public_tokenizers.path(BYTE_VOCABULARY)
+    decoded = bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their first four whitened components; a deviation beyond a long is null."""
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_language_id": op2_language_id,
@@ -121,6 +160,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_ctph": op10_ctph,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_bpe": op12_bpe,
+    "op13_whitening": op13_whitening,
 }
 
 QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
