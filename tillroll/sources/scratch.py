@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+# Where hold() notes what it wrote, inside of intermediates().
+_notes: ContextVar[list[str] | None] = ContextVar("held", default=None)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -15,7 +20,8 @@ def scratch_root(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     app = spark.conf.get("spark.app.id")
     if app not in _local_roots:
@@ -28,25 +34,54 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{spark.conf.get('spark.app.id')}/{name}-{uuid.uuid4().hex}"
 
 
-def hold(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a scan of it.
+def hold(df: DataFrame, name: str, folders: str | None = None) -> DataFrame:
+    """Write ``df`` once and return a scan of it; with ``folders``, a folder for each value of that column.
 
-    Cuts the lineage like a checkpoint, but keeps the data columnar: later reads prune columns and
-    push filters. Each call uses a new folder, so nothing is ever overwritten under a reader.
+    Cuts the lineage like a checkpoint, but keeps the data columnar: later reads prune columns, folders and
+    row groups. Each call uses a new folder, so nothing is ever overwritten under a reader.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(folders) if folders else df.write
+    writer.parquet(path)
+    notes = _notes.get()
+    if notes is not None:
+        notes.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes what :func:`hold` wrote inside the block at its end; a path taken out of the list stays.
+
+    For a result that is written itself, so that nothing reads the tables that led to it any more.
+    """
+    paths: list[str] = []
+    token = _notes.set(paths)
+    try:
+        yield paths
+    finally:
+        _notes.reset(token)
+        for path in paths:
+            drop(spark, path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(table: DataFrame) -> None:
     """Delete the folder of a table that :func:`hold` returned; it must not be read any more."""
     spark = table.sparkSession
     root = f"{scratch_root(spark)}/{spark.conf.get('spark.app.id')}/"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-        # Only what is below this application's folder was written by hold().
-        if root.split(":", 1)[-1].strip("/") in folder:
-            path = hadoop(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    below = root.split(":", 1)[-1].strip("/") + "/"
+    # Only what is below this application's folder was written by hold(); its first folder there is the table.
+    tables = set()
+    for file in table.inputFiles():
+        before, found, within = file.partition(below)
+        if found:
+            tables.add(before + found + within.split("/", 1)[0])
+    for folder in tables:
+        drop(spark, folder)
