@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import math
 import random
 import re
 from collections import Counter
@@ -8,7 +7,7 @@ from collections import Counter
 import pytest
 import xxhash
 
-from tests.llm.frames import PROSE, doc, empty, frame, messy
+from tests.llm.frames import doc, empty, frame, messy
 from tillroll.llm import simhash
 from tillroll.llm.graph import components
 from tillroll.llm.queries import QUERIES
@@ -44,24 +43,6 @@ def groups_by_hand(prints: dict) -> dict:
     return roots(prints, links)
 
 
-def shingles_of(text: str | None) -> set:
-    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
-
-
-def similar_by_hand(texts: dict) -> dict:
-    """Groups over all pairs that share 0.8 of their five-word shingles."""
-    sets = {d: shingles_of(t) for d, t in texts.items()}
-    items = list(sets.items())
-    links = [
-        (a, b)
-        for k, (a, x) in enumerate(items)
-        for b, y in items[:k]
-        if (not x and not y) or (min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y))
-    ]
-    return roots(sets, links)
-
-
 def test_query_against_all_pairs(spark):
     documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     prints = {r["doc_id"]: slow_simhash(r["text"]) for r in documents.collect()}
@@ -116,88 +97,102 @@ def test_messy_rows(spark):
     assert kept[0].asDict().keys() == docs.first().asDict().keys()
 
 
-def test_similar_texts_against_all_pairs(spark):
-    """Copies with a few to many changed words, in families that also spread step by step."""
+def linked(spark, values: set[int]) -> tuple[dict, dict, list]:
+    """Groups over all pairs, the groups of the tables, and the links."""
+    expected = groups_by_hand({simhash._signed(v): v for v in values})
+    links = simhash.near_links(spark.createDataFrame([(simhash._signed(v),) for v in values], "_print bigint"))
+    rows = [(r["a"], r["b"]) for r in links.collect()]
+    assert all(0 < ((a ^ b) & (1 << 64) - 1).bit_count() <= 2 for a, b in rows)
+    found = {r["node"]: r["root"] for r in components(links).collect()}
+    return expected, {v: found.get(v, v) for v in expected}, rows
+
+
+@pytest.mark.parametrize("half", [0, 1])
+def test_families_that_share_a_half(spark, half):
+    """A third of all fingerprints has one half in common, the rest of their bits near or far; so do neighbours."""
+    draw = random.Random(half)
+    shared = draw.getrandbits(32)
+    values = {draw.getrandbits(64) for _ in range(600)}
+    other = draw.getrandbits(32)
+    for _ in range(500):
+        other ^= 1 << draw.randrange(32)
+        if draw.random() < 0.3:
+            other = draw.getrandbits(32)
+        first = shared ^ (1 << draw.randrange(32) if draw.random() < 0.4 else 0)
+        values.add(first << 32 | other if half == 0 else other << 32 | first)
+    expected, found, rows = linked(spark, values)
+    assert found == expected
+    assert len(set(expected.values())) < len(values) - 100
+
+
+def test_a_crowd_does_not_multiply(spark):
+    """Links per fingerprint do not grow with the number that share a half."""
+    per_row = []
+    for size in (400, 3_200):
+        draw = random.Random(size)
+        half = draw.getrandbits(32) << 32
+        # Steps of one bit from each other, all under one value of the first half.
+        other, values = draw.getrandbits(32), set()
+        while len(values) < size:
+            values.add(half | other)
+            other ^= 1 << draw.randrange(32)
+        rows = linked(spark, values)[2] if size < 1_000 else simhash.near_links(
+            spark.createDataFrame([(simhash._signed(v),) for v in values], "_print bigint")
+        ).collect()
+        per_row.append(len(rows) / size)
+    assert per_row[1] < 1.5 * per_row[0] < 60
+
+
+def test_every_pair_of_two_bits_is_tied(spark):
+    """All fingerprints within two bits of a centre, every pair of places among them."""
+    centre = 0x0123_4567_89AB_CDEF
+    values = {centre ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(a)}
+    assert set(linked(spark, values)[1].values()) == {min(simhash._signed(v) for v in values)}
+    # Far families of two, one for each pair of places.
+    draw = random.Random(4)
+    pairs = {}
+    for a in range(64):
+        for b in range(a, 64, 5):
+            value = draw.getrandbits(64)
+            pairs[value] = value ^ (1 << a) ^ (1 << b if a != b else 0)
+    expected, found, _ = linked(spark, {*pairs, *pairs.values()})
+    assert found == expected
+    assert len(set(found.values())) == len(pairs)
+
+
+def folders(spark) -> set:
+    from pathlib import Path
+
+    from tillroll.sources.scratch import scratch_root
+
+    return {p.name for p in (Path(scratch_root(spark)) / spark.conf.get("spark.app.id")).glob("*")}
+
+
+def test_intermediate_tables_are_deleted(spark):
+    docs = messy(spark)
+    simhash.near_groups(empty(spark)).collect()
+    before = folders(spark)
+    groups = simhash.near_groups(docs)
+    assert len(folders(spark) - before) == 2  # what the result reads
+    assert groups.count() == docs.count()
+    before = folders(spark)
+    kept = simhash.drop_near_duplicates(docs)
+    assert len(folders(spark) - before) == 1
+    assert 0 < kept.count() < docs.count()
+
+
+def test_copies_with_changed_words(spark):
+    """Exact and cosmetic copies of long texts are one group, other texts stay apart."""
     draw = random.Random(5)
-    texts, n = {}, 0
-    for _ in range(25):
-        words = [f"w{draw.randrange(4000)}" for _ in range(draw.choice([30, 120, 400]))]
-        for _ in range(8):
-            texts[n] = " ".join(words)
-            n += draw.choice([1, 2])
-            for _ in range(draw.choice([0, 1, 2, len(words) // 40, len(words) // 8])):
-                words[draw.randrange(len(words))] = f"new{draw.randrange(9999)}"
-    texts |= {n + 1: "one two", n + 2: "One  TWO", n + 3: "one three", n + 4: None, n + 5: " "}
-    expected = similar_by_hand(texts)
-    docs = frame(spark, [doc(d, t) for d, t in texts.items()])
-    assert {r["_id"]: r["_group"] for r in simhash.similar_groups(docs).collect()} == expected
-    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == sorted(set(expected.values()))
-
-
-def test_similar_documents_of_the_tables(spark):
-    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    expected = similar_by_hand({r["doc_id"]: r["text"] for r in documents.collect()})
-    assert {r["_id"]: r["_group"] for r in simhash.similar_groups(documents).collect()} == expected
-    assert len(set(expected.values())) < len(expected)
-
-
-def test_a_large_family_of_near_copies(spark):
-    """Every copy has a change of its own; all hang together though few pairs are compared."""
-    base = [f"word{k}" for k in range(200)]
-    rows = [doc(k, " ".join([*base[: k % 200], f"own{k}", *base[k % 200 :]])) for k in range(1500)]
-    assert {r["_group"] for r in simhash.similar_groups(frame(spark, rows)).collect()} == {0}
-
-
-def test_long_fingerprints_measure_similarity():
-    draw = random.Random(6)
-    words = [f"w{draw.randrange(9000)}" for _ in range(800)]
-    other = words[:700] + [f"x{k}" for k in range(100)]
-    one, two = (simhash.long_simhash(" ".join(w).encode()) for w in (words, other))
-    apart = sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(one[0], two[0]))
-    truth = len(shingles_of(" ".join(words)) & shingles_of(" ".join(other))) / len(shingles_of(" ".join(words)) | shingles_of(" ".join(other)))
-    cosine = math.cos(apart * math.pi / 1024) * (one[1] * two[1]) ** 0.5
-    assert cosine / (one[1] + two[1] - cosine) == pytest.approx(truth, abs=0.06)
+    rows, expected = [], {}
+    for k in range(60):
+        words = [f"w{draw.randrange(9000)}" for _ in range(400)]
+        for j, text in enumerate([" ".join(words), "  ".join(words).upper(), " ".join(words) + "\n"]):
+            rows.append(doc(3 * k + j, text))
+            expected[3 * k + j] = 3 * k
+    assert {r["_id"]: r["_group"] for r in simhash.near_groups(frame(spark, rows)).collect()} == expected
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()) == sorted(set(expected.values()))
 
 
 def test_empty_table(spark):
     assert simhash.near_groups(empty(spark)).collect() == [] == simhash.drop_near_duplicates(empty(spark)).collect()
-
-
-def test_a_chance_of_meeting_does_not_depend_on_the_size(spark):
-    """Pairs just over the threshold among many thousand other texts: none is missed."""
-    draw = random.Random(9)
-    rows, expected = [doc(10_000 + k, " ".join(f"z{draw.randrange(10**6)}" for _ in range(8))) for k in range(20_000)], {}
-    for k in range(100):
-        words = [f"p{k}w{j}" for j in range(104)]
-        other = [*words[:92], *[f"q{k}w{j}" for j in range(9)]]
-        rows += [doc(2 * k, " ".join(words)), doc(2 * k + 1, " ".join(other))]
-        assert 0.8 <= len(shingles_of(" ".join(words)) & shingles_of(" ".join(other))) / len(shingles_of(" ".join(words)) | shingles_of(" ".join(other))) < 0.81
-        expected |= {2 * k: 2 * k, 2 * k + 1: 2 * k}
-    got = simhash.similar_groups(frame(spark, rows)).filter("_id < 10000").collect()
-    assert {r["_id"]: r["_group"] for r in got} == expected
-
-
-def test_pairs_in_a_dense_family_below_the_threshold(spark):
-    """Texts of one form, about 0.7 alike, that crowd every table; pairs of 0.8 to 0.85 and other lengths."""
-    draw = random.Random(8)
-    form = [f"form{k}" for k in range(120)]
-    texts = {}
-    for k in range(400):
-        words = [*form, *[f"own{k}x{j}" for j in range(25)]]
-        texts[2 * k] = " ".join(words)
-        if k % 10 == 0:
-            texts[2 * k + 1] = " ".join([*words[draw.randrange(10) :], *[f"more{k}x{j}" for j in range(draw.choice([3, 10, 18]))]])
-    expected = similar_by_hand(texts)
-    got = simhash.similar_groups(frame(spark, [doc(d, t) for d, t in texts.items()])).collect()
-    assert {r["_id"]: r["_group"] for r in got} == expected
-    assert 350 < len(set(expected.values())) < len(texts)
-
-
-def test_short_texts_with_one_word_added(spark):
-    """Eight and nine words, 0.8 alike; the estimate of such a pair was too low in nearly half of all cases."""
-    texts = {}
-    for k in range(60):
-        words = [f"t{k}w{j}" for j in range(9)]
-        texts |= {2 * k: " ".join(words[:8]), 2 * k + 1: " ".join(words)}
-    got = simhash.similar_groups(frame(spark, [doc(d, t) for d, t in texts.items()])).collect()
-    assert {r["_id"]: r["_group"] for r in got} == {d: d // 2 * 2 for d in texts}

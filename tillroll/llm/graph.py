@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillroll.sources.scratch import hold
+from tillroll.sources.scratch import hold, release
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) of every node of ``links`` (a, b), two bigint columns; root is the least node it reaches.
 
+    The result is a written table; those of earlier rounds are deleted as soon as the next is there.
+
     Alternating stars: each round, every node's larger neighbours are tied to its least neighbour, then its
     smaller ones are; the links shrink to one star per component, in about log(longest path) rounds. Each
     round is a minimum per node, which is summed before the shuffle, and a join that adaptive execution
@@ -36,10 +38,13 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = hold(moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), name)
+        release(pairs)
+        release(large)
         pairs, now = small, state(small)
         if now == before:
             break
         before = now
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(
-        pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    )
+    stars = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = hold(stars.unionAll(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), name)
+    release(pairs)
+    return found

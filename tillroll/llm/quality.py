@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from tillroll.llm.common import column, id_remainder
-from tillroll.sources.scratch import hold
+from tillroll.llm.common import column, id_remainder, packed, unpacked
+from tillroll.sources.scratch import hold, release
 
 FEATURES = 128
 SEED = 8
@@ -206,6 +206,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
         .orderBy("step")
         .collect()
     )
+    release(rows)
     n = np.array([s["n"] for s in steps])
     places = np.array([s["step"] for s in steps]) / SCORE_STEP
     return Model(center, scale, model.weights, *isotonic(places, np.array([s["y"] for s in steps]) / n, n))
@@ -251,5 +252,12 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose predicted quality is 1, with their columns."""
-    model = fit(all_statistics(docs).filter(learnable(F.col("doc_id"))), labels)
-    return docs.filter(scores(document_statistics(column("text")), model) >= 0.5)
+    rows = docs.select(
+        packed(docs),
+        column("doc_id").cast("bigint").alias("doc_id"),
+        document_statistics(column("text")).alias("stats"),
+    )
+    # Statistics cost far more than writing the rows beside them: they are worked out once.
+    rows = hold(rows, "quality-documents")
+    model = fit(rows.filter(learnable(F.col("doc_id"))).select("doc_id", "stats"), labels)
+    return rows.filter(scores(F.col("stats"), model) >= 0.5).select(*unpacked(docs.columns, {}))

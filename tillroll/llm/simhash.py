@@ -1,14 +1,12 @@
 """SimHash fingerprints and near-duplicate groups.
 
-``near_groups`` links 64-bit fingerprints that differ by two bits or fewer by multi-index hashing, and
-``similar_groups`` texts that share a given part of their shingles by prefix filtering. Both look up
-candidates, verify each of them and join what hangs together, without a miss at any size. Long fingerprints
-measure how similar two sets of shingles are.
+Fingerprints of 64 bits that differ by two bits or fewer are linked by multi-index hashing: each half of the
+bits has a table, a fingerprint looks up the small Hamming ball around its own half, and what it meets is
+verified by the complete distance. What hangs together is a group.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -19,23 +17,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillroll.llm.common import column, packed, unpacked
 from tillroll.llm.graph import components
-from tillroll.sources.scratch import hold
+from tillroll.sources.scratch import hold, release
 
 BITS = 64
 SHINGLE_WORDS = 3
 HASH_SEED = 42
-SEGMENTS = 4
 MOST_DIFFERING = 2
 COUNT_BLOCK = 1 << 16
 
-# Long fingerprints: 16 words of 64 bits, of the distinct five-word shingles; similar texts share those too.
-LONG_WORDS = 16
-LONG_SHINGLE_WORDS = 5
-SIMILARITY = 0.8
-# Slots that count how often shingles occur, and how many of them make a row.
-COUNT_SLOTS = 1 << 20
-COUNT_CHUNK = 1 << 12
-
+# Two segments: of two differing bits at most one is in one of them.
+SEGMENT_BITS = 32
+SEGMENT_MASK = (1 << SEGMENT_BITS) - 1
+# Table values with more fingerprints than this are looked up by the other half as well.
+CROWD = 32
 
 def simhash(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     """The fingerprint of a UTF-8 text: bit k is set if it is in over half of the shingles' hashes.
@@ -63,21 +57,6 @@ def _majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def long_simhash(text: bytes, shingle_words: int = LONG_SHINGLE_WORDS) -> tuple[list[int], int]:
-    """LONG_WORDS signed words of fingerprint and the number of distinct shingles.
-
-    Each shingle has one more hash per word, mixed from its first. No words give zeros.
-    """
-    hashes = np.unique(_shingle_hashes(text, shingle_words))
-    found = []
-    for word in range(LONG_WORDS):
-        mixed = hashes + np.uint64((word + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        found.append(_signed(_majority(mixed ^ mixed >> np.uint64(31))))
-    return found, len(hashes)
-
-
 def _signed(value: int) -> int:
     return value - (1 << BITS) if value >> (BITS - 1) else value
 
@@ -106,31 +85,83 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
     return rows.mapInArrow(_fingerprinter(shingle_words), "_id bigint, _hash bigint, _print bigint")
 
 
-def _ball(value: Column, segment: int, width: int) -> Column:
-    """All values that differ from ``value`` by at most one bit of ``segment``; its own value in segment 0 only."""
-    masks = [1 << bit for bit in range(segment * width, (segment + 1) * width)]
-    flips = ([0] if segment == 0 else []) + [_signed(m) for m in masks]
-    return F.transform(F.array(*[F.lit(m) for m in flips]), lambda m: value.bitwiseXOR(m))
+def _half(print_: Column, segment: Column) -> Column:
+    """The bits of one segment, 0 the high ones; marked with the segment, so that tables do not mix."""
+    high = F.shiftrightunsigned(print_, SEGMENT_BITS)
+    low = print_.bitwiseAND(F.lit(SEGMENT_MASK))
+    return F.when(segment == 0, high).otherwise(low.bitwiseOR(F.lit(1 << SEGMENT_BITS)))
+
+
+def _segment(key: Column) -> Column:
+    return F.shiftrightunsigned(key, SEGMENT_BITS)
+
+
+def _flips() -> Column:
+    return F.array(*[F.lit(1 << bit) for bit in range(SEGMENT_BITS)])
+
+
+def _looked_up(key: Column) -> Column:
+    """A half and its neighbours with one more bit set. Of two halves one bit apart one finds the other so."""
+    unset = F.filter(_flips(), lambda m: key.bitwiseAND(m) == 0)
+    return F.concat(F.array(key), F.transform(unset, lambda m: key.bitwiseOR(m)))
 
 
-def near_links(prints: DataFrame, segments: int = SEGMENTS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that tie together all that differ by two bits or fewer.
+def _ball(key: Column) -> Column:
+    """A half and all that differ from it by one bit."""
+    return F.concat(F.array(key), F.transform(_flips(), lambda m: key.bitwiseXOR(m)))
 
-    Multi-index hashing: for each of ``segments`` parts of the 64 bits a table holds every fingerprint
-    under the values of a Hamming ball of radius one within that part. Fingerprints at distance two meet
-    under a value between them, those at distance one under each other. The key is the fingerprint with
-    the changed segment, not the segment alone: a family of near copies shares most segments, and a table
-    by segment alone would pair all of it with itself, while here at most 65 fingerprints can share a key.
-    Those under one key are linked in a chain, each link's complete distance is verified, and chains keep
-    all that hang together. 65 rows a distinct fingerprint, at any size of the input.
+
+def _distance(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def near_links(prints: DataFrame) -> DataFrame:
+    """Links (a, b) between distinct fingerprints, a written table, that tie together all at most two bits apart.
+
+    Multi-index hashing over two segments. A table per segment holds every fingerprint under the value of
+    that half. Two fingerprints at most two bits apart have a half in which they differ by one bit or none;
+    so each looks up its own half and its neighbours, about 34 values in all, and fetches what is there.
+    Complete distances decide.
+
+    A value that more than CROWD fingerprints share, as a family of near copies does, is looked up by both
+    halves: its own fingerprints are put under each value of the ball around their other half, those that
+    came from a neighbouring value under their own other half. All that meet under one key, 65 at most, are
+    within two bits of each other, so a chain of them ties them together and no pairs multiply. Nothing is
+    missed either way, and rows grow as the fingerprints.
     """
-    width = BITS // segments
-    balls = F.flatten(F.array(*[_ball(F.col("_print"), s, width) for s in range(segments)]))
-    index = prints.select("_print").distinct().select("_print", F.explode(balls).alias("_key"))
-    bucket = Window.partitionBy("_key").orderBy("_print")
-    met = index.select("_print", F.lag("_print").over(bucket).alias("_other")).filter("_other IS NOT NULL")
-    distance = F.bit_count(F.col("_print").bitwiseXOR(F.col("_other")))
-    return met.filter(distance <= MOST_DIFFERING).select(F.col("_other").alias("a"), F.col("_print").alias("b"))
+    print_ = F.col("_print")
+    table = prints.select("_print").distinct()
+    table = hold(
+        table.select("_print", F.explode(F.array(F.lit(0), F.lit(1))).alias("_segment")).select(
+            "_print", _half(print_, F.col("_segment")).alias("_key")
+        ),
+        "simhash-table",
+    )
+    sizes = table.groupBy("_key").agg(F.count("*").alias("_size"))
+    probes = table.select("_print", F.col("_key").alias("_own"), F.explode(_looked_up(F.col("_key"))).alias("_key"))
+    own = F.col("_own") == F.col("_key")
+    # Most neighbours hold nothing, and a value that only its own fingerprint has leads nowhere.
+    met = probes.join(sizes, "_key").filter(~own | (F.col("_size") > 1))
+    hits = hold(met.select("_print", "_key", own.alias("_home"), (F.col("_size") > CROWD).alias("_crowd")), "simhash-hits")
+
+    entries = table.select("_key", F.col("_print").alias("_entry"))
+    fetched = hits.filter(~F.col("_crowd")).join(entries, "_key").filter(
+        (_distance("_print", "_entry") <= MOST_DIFFERING)
+        # Two of one value meet twice; neighbours meet once.
+        & (~F.col("_home") | (F.col("_print") < F.col("_entry")))
+    )
+    crowd = hits.filter("_crowd").withColumn("_other", _half(print_, 1 - _segment(F.col("_key"))))
+    second = F.when(F.col("_home"), _ball(F.col("_other"))).otherwise(F.array("_other"))
+    crowd = crowd.select("_print", "_key", F.explode(second).alias("_other"))
+    together = Window.partitionBy("_key", "_other").orderBy("_print")
+    chained = crowd.withColumn("_entry", F.lag("_print").over(together)).filter(
+        (F.col("_entry") != F.col("_print")) & (_distance("_print", "_entry") <= MOST_DIFFERING)
+    )
+    both = fetched.select("_print", "_entry").unionAll(chained.select("_print", "_entry"))
+    links = hold(both.select(F.least("_print", "_entry").alias("a"), F.greatest("_print", "_entry").alias("b")), "simhash-links")
+    release(hits)
+    release(table)
+    return links
 
 
 def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -140,216 +171,26 @@ def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFram
     group. Null and empty texts have fingerprint zero and are linked like any other. Rows that repeat a
     doc_id are rows of their own. A null doc_id never is the least unless all of its group are null. An
     empty table gives no rows. Other columns are ignored.
-    """
-    prints = hold(fingerprints(docs, shingle_words), "simhash")
-    return _grouped(prints, near_links(prints))
-
-
-def _grouped(prints: DataFrame, links: DataFrame) -> DataFrame:
-    """``prints`` (_id, _hash, _print) with the _root and _group that ``links`` between prints lead to.
 
     Equal fingerprints are one node, so a group of copies, however large, costs one node; what goes back
     to the documents is one row per fingerprint, by a join whose hot side is split.
     """
+    prints = hold(fingerprints(docs, shingle_words), "simhash")
+    links = near_links(prints)
+    roots = components(links, "simhash-components")
+    release(links)
     nodes = prints.groupBy("_print").agg(F.min("_id").alias("_least"))
-    roots = components(links, "simhash-links")
     known = nodes.join(roots, F.col("_print") == F.col("node"), "left").select(
         "_print", "_least", F.coalesce("root", "_print").alias("_root")
     )
     known = hold(known, "simhash-roots")
+    release(roots)
     least = known.groupBy("_root").agg(F.min("_least").alias("_group"))
     labels = hold(known.join(least, "_root").select("_print", "_root", "_group"), "simhash-groups")
+    release(known)
     return prints.join(labels, "_print").select("_id", "_hash", "_print", "_root", "_group")
 
 
-def _shingle_counts(shingle_words: int):
-    """How many texts have a shingle of each slot, as one row of COUNT_CHUNK counts per part of the table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNT_SLOTS, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                slots = np.unique(_shingle_hashes(text.as_py(), shingle_words)) & np.uint64(COUNT_SLOTS - 1)
-                np.add.at(counts, slots.astype(np.int64), 1)
-        parts = counts.reshape(-1, COUNT_CHUNK)
-        filled = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(filled, pa.int64()), pa.array([parts[k].tobytes() for k in filled], pa.binary())], names=["part", "counts"]
-        )
-
-    return run
-
-
-def _summed_counts(rows: pa.Table) -> pa.Table:
-    total = np.zeros(COUNT_CHUNK, np.int64)
-    for counts in rows.column("counts"):
-        total += np.frombuffer(counts.as_py(), np.int64)
-    ranks = np.frexp(total.astype(np.float64))[1].astype(np.uint8)
-    return pa.table({"part": rows.column("part").slice(0, 1), "ranks": pa.array([ranks.tobytes()], pa.binary())})
-
-
-def _ranks(texts: DataFrame, shingle_words: int) -> np.ndarray:
-    """A rank for every slot of shingles, by powers of two of how often they occur: 1 MB at any size.
-
-    Any order of the shingles gives the same links. This one puts the rare ones first, so that what many
-    texts share is seldom looked up.
-    """
-    counts = texts.select("text").mapInArrow(_shingle_counts(shingle_words), "part bigint, counts binary")
-    found = counts.groupBy("part").applyInArrow(_summed_counts, "part bigint, ranks binary").collect()
-    ranks = np.zeros((COUNT_SLOTS // COUNT_CHUNK, COUNT_CHUNK), np.uint8)
-    for part, row in found:
-        ranks[part] = np.frombuffer(row, np.uint8)
-    return ranks.ravel()
-
-
-def _prefix(hashes: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
-    """The first of the distinct ``hashes`` by rank: texts that are similar by ``similarity`` share one of them.
-
-    Such texts share ``similarity`` of either one's shingles, so not all that they share can come behind.
-    """
-    order = np.argsort(ranks[(hashes & np.uint64(COUNT_SLOTS - 1)).astype(np.int64)], kind="stable")
-    behind = max(1, math.ceil(similarity * len(hashes) - 1e-9)) - 1
-    return hashes[order][: max(0, len(hashes) - behind)]
-
-
-def _prefixes(shingle_words: int, ranks: np.ndarray, similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(_shingle_hashes(t.as_py(), shingle_words)) for t in batch.column(1)]
-            prints = [_signed(xxhash.xxh64_intdigest(h.tobytes(), HASH_SEED)) for h in sets]
-            firsts = [_prefix(h, ranks, similarity).astype(np.int64) for h in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(2),
-                    pa.array(prints, pa.int64()),
-                    pa.array([len(h) for h in sets], pa.int64()),
-                    pa.array(firsts, pa.list_(pa.int64())),
-                ],
-                names=["_id", "_hash", "_print", "_shingles", "_prefix"],
-            )
-
-    return run
-
-
-def _may_be_similar(n_a: Column, at_a: Column, n_b: Column, at_b: Column, similarity: float) -> Column:
-    """False only where the sizes, or the shingles from the shared one on, rule the similarity out.
-
-    The first shared shingle passes for every pair that is similar: all else they share comes behind it.
-    """
-    needed = similarity / (1 + similarity) * (n_a + n_b) - 1e-6
-    return F.least(n_a - at_a, n_b - at_b) >= needed
-
-
-def similar_groups(
-    docs: DataFrame, shingle_words: int = LONG_SHINGLE_WORDS, similarity: float = SIMILARITY
-) -> DataFrame:
-    """Like ``near_groups``, over pairs of texts whose shingle sets are similar by ``similarity`` or more.
-
-    Prefix filtering, without a miss at any size: shingles have one order, rare ones first, and two similar
-    texts share one of the first 1 - ``similarity`` of either's. Texts are indexed by these shingles only, a
-    fifth of a row a word. Every text is first compared with one text under each of its shingles, which
-    ties families of near copies together with links as many as their rows. Then all texts that share an
-    indexed shingle and are not in one group yet are compared. Pairs drop out only where their sizes, or the
-    places of the shared shingle, rule the similarity out; all others are decided by their shingles.
-
-    A family whose members are near the threshold and in no common group costs a look at each of its
-    pairs, which the join spreads over tasks.
-    """
-    rows = docs.select(
-        column("doc_id").cast("bigint").alias("_id"),
-        F.coalesce(column("text"), F.lit("")).cast("binary").alias("text"),
-        F.xxhash64(column("text")).alias("_hash"),
-    )
-    found = hold(
-        rows.mapInArrow(
-            _prefixes(shingle_words, _ranks(rows, shingle_words), similarity),
-            "_id bigint, _hash bigint, _print bigint, _shingles bigint, _prefix array<bigint>",
-        ),
-        "simhash-prefixes",
-    )
-    index = (
-        found.groupBy("_print")
-        .agg(F.any_value("_shingles").alias("_shingles"), F.any_value("_prefix").alias("_prefix"))
-        .select("_print", "_shingles", F.posexplode("_prefix").alias("_at", "_key"))
-    )
-    index = hold(index, "simhash-index")
-    leads = (
-        index.groupBy("_key")
-        .agg(F.min(F.struct("_print", "_shingles", "_at")).alias("lead"), F.max("_print").alias("last"))
-        .filter("lead._print <> last")
-    )
-    shared = hold(index.join(leads.select("_key", "lead"), "_key"), "simhash-shared")
-    lead = {name: F.col(f"lead.{name}") for name in ("_print", "_shingles", "_at")}
-    first = hold(
-        shared.filter(
-            (F.col("_print") != lead["_print"])
-            & _may_be_similar(F.col("_shingles"), F.col("_at"), lead["_shingles"], lead["_at"], similarity)
-        )
-        .select(F.least("_print", lead["_print"]).alias("a"), F.greatest("_print", lead["_print"]).alias("b"))
-        .distinct(),
-        "simhash-first",
-    )
-    links = hold(_compared_texts(docs, found, first, shingle_words, similarity), "simhash-first-links")
-    roots = components(links, "simhash-first-groups")
-    rooted = shared.join(roots, F.col("_print") == F.col("node"), "left").select(
-        "_key", "_print", "_shingles", "_at", F.coalesce("root", "_print").alias("_root")
-    )
-    rooted = hold(rooted, "simhash-rooted")
-    apart = rooted.groupBy("_key").agg(F.min("_root").alias("least"), F.max("_root").alias("most"))
-    open_rows = hold(rooted.join(apart.filter("least <> most").select("_key"), "_key"), "simhash-open")
-    one = open_rows.select("_key", *[F.col(c).alias(f"{c}_a") for c in ("_print", "_shingles", "_at", "_root")])
-    other = open_rows.select("_key", *[F.col(c).alias(f"{c}_b") for c in ("_print", "_shingles", "_at", "_root")])
-    likely = _may_be_similar(*[F.col(c) for c in ("_shingles_a", "_at_a", "_shingles_b", "_at_b")], similarity)
-    met = one.join(
-        other,
-        (one["_key"] == other["_key"]) & (F.col("_print_a") < F.col("_print_b")) & (F.col("_root_a") != F.col("_root_b")) & likely,
-    )
-    rest = met.select(F.col("_print_a").alias("a"), F.col("_print_b").alias("b")).distinct()
-    rest = hold(rest.join(first, ["a", "b"], "left_anti"), "simhash-rest")
-    links = hold(links.unionAll(_compared_texts(docs, found, rest, shingle_words, similarity)), "simhash-similar")
-    return _grouped(found.select("_id", "_hash", "_print"), links)
-
-
-def _compared_texts(
-    docs: DataFrame, found: DataFrame, pairs: DataFrame, shingle_words: int, similarity: float
-) -> DataFrame:
-    """The ``pairs`` (a, b) of fingerprints whose texts share ``similarity`` of their distinct shingles.
-
-    Only texts of these pairs are fetched, one for each fingerprint.
-    """
-    wanted = pairs.select(F.col("a").alias("_print")).unionAll(pairs.select("b")).distinct()
-    key = ["_key_id", "_key_none", "_key_hash"]
-    one_row = (
-        found.join(wanted, "_print", "left_semi")
-        .groupBy("_print")
-        .agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_hash")).alias("row"))
-        .select("_print", *_row_key(F.col("row._id"), F.col("row._hash")))
-    )
-    sources = docs.select(
-        *_row_key(column("doc_id").cast("bigint"), F.xxhash64(column("text"))),
-        F.coalesce(column("text"), F.lit("")).cast("binary").alias("_text"),
-    )
-    texts = hold(
-        sources.join(hold(one_row, "simhash-wanted"), key).select("_print", "_text").dropDuplicates(["_print"]),
-        "simhash-texts",
-    )
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                one, other = (np.unique(_shingle_hashes(t.as_py(), shingle_words)) for t in (x, y))
-                shared = len(np.intersect1d(one, other, assume_unique=True))
-                alike.append(shared >= similarity * (len(one) + len(other) - shared))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(alike))
-
-    both = pairs.join(texts.select(F.col("_print").alias("a"), F.col("_text").alias("x")), "a").join(
-        texts.select(F.col("_print").alias("b"), F.col("_text").alias("y")), "b"
-    )
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
-
-
 def hexadecimal(print_: Column) -> Column:
     return F.lower(F.lpad(F.hex(print_), 16, "0"))
 
@@ -361,22 +202,21 @@ def _row_key(doc_id: Column, text_hash: Column) -> list[Column]:
     ]
 
 
-def drop_near_duplicates(
-    docs: DataFrame, shingle_words: int = LONG_SHINGLE_WORDS, similarity: float = SIMILARITY
-) -> DataFrame:
-    """``docs`` with one row of each group of similar texts, the one with the least doc_id.
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """``docs`` with one row of each group of ``near_groups``, the one with the least doc_id.
 
     Of several texts under the least doc_id the one with the least hash stays, of identical rows any one.
     A group whose ids are all null keeps one row. Columns are those of ``docs``.
     """
+    groups = near_groups(docs, shingle_words)
     leaders = (
-        similar_groups(docs, shingle_words, similarity)
-        .filter(F.col("_id").eqNullSafe(F.col("_group")))
+        groups.filter(F.col("_id").eqNullSafe(F.col("_group")))
         .groupBy("_root", "_group")
         .agg(F.min("_hash").alias("_hash"))
     )
     key = ["_key_id", "_key_none", "_key_hash"]
     chosen = hold(leaders.select(*_row_key(F.col("_group"), F.col("_hash"))), "simhash-leaders")
+    release(groups)
     rows = docs.select(
         packed(docs), *_row_key(column("doc_id").cast("bigint"), F.xxhash64(column("text")))
     ).join(chosen, key, "left_semi")
