@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import decontaminate, mixing, quality, sharding, simhash
 from tillroll.llm.common import shipped, table
-from tillroll.sources.scratch import hold
+from tillroll.sources.scratch import drop, hold, intermediates
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts that share 0.8 of their five-word shingles."""
+    """One row of each group of texts whose SimHashes of three-word shingles are two bits apart or fewer."""
     return simhash.drop_near_duplicates(docs)
 
 
@@ -57,8 +57,16 @@ STAGES = [(name, shipped(stage)) for name, stage in STAGES]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each result written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over ``documents``, each result written and read again.
+
+    What a stage wrote on the way, and its predecessor's rows, are deleted once its own are written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = hold(stage(spark, docs, sf_dir), name)
+        with intermediates(spark) as passing:
+            docs = hold(stage(spark, docs, sf_dir), name)
+            written = passing.pop()
+        if before:
+            drop(spark, before)
+        before = written
     return docs
