@@ -226,6 +226,20 @@ STATEMENTS["ingest_csv_sheets"] = _statement(
     "SELECT * EXCLUDE (_source_file, _source_row) REPLACE (nullif(country, '') AS country) FROM raw",
 )
 
+# Every fifth source row has a line break in its text; the text is no part of the hash.
+STATEMENTS["ingest_multiline_sheets"] = _statement(
+    [
+        _FILES[0],
+        _FILES[1],
+        _FILES[2].replace(
+            " AS invoice_date)",
+            " AS invoice_date, CASE WHEN source_row % 5 = 0 THEN replace(description, ' ', chr(10)) ELSE description END AS description)",
+        ),
+        _FILES[3],
+    ],
+    "SELECT * EXCLUDE (_source_file, _source_row) REPLACE (nullif(country, '') AS country) FROM raw",
+)
+
 STATEMENTS["clean_customer_id"] = _statement(
     [LINES, SHEETS],
     """
@@ -561,6 +575,52 @@ FROM (SELECT *, round((v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0), 2)
       WINDOW w AS (PARTITION BY metric ORDER BY load ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)) AS scored""",
 )
 
+STATEMENTS["dq_load_history"] = _statement(
+    _TO_RAW,
+    """
+, years AS (
+  SELECT strftime(invoice_date, '%Y') AS load, CAST(count(*) AS DOUBLE) AS n,
+         CAST(count(*) FILTER (WHERE customer_id IS NULL) AS DOUBLE) AS no_id,
+         CAST(count(*) FILTER (WHERE price <= 0) AS DOUBLE) AS no_price,
+         CAST(sum(CAST(quantity * price AS DECIMAL(38, 9))) AS DOUBLE) AS revenue
+  FROM raw GROUP BY 1),
+metrics AS (
+  SELECT load, 'n_rows' AS metric, n AS v FROM years
+  UNION ALL SELECT load, 'null_id_rate', no_id / n FROM years
+  UNION ALL SELECT load, 'nonpositive_price_rate', no_price / n FROM years
+  UNION ALL SELECT load, 'revenue', revenue FROM years),
+scored AS (
+  SELECT *, count(v) OVER w AS known, (v - avg(v) OVER w) AS off, stddev_samp(v) OVER w AS sd FROM metrics
+  WINDOW w AS (PARTITION BY metric ORDER BY load ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING))
+SELECT load, metric, round(v, 4) AS value, CASE WHEN known >= 2 THEN round(off / nullif(sd, 0), 2) END AS z_score,
+       coalesce(known >= 2 AND (abs(off / nullif(sd, 0)) > 3 OR (sd = 0 AND off <> 0)), FALSE) AS anomalous
+FROM scored""",
+)
+
+_KIND = """CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double'
+              WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE 'timestamp' END"""
+
+STATEMENTS["dq_schema_drift"] = _statement(
+    _TO_RAW,
+    f"""
+, changed AS (
+  SELECT quantity, * EXCLUDE (quantity, price, country), CAST(price AS VARCHAR) AS price, upper(country) AS region FROM raw),
+one AS (SELECT row_number() OVER () AS at, column_name AS c, {_KIND} AS kind FROM (DESCRIBE SELECT * FROM raw)),
+two AS (SELECT row_number() OVER () AS at, column_name AS c, {_KIND} AS kind FROM (DESCRIBE SELECT * FROM changed)),
+compared AS (
+  SELECT '2' AS load, c, one.at AS was_at, one.kind AS was, two.at AS is_at, two.kind AS is_now FROM one FULL JOIN two USING (c)
+  UNION ALL
+  SELECT '3', c, two.at, two.kind, one.at, one.kind FROM one FULL JOIN two USING (c)),
+shared AS (
+  SELECT load, c, row_number() OVER (PARTITION BY load ORDER BY was_at) AS was_nth,
+         row_number() OVER (PARTITION BY load ORDER BY is_at) AS is_nth
+  FROM compared WHERE was IS NOT NULL AND is_now IS NOT NULL)
+SELECT load, c AS column_name, 'added as ' || is_now AS problem FROM compared WHERE was IS NULL
+UNION ALL SELECT load, c, 'missing, was ' || was FROM compared WHERE is_now IS NULL
+UNION ALL SELECT load, c, 'type ' || was || ' became ' || is_now FROM compared WHERE was <> is_now
+UNION ALL SELECT load, c, 'place ' || was_nth || ' became ' || is_nth FROM shared WHERE was_nth <> is_nth""",
+)
+
 STATEMENTS["dq_schema_contract"] = _statement(
     _ALL,
     " UNION ALL ".join(
@@ -618,28 +678,54 @@ SELECT customer_sk, customer_id, primary_country, segment, {_arm('customer_sk')}
 FROM rfm WHERE {_TARGETED}""",
 )
 
-STATEMENTS["winback_outcome"] = _statement(
-    [
-        *_TO_ORDERS,
-        _dim_customer("then_customer", "invoice_date <= DATE '2000-12-31'"),
-        _rfm("then_rfm", "then_customer", "DATE '2000-12-31'"),
-    ],
-    f"""
-, result AS (
-  SELECT t.customer_sk, {_arm('t.customer_sk')} AS arm,
+_OUTCOME = """
+{name}_result AS (
+  SELECT t.customer_sk, {arm} AS arm,
          coalesce(bool_or(NOT o.is_cancellation), FALSE) AS came_back, coalesce(sum(o.order_revenue), 0) AS revenue
-  FROM then_rfm t LEFT JOIN fct_orders o ON o.customer_sk = t.customer_sk
-    AND o.invoice_date > DATE '2000-12-31' AND o.invoice_date <= DATE '2001-02-25'
-  WHERE t.{_TARGETED} GROUP BY 1, 2),
-lift AS (
+  FROM {name}_rfm t LEFT JOIN fct_orders o ON o.customer_sk = t.customer_sk
+    AND o.invoice_date > DATE '{day}' AND o.invoice_date <= DATE '{end}'
+  WHERE t.{targeted} GROUP BY 1, 2),
+{name}_lift AS (
   SELECT 100.0 * count(*) FILTER (WHERE arm = 'treatment' AND came_back) / count(*) FILTER (WHERE arm = 'treatment')
          - 100.0 * count(*) FILTER (WHERE arm = 'control' AND came_back) / count(*) FILTER (WHERE arm = 'control') AS pp
-  FROM result)
+  FROM {name}_result)"""
+
+_OUTCOME_ROWS = f"""
 SELECT arm, count(*) AS customers, count(*) FILTER (WHERE came_back) AS reactivated,
        {_ratio('count(*) FILTER (WHERE came_back)', 'count(*)', 2, 100)} AS reactivation_rate_pct,
        {_money('sum(revenue)', 2)} AS revenue, {_ratio('sum(revenue)', 'count(*)', 2)} AS revenue_per_customer,
-       round(any_value(pp), 2) AS lift_pp, any_value(pp) >= 3 AS succeeded
-FROM result CROSS JOIN lift GROUP BY arm""",
+       round(any_value(pp), 2) AS lift_pp, any_value(pp) >= 3 AS succeeded"""
+
+
+def _outcome(name: str, day: str, end: str) -> list[str]:
+    """The customers and scores as of ``day`` and what they did until ``end``."""
+    return [
+        _dim_customer(f"{name}_customer", f"invoice_date <= DATE '{day}'"),
+        _rfm(f"{name}_rfm", f"{name}_customer", f"DATE '{day}'"),
+        _OUTCOME.format(name=name, day=day, end=end, arm=_arm("t.customer_sk"), targeted=_TARGETED),
+    ]
+
+
+STATEMENTS["winback_outcome"] = _statement(
+    [*_TO_ORDERS, *_outcome("then", "2000-12-31", "2001-02-25")],
+    f"{_OUTCOME_ROWS} FROM then_result CROSS JOIN then_lift GROUP BY arm",
+)
+
+STATEMENTS["winback_outcomes"] = _statement(
+    [*_TO_ORDERS, *_outcome("first", "1999-06-30", "1999-08-25"), *_outcome("then", "2000-12-31", "2001-02-25")],
+    f"{_OUTCOME_ROWS}, DATE '1999-06-30' AS campaign_day FROM first_result CROSS JOIN first_lift GROUP BY arm UNION ALL "
+    f"{_OUTCOME_ROWS}, DATE '2000-12-31' AS campaign_day FROM then_result CROSS JOIN then_lift GROUP BY arm",
+)
+
+STATEMENTS["customers_as_of"] = _statement(
+    [
+        *_TO_STG,
+        *[_dim_customer(f"on_{k}", f"invoice_date <= DATE '{day}'") for k, day in enumerate(("1996-12-31", "1998-06-15", "2000-12-31"))],
+    ],
+    " UNION ALL ".join(
+        f"SELECT DATE '{day}' AS as_of, * REPLACE ({_money('lifetime_net_revenue')} AS lifetime_net_revenue) FROM on_{k}"
+        for k, day in enumerate(("1996-12-31", "1998-06-15", "2000-12-31"))
+    ),
 )
 
 STATEMENTS["winback_impact"] = _statement(

@@ -1,0 +1,178 @@
+"""Load history, schema drift, and tables that are replaced as a whole."""
+
+from __future__ import annotations
+
+from datetime import datetime
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.helpers import raw_frame
+from tillroll.plans import history
+from tillroll.plans.warehouse import Published, Warehouse, publish_catalog, publish_files
+from tillroll.schemas import ContractError
+from tillroll.sources import sinks
+from tillroll.sources.sinks import VERSIONS, current_path, read_table_files, save_table, write_table_files
+
+
+def lines(spark, load: str, n: int, **changes):
+    return raw_frame(spark, *[{"invoice": f"{load}-{k}", **changes} for k in range(n)])
+
+
+def kept(spark, path):
+    return history.recorded(spark, path, history.METRICS_SCHEMA)
+
+
+def test_a_rerun_adds_no_row_and_a_bad_load_is_flagged(spark, tmp_path):
+    path = str(tmp_path / "history")
+    for load, n in [("2011-01", 20), ("2011-02", 22), ("2011-03", 21), ("2011-04", 90)]:
+        history.record(history.load_metrics(lines(spark, load, n), F.lit(load)), path)
+    rows = kept(spark, path).count()
+    found = {(r.load, r.metric): r for r in history.load_anomalies(kept(spark, path)).collect()}
+    assert rows == len(found) == 16
+    assert found["2011-04", "n_rows"].anomalous and found["2011-04", "revenue"].anomalous
+    assert not any(r.anomalous for (load, _), r in found.items() if load != "2011-04")
+    # The load again, put right: its rows are replaced, the others stay.
+    history.record(history.load_metrics(lines(spark, "2011-04", 21), F.lit("2011-04")), path)
+    assert kept(spark, path).count() == rows
+    assert not any(r.anomalous for r in history.load_anomalies(kept(spark, path)).collect())
+
+
+def test_a_metric_that_never_varied(spark, tmp_path):
+    path = str(tmp_path / "history")
+    for load, price in [("1", 1.0), ("2", 1.0), ("3", 1.0), ("4", 0.0)]:
+        history.record(history.load_metrics(lines(spark, load, 5, price=price), F.lit(load)), path)
+    odd = {(r.load, r.metric, r.z_score) for r in history.load_anomalies(kept(spark, path)).filter("anomalous").collect()}
+    assert odd == {("4", "nonpositive_price_rate", None), ("4", "revenue", None)}
+
+
+def drift(spark, path, *frames):
+    for k, frame in enumerate(frames):
+        history.record(history.landed_columns(spark, frame.schema, f"{k}"), path)
+    rows = history.schema_drift(history.recorded(spark, path, history.COLUMNS_SCHEMA)).collect()
+    return sorted((r.load, r.column_name, r.problem) for r in rows)
+
+
+def test_schema_drift(spark, tmp_path):
+    one = spark.createDataFrame([], "a int NOT NULL, b string, c double, d date")
+    same = spark.createDataFrame([], "a int NOT NULL, b string, c double, d date")
+    other = spark.createDataFrame([], "c double, a bigint, e string, b string")
+    assert drift(spark, str(tmp_path / "same"), one, same) == []
+    assert drift(spark, str(tmp_path / "other"), one, other, other) == [
+        ("1", "a", "nullable now"),
+        ("1", "a", "place 1 became 2"),
+        ("1", "a", "type int became bigint"),
+        ("1", "b", "place 2 became 3"),
+        ("1", "c", "place 3 became 1"),
+        ("1", "d", "missing, was date"),
+        ("1", "e", "added as string"),
+    ]
+
+
+def test_a_write_that_fails_half_way_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    write_table_files(raw_frame(spark, {}, {"invoice_date": datetime(2011, 2, 1)}), "raw", path)
+    reader = read_table_files(spark, "raw", path)
+    good = raw_frame(spark, *[{"invoice": f"{k}"} for k in range(8)]).repartition(8)
+    # One task fails after others may have written.
+    broken = good.withColumn(
+        "country", F.when(F.col("invoice") == "5", F.raise_error(F.lit("a lost file"))).otherwise(F.col("country")).cast("string")
+    )
+    with pytest.raises(Exception, match="a lost file"):
+        write_table_files(broken, "raw", path)
+    assert read_table_files(spark, "raw", path).count() == reader.count() == 2
+    assert len(list((tmp_path / "raw" / VERSIONS).iterdir())) == 1
+    write_table_files(good, "raw", path)
+    assert read_table_files(spark, "raw", path).count() == 8
+    assert reader.count() == 2  # who began before keeps what was there
+
+
+def test_a_version_with_missing_rows_never_becomes_current(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "raw")
+    write_table_files(raw_frame(spark, {}), "raw", path)
+    before = current_path(spark, path)
+    writer = sinks._writer
+    monkeypatch.setattr(sinks, "_writer", lambda df, name: writer(df.filter("invoice <> '2'"), name))
+    with pytest.raises(ContractError, match="rows on disk"):
+        write_table_files(raw_frame(spark, {}, {"invoice": "2"}), "raw", path)
+    assert current_path(spark, path) == before
+
+
+def test_old_versions_go(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    for n in range(1, 5):
+        write_table_files(raw_frame(spark, *[{}] * n), "raw", path)
+    names = sorted(p.name for p in (tmp_path / "raw" / VERSIONS).iterdir())
+    assert len(names) == 2 and current_path(spark, path).endswith(names[-1])
+    assert read_table_files(spark, "raw", path).count() == 4
+
+
+def test_a_failed_catalog_write_leaves_the_table(spark):
+    try:
+        publish_catalog(raw_frame(spark, {}, {"invoice": "2"}), "tillroll_whole")
+        bad = raw_frame(spark, {}).withColumn("country", F.raise_error(F.lit("a lost file")).cast("string"))
+        with pytest.raises(Exception, match="a lost file"):
+            publish_catalog(bad, "tillroll_whole")
+        assert spark.table("tillroll_whole.raw").count() == spark.table("tillroll_whole.fct_orders").count() == 2
+        for _ in range(3):
+            save_table(raw_frame(spark, {}), "raw", "tillroll_whole")
+        assert spark.table("tillroll_whole.raw").count() == 1
+        tables = [t.name for t in spark.catalog.listTables("tillroll_whole") if t.name.startswith("raw")]
+        assert len(tables) == 3  # the view, its version and the one before
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS tillroll_whole CASCADE")
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+DATED = (
+    {},
+    {"invoice": "2", "customer_id": "8", "invoice_date": datetime(2011, 3, 1)},
+    {"invoice": "3", "customer_id": None, "stock_code": None, "invoice_date": datetime(2011, 3, 31)},
+    {"invoice": "4", "invoice_date": datetime(2010, 12, 31)},
+    {"invoice": "5", "invoice_date": None},
+)
+
+
+@pytest.mark.parametrize("grain", ["day", "month", "year", None])
+def test_a_range_of_days(spark, grain):
+    from datetime import date
+
+    raw = raw_frame(spark, *DATED)
+    tables = Warehouse(lambda: raw, grain)
+    whole = tables["fct_sales"]
+    for first, last in [(date(2011, 1, 5), date(2011, 3, 1)), (date(2011, 3, 2), None), (None, date(2010, 12, 31)), (None, None)]:
+        expected = whole
+        if first:
+            expected = expected.filter(F.col("invoice_date") >= F.lit(first))
+        if last:
+            expected = expected.filter(F.col("invoice_date") <= F.lit(last))
+        got = tables.between("fct_sales", first, last)
+        assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+        if grain and first:
+            assert "PartitionFilters: [isnotnull(_period" in plan(got)
+            stored = Path(tables["stg"].inputFiles()[0].removeprefix("file:")).parents[1]
+            assert len(list(stored.glob("_period=*"))) == {"day": 5, "month": 4, "year": 3}[grain]
+    assert tables["stg"].columns == list(Warehouse(lambda: raw, None)["stg"].columns)
+    tables.close()
+    assert not stored.exists() if grain else True
+
+
+def test_figures_are_those_of_the_written_rows(spark, tmp_path):
+    raw = raw_frame(spark, *DATED)
+    for tables in (Warehouse(lambda: raw), publish_files(raw, str(tmp_path))):
+        rows = {(r.table_name, r.column_name): (r.n_rows, r.nulls) for r in tables.figure_rows().collect()}
+        for name, table in tables.items():
+            n = table.count()
+            nulls = table.select(*[F.count_if(F.col(c).isNull()).alias(c) for c in table.columns]).first().asDict()
+            assert {c: rows[name, c] for c in table.columns} == {c: (n, v) for c, v in nulls.items()}
+        assert isinstance(tables, (Warehouse, Published))
+
+
+def test_figures_of_nothing(spark, tmp_path):
+    raw = raw_frame(spark, {}).limit(0)
+    for tables in (Warehouse(lambda: raw), publish_files(raw, str(tmp_path))):
+        assert {r.n_rows for r in tables.figure_rows().collect()} == {0}

@@ -11,11 +11,27 @@ from tillroll.plans import quality
 from tillroll.plans.warehouse import Warehouse
 
 
+GOOD = ({}, {"invoice": "2", "customer_id": "8"}, {"invoice": "3", "customer_id": None})
+
+
 def warehouse(spark, *changes):
     return dict(Warehouse.over(raw_frame(spark, *changes)).items())
 
 
-GOOD = ({}, {"invoice": "2", "customer_id": "8"}, {"invoice": "3", "customer_id": None})
+def scans_of_staging(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("/stg-")
+
+
+def test_checks_after_a_build_do_not_read_staging(spark):
+    """What the write counted, and the roll-up of keys, say the same as passes over the tables."""
+    tables = Warehouse.over(raw_frame(spark, *GOOD, {"invoice": "9", "stock_code": None}))
+    plain = dict(tables.items())
+    for check in (quality.dq_assertions, quality.dq_not_null, quality.dq_relationships, quality.dq_schema_contract):
+        observed, passes = check(tables), check(plain)
+        assert scans_of_staging(observed) == 0
+        assert sorted(map(str, observed.collect())) == sorted(map(str, passes.collect()))
+
+
 
 
 def failed(df, *names):

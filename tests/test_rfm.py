@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.helpers import raw_frame
 from tillroll.plans import campaign, marts, rfm
 from tillroll.plans.staging import stg_lines
+from tillroll.plans.warehouse import Warehouse
 from tillroll.schemas import MONEY
 
 # The expected segment of every (recency, frequency) score (fixed values).
@@ -115,3 +117,31 @@ def test_outcome(spark):
     assert rows["treatment"].revenue == 492 and rows["control"].revenue == 7
     lift = 100 * 50 / len(treated) - 100 / len(control)
     assert rows["control"].lift_pp == round(lift, 2) and rows["control"].succeeded
+
+
+def test_customers_as_of_many_days_are_those_of_a_rebuild_for_each(spark):
+    """Random orders over two years, cancellations, service lines and changes of country among them."""
+    draw = random.Random(11)
+    first = datetime(2010, 1, 1)
+    changes = []
+    for k in range(400):
+        invoice = draw.randrange(120)
+        changes.append(
+            {
+                "invoice": ("C" if draw.random() < 0.1 else "") + str(invoice),
+                "stock_code": draw.choice(["85123A", "84029G", "POST"]),
+                "customer_id": draw.choice([None, "7", "8", "9", "10", "11", "x"]),
+                "country": draw.choice(["France", "Spain", "Italy"]),
+                "quantity": draw.randrange(-2, 6),
+                # An invoice may go on for days.
+                "invoice_date": first + timedelta(days=invoice * 6 + draw.randrange(20)),
+                "price": float(draw.randrange(9)),
+            }
+        )
+    tables = Warehouse.over(raw_frame(spark, *changes))
+    days = [date(2009, 6, 1), *[date(2010, 1, 1) + timedelta(days=draw.randrange(760)) for _ in range(12)]]
+    got = marts.dim_customer_as_of(tables["order_parts"], days)
+    for day in sorted(set(days)):
+        rebuilt = marts.dim_customer(tables["order_parts"].filter(F.col("invoice_date") <= F.lit(day)))
+        mine = got.filter(F.col("as_of") == F.lit(day)).drop("as_of")
+        assert sorted(map(str, mine.collect())) == sorted(map(str, rebuilt.collect())), day

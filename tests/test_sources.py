@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import csv
 import json
+import random
 from datetime import date, datetime, timedelta, timezone
 from pathlib import Path
 
@@ -15,7 +16,7 @@ from tillroll.plans.warehouse import TABLES, Warehouse, checks, publish_catalog,
 from tillroll.schemas import CONTRACTS, ContractError, require_contract
 from tillroll.sources.scratch import scratch_root
 from tillroll.sources.sheets import land, read_csv_sheet, read_parquet_sheet
-from tillroll.sources.sinks import read_table_files, write_metrics, write_parquet, write_table_files
+from tillroll.sources.sinks import current_path, read_table_files, write_metrics, write_parquet, write_table_files
 
 HEADINGS = ["Invoice", "StockCode", "Description", "Quantity", "InvoiceDate", "Price", "Customer ID", "Country"]
 
@@ -108,7 +109,37 @@ def test_line_breaks_in_fields_need_multiline(spark, tmp_path):
     ]
     (tmp_path / "b.csv").write_text(",".join(HEADINGS) + "\n1,2,3\n")
     with pytest.raises(Exception, match="MALFORMED_RECORD"):
-        read_csv_sheet(spark, str(tmp_path / "b.csv"), "B", multiline=True)
+        read_csv_sheet(spark, str(tmp_path / "b.csv"), "B", multiline=True).frame.collect()
+    (tmp_path / "c.csv").write_text(",".join(HEADINGS) + '\n1,2,"3\n')
+    with pytest.raises(ContractError, match="open quote"):
+        read_csv_sheet(spark, str(tmp_path / "c.csv"), "C", multiline=True)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_line_breaks_across_splits(spark, tmp_path, end):
+    """Random quoted files, cut at every few bytes, hold the rows a reader of the whole file finds."""
+    draw = random.Random(len(end))
+    marks = ["a", "b c", "\n", "\n\n", '"', '""', ",", "", "é", ";", '"\n"', "x\n,y"]
+    written = {}
+    for name in ("p.csv", "q.csv"):
+        rows = []
+        for i in range(60):
+            text = "".join(draw.choices(marks, k=draw.randrange(6)))
+            rows.append(line(i, Description=f"t{text}t", Country=draw.choice(["France", "two\nlines", 'q"q'])))
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as out:
+            out.write(",".join(HEADINGS) + end)
+            for k, row in enumerate(rows):
+                csv.writer(out, lineterminator=end, quoting=csv.QUOTE_ALL if k % 3 else csv.QUOTE_MINIMAL).writerow(row)
+                out.write(end if k % 7 == 0 else "")
+        written |= {(name, i + 2): (row[2], row[7]) for i, row in enumerate(rows)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for cut in ("97", "700", "64k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
+        try:
+            sheet = read_csv_sheet(spark, str(tmp_path), "A", multiline=True).frame
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert {(r.SourceFile, r.SourceRow): (r.Description, r.Country) for r in sheet.collect()} == written
 
 
 SHEET = (
@@ -225,7 +256,8 @@ def test_hot_day_is_split_over_files(spark, tmp_path):
         write_table_files(raw, "raw", str(tmp_path / "raw"))
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
-    folders = {f.name: len(list(f.glob("*.parquet"))) for f in (tmp_path / "raw").glob("invoice_day=*")}
+    version = Path(current_path(spark, str(tmp_path / "raw")))
+    folders = {f.name: len(list(f.glob("*.parquet"))) for f in version.glob("invoice_day=*")}
     assert folders["invoice_day=2011-01-05"] > 2
     assert folders["invoice_day=2010-05-01"] == 1
     back = read_table_files(spark, "raw", str(tmp_path / "raw"))
@@ -279,8 +311,10 @@ def test_whole_run(spark, tmp_path):
     write_csv(tmp_path / "a.csv", [line(1), line(1), line(2, **{"Customer ID": "8"})])
     write_csv(tmp_path / "b.csv", [line(3, StockCode="POST", **{"Customer ID": ""})])
     sheets = [f"A={tmp_path}/a.csv", f"B={tmp_path}/b.csv"]
-    assert main([*sheets, "--out", str(tmp_path / "out"), "--start-date", "2010-01-01"]) == 0
-    assert spark.read.parquet(str(tmp_path / "out" / "fct_sales")).count() == 3
+    asked = ["--campaign-day", "2010-12-31", "--lapsed-country", "France", "--load", "one"]
+    for _ in range(2):
+        assert main([*sheets, "--out", str(tmp_path / "out"), "--start-date", "2010-01-01", *asked]) == 0
+    assert read_table_files(spark, "fct_sales", str(tmp_path / "out" / "fct_sales")).count() == 3
 
     def document(name, folder="analysis"):
         parts = sorted((tmp_path / "out" / folder / name).glob("*.json"))
@@ -294,6 +328,10 @@ def test_whole_run(spark, tmp_path):
     assert {c["arm"] for c in document("winback_customers")} <= {"control", "treatment"}
     assert document("kpi")[0]["customers"] == 2 and document("geography")[0]["country"] == "France"
     assert len(document("top_customers")) == 2
+    assert all(check["passed"] for check in document("schema", "checks")) and len(document("schema", "checks")) == 7
+    assert {(r["load"], r["metric"]): r["value"] for r in document("load_history")}["one", "n_rows"] == 4
+    assert document("schema_drift_A") == [] and (tmp_path / "out" / "history" / "metrics" / "load=one").exists()
+    assert document("winback_outcome") == [] and document("lapsed_top_customers") == []
 
 
 @pytest.mark.parametrize("passed, code", [(False, 2), (True, 0)])
@@ -301,7 +339,7 @@ def test_a_failed_check_sets_the_exit_code(spark, tmp_path, monkeypatch, passed,
     write_csv(tmp_path / "a.csv", [line(1)])
     result = spark.range(1).select(F.lit("a check").alias("check"), F.lit(passed).alias("passed"))
     monkeypatch.setattr("tillroll.__main__.checks", lambda tables, now: {"unique": result})
-    monkeypatch.setattr("tillroll.__main__.analysis", lambda tables, start: {})
+    monkeypatch.setattr("tillroll.__main__.analysis", lambda *_: {})
     out = str(tmp_path / "out")
     assert main([f"A={tmp_path}/a.csv", "--out", out, "--start-date", "2010-01-01"]) == code
 

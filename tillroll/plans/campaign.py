@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillroll.functions.columns import ratio
-from tillroll.plans.marts import dim_customer
+from tillroll.plans.marts import dim_customer, dim_customer_as_of
 from tillroll.plans.rfm import as_of_date, rfm, winback_customers
 from tillroll.sources.scratch import hold
 
@@ -87,6 +88,28 @@ def winback_outcome(
     )
 
 
+def outcome(tables, as_of: date, days: int = OUTCOME_DAYS) -> DataFrame:
+    """:func:`winback_outcome` of stored tables: lines up to ``as_of`` and orders of the days after it are read."""
+    scores = scores_on(tables.between("order_parts", None, as_of), as_of)
+    later = tables.between("fct_orders", as_of + timedelta(days=1), as_of + timedelta(days=days))
+    return winback_outcome(scores, later, as_of, days)
+
+
+def outcomes(tables, days: list[date], length: int = OUTCOME_DAYS) -> DataFrame:
+    """:func:`winback_outcome` of campaigns that began on each of ``days``, with the day as ``campaign_day``.
+
+    The customers of all days come from one pass over the orders (:func:`dim_customer_as_of`), written once.
+    """
+    states = hold(dim_customer_as_of(tables.between("order_parts", None, max(days)), days), "customers-as-of", "as_of")
+    results = []
+    for day in sorted(set(days)):
+        customers = states.filter(F.col("as_of") == F.lit(day)).drop("as_of")
+        later = tables.between("fct_orders", day + timedelta(days=1), day + timedelta(days=length))
+        scores = hold(rfm(customers, day), "scores-then")
+        results.append(winback_outcome(scores, later, day, length).withColumn("campaign_day", F.lit(day)))
+    return reduce(DataFrame.unionByName, results)
+
+
 def winback_impact(
     rfm: DataFrame, low_pct: int = LOW_REACTIVATION_PCT, high_pct: int = HIGH_REACTIVATION_PCT
 ) -> DataFrame:

@@ -7,10 +7,12 @@ together per key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from datetime import date
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tillroll.functions.columns import UNKNOWN_DESCRIPTION, most_frequent, surrogate_key
-from tillroll.schemas import conform
+from tillroll.schemas import CONTRACTS, conform
 
 
 def order_parts(stg: DataFrame) -> DataFrame:
@@ -63,6 +65,78 @@ def dim_customer(parts: DataFrame) -> DataFrame:
     return conform(customers.withColumn("customer_sk", surrogate_key(F.col("customer_id"))), "dim_customer")
 
 
+def dim_customer_as_of(parts: DataFrame, days: list[date]) -> DataFrame:
+    """:func:`dim_customer` as it stood at the end of each of ``days``, with the day as ``as_of``.
+
+    One pass for all days: what changes between one day and the next is added up per customer, running
+    sums carry it on, and each state stands for all days up to the next change. Lines after the last day and
+    lines without a day take no part.
+    """
+    days = sorted(set(days))
+    ends = F.array(*[F.lit(d) for d in days])
+    # The first of the days that has seen a line.
+    slot = F.size(F.filter(ends, lambda d: d < F.col("invoice_date")))
+    seen = parts.filter(F.col("customer_id").isNotNull() & (F.col("invoice_date") <= F.lit(days[-1]))).withColumn("slot", slot)
+    product = ~F.col("is_service_line")
+    invoices = seen.groupBy("customer_id", "invoice_no", "slot").agg(
+        F.max(product).alias("has_product"),
+        F.min(F.when(product, F.col("invoice_date"))).alias("first_date"),
+        F.max(F.when(product, F.col("invoice_date"))).alias("last_date"),
+        F.sum(F.when(product, F.col("revenue"))).alias("revenue"),
+    )
+    # An invoice counts as an order from the first day that has seen a product line of it.
+    orders = (
+        invoices.filter(F.col("has_product") & F.col("invoice_no").isNotNull())
+        .groupBy("customer_id", "invoice_no")
+        .agg(F.min("slot").alias("slot"))
+        .select("customer_id", "slot", F.lit(1).alias("orders"))
+    )
+    changes = (
+        invoices.drop("has_product", "invoice_no")
+        .unionByName(orders, allowMissingColumns=True)
+        .groupBy("customer_id", "slot")
+        .agg(
+            F.sum("orders").alias("orders"),
+            F.min("first_date").alias("first_date"),
+            F.max("last_date").alias("last_date"),
+            F.sum("revenue").alias("revenue"),
+        )
+    )
+    so_far = Window.partitionBy("customer_id").orderBy("slot")
+    states = changes.select(
+        "customer_id",
+        "slot",
+        F.lead("slot", 1, len(days)).over(so_far).alias("_next"),
+        F.coalesce(F.sum("orders").over(so_far), F.lit(0)).alias("lifetime_orders"),
+        F.min("first_date").over(so_far).alias("first_purchase_date"),
+        F.max("last_date").over(so_far).alias("last_purchase_date"),
+        F.coalesce(F.sum("revenue").over(so_far), F.lit(0)).alias("lifetime_net_revenue"),
+    )
+    per_country = Window.partitionBy("customer_id", "country").orderBy("slot")
+    countries = (
+        seen.groupBy("customer_id", "country", "slot")
+        .agg(F.sum("n_lines").alias("n_lines"))
+        .select(
+            "customer_id",
+            "country",
+            "slot",
+            F.lead("slot", 1, len(days)).over(per_country).alias("_next"),
+            F.sum("n_lines").over(per_country).alias("n_lines"),
+        )
+    )
+
+    def on_each_day(df: DataFrame) -> DataFrame:
+        return df.withColumn("slot", F.explode(F.sequence("slot", F.col("_next") - 1))).drop("_next")
+
+    homes = on_each_day(countries).groupBy("customer_id", "slot").agg(
+        most_frequent(F.col("country"), F.col("n_lines"), where=F.lit(True)).alias("primary_country")
+    )
+    customers = on_each_day(states).join(homes, ["customer_id", "slot"])
+    customers = customers.withColumn("customer_sk", surrogate_key(F.col("customer_id"))).withColumn("as_of", ends[F.col("slot")])
+    columns = CONTRACTS["dim_customer"].fields
+    return customers.select("as_of", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns])
+
+
 def dim_product(stg: DataFrame) -> DataFrame:
     """One row per stock code, described by its most frequent real text."""
     texts = stg.groupBy("stock_code", "description").agg(
@@ -94,6 +168,21 @@ def fct_sales(stg: DataFrame) -> DataFrame:
     return conform(keyed, "fct_sales")
 
 
+def line_keys(sales: DataFrame) -> DataFrame:
+    """How many lines have each product key and each customer key, NULL included: one pass over the fact.
+
+    Whether keys are there and have a row in their dimension is told from these counts alone.
+    """
+    pairs = sales.groupingSets([["product_sk"], ["customer_sk"]], "product_sk", "customer_sk").agg(
+        (F.grouping("product_sk") == 0).alias("_product"), F.count("*").alias("n_lines")
+    )
+    return pairs.select(
+        F.when(F.col("_product"), "product_sk").otherwise("customer_sk").alias("key_column"),
+        F.when(F.col("_product"), F.col("product_sk")).otherwise(F.col("customer_sk")).alias("key"),
+        "n_lines",
+    )
+
+
 def fct_orders(parts: DataFrame) -> DataFrame:
     """One row per invoice."""
     orders = parts.groupBy("invoice_no").agg(

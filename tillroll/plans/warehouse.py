@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator, Mapping
 from datetime import date, datetime
 from threading import RLock
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillroll.plans import analytics, campaign, marts, quality, rfm as scoring, staging
 from tillroll.schemas import CONTRACTS, require_contract
+from tillroll.sources import layout
+from tillroll.sources.observed import Figures, counted, scanned
 from tillroll.sources.scratch import hold, release
 from tillroll.sources.sinks import read_table_files, save_table, write_table_files
 
@@ -20,28 +22,37 @@ MODELS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "dim_customer": ("order_parts", marts.dim_customer),
     "dim_product": ("stg", marts.dim_product),
     "fct_sales": ("stg", marts.fct_sales),
+    "line_keys": ("fct_sales", marts.line_keys),
     "fct_orders": ("order_parts", marts.fct_orders),
     "rfm": ("dim_customer", scoring.rfm),
 }
 
-# An intermediate roll-up, not part of the published schema.
-INTERNAL = {"order_parts"}
+# Intermediate roll-ups, not part of the published schema.
+INTERNAL = {"order_parts", "line_keys"}
 TABLES = ["raw", *[name for name in MODELS if name not in INTERNAL]]
 
 # Pure per-row projections: reading their parent again is cheaper than a second copy of every line.
 VIEWS = {"fct_sales"}
 
 
+# Held tables have a folder per month: a day of a few thousand lines would not fill a file.
+GRAIN = "month"
+
+
 class Warehouse(Mapping[str, DataFrame]):
     """The tables of one raw load, each built on first use and written once.
 
-    Staging has five consumers, so it and the dimensions are written to shared storage instead of
-    being recomputed; ``fct_sales`` stays a view over staging.
+    Staging has many consumers, so it, the roll-ups and the marts are written to shared storage instead of
+    being recomputed; ``fct_sales`` stays a view over staging. Dated tables have a folder per period of
+    ``grain`` ("day", "month", "year", or None for none), so that :meth:`between` opens only what a date
+    range touches. Row and NULL counts are taken while a table is written (:meth:`figures`).
     """
 
-    def __init__(self, raw: Callable[[], DataFrame]):
+    def __init__(self, raw: Callable[[], DataFrame], grain: str | None = GRAIN):
         self._raw = raw
+        self._grain = grain
         self._built: dict[str, DataFrame] = {}
+        self._figures: dict[str, Figures] = {}
         self._given: set[str] = set()
         self._lock = RLock()
 
@@ -55,7 +66,7 @@ class Warehouse(Mapping[str, DataFrame]):
 
     def again(self) -> Warehouse:
         """A second, independent build from the same source."""
-        return Warehouse(self._raw)
+        return Warehouse(self._raw, self._grain)
 
     def close(self) -> None:
         """Delete the tables from shared storage; they must not be read any more."""
@@ -66,6 +77,51 @@ class Warehouse(Mapping[str, DataFrame]):
                     release(table)
 
     def __getitem__(self, name: str) -> DataFrame:
+        return self._whole(name).drop(layout.PERIOD)
+
+    def between(self, name: str, first: date | None = None, last: date | None = None) -> DataFrame:
+        """The rows of a dated table from ``first`` to ``last``, both included."""
+        if name in VIEWS:
+            parent, model = MODELS[name]
+            return model(self.between(parent, first, last))
+        if not self._in_folders(name):
+            return _day_range(self[name], name, first, last)
+        return layout.between(self._whole(name), name, self._grain, first, last).drop(layout.PERIOD)
+
+    def figures(self, name: str) -> Figures:
+        """Row and NULL counts of a table, as they were when it was written.
+
+        A view's keys are counted by its roll-up of keys; its other columns are its parent's.
+        """
+        with self._lock:
+            self[name]
+            if name in self._given:
+                self._figures.setdefault(name, scanned(self[name]))
+            if name not in self._figures:
+                parent = self.figures(MODELS[name][0])
+                lines = F.sum("n_lines")
+                of_keys = self["line_keys"].groupBy("key_column").agg(
+                    lines.alias("n_rows"), F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("n_lines"))), F.lit(0)).alias("nulls")
+                )
+                keys = {r["key_column"]: r for r in of_keys.collect()}
+                rows = keys["product_sk"]["n_rows"] if keys else 0
+                nulls = {c: keys[c]["nulls"] if c in keys else parent.nulls.get(c, 0) for c in self[name].columns}
+                self._figures[name] = Figures(rows, nulls)
+            return self._figures[name]
+
+    def figure_rows(self) -> DataFrame:
+        """(table_name, column_name, n_rows, nulls) of every table, a written table."""
+        with self._lock:
+            if "figures" not in self._built:
+                figures = {name: self.figures(name) for name in TABLES}
+                self._built["figures"] = _figure_rows(self["raw"].sparkSession, figures)
+            return self._built["figures"]
+
+    def _in_folders(self, name: str) -> bool:
+        return self._grain is not None and name != "raw" and layout.day_column(name) is not None and name not in VIEWS
+
+    def _whole(self, name: str) -> DataFrame:
+        """The table with the column of its folders."""
         with self._lock:
             if name not in self._built:
                 self._built[name] = self._build(name)
@@ -79,57 +135,126 @@ class Warehouse(Mapping[str, DataFrame]):
 
     def _build(self, name: str) -> DataFrame:
         if name == "raw":
-            return hold(require_contract(self._raw(), "raw"), "raw")
+            return self._held(name, require_contract(self._raw(), "raw"))
         parent, model = MODELS[name]
         table = model(self[parent])
-        return table if name in VIEWS else hold(table, name)
+        return table if name in VIEWS else self._held(name, table)
+
+    def _held(self, name: str, table: DataFrame) -> DataFrame:
+        if not self._in_folders(name):
+            written, self._figures[name] = counted(table, name, hold)
+            return written
+        arranged = layout.with_period(table, name, self._grain)
+        written, self._figures[name] = counted(arranged, name, lambda df, label: hold(df, label, layout.PERIOD))
+        return written
+
 
+class Published(Mapping[str, DataFrame]):
+    """Tables that were written for others to read, with the counts taken on the way.
+
+    Dated tables have a folder per day, so a date range opens those of its days.
+    """
+
+    def __init__(self, tables: dict[str, DataFrame], figures: dict[str, Figures]):
+        self._tables = tables
+        self._figures = figures
+        self._figure_rows: DataFrame | None = None
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._tables[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(TABLES)
 
-def publish_files(raw: DataFrame, path: str) -> dict[str, DataFrame]:
+    def __len__(self) -> int:
+        return len(TABLES)
+
+    def between(self, name: str, first: date | None = None, last: date | None = None) -> DataFrame:
+        """The rows of a dated table from ``first`` to ``last``, both included."""
+        return _day_range(self[name], name, first, last)
+
+    def figure_rows(self) -> DataFrame:
+        """(table_name, column_name, n_rows, nulls) of every table, as they were when it was written."""
+        if self._figure_rows is None:
+            self._figure_rows = _figure_rows(self["raw"].sparkSession, self._figures)
+        return self._figure_rows
+
+
+def _day_range(table: DataFrame, name: str, first: date | None, last: date | None) -> DataFrame:
+    day = F.col(layout.day_column(name))
+    table = table if first is None else table.filter(day >= F.lit(first))
+    return table if last is None else table.filter(day <= F.lit(last))
+
+
+def _figure_rows(spark: SparkSession, figures: Mapping[str, Figures]) -> DataFrame:
+    rows = [(name, c, f.rows, n) for name, f in figures.items() for c, n in f.nulls.items() if c != layout.PERIOD]
+    schema = "table_name string, column_name string, n_rows bigint, nulls bigint"
+    return hold(spark.createDataFrame(rows, schema).coalesce(1), "figures")
+
+
+def publish_files(raw: DataFrame, path: str) -> Published:
     """Write every table under ``path``, replacing what is there; models read their written parent."""
     spark = raw.sparkSession
 
-    def publish(name: str, table: DataFrame) -> DataFrame:
-        write_table_files(table, name, f"{path}/{name}")
-        return read_table_files(spark, name, f"{path}/{name}")
+    def publish(name: str, table: DataFrame) -> tuple[DataFrame, Figures]:
+        figures = write_table_files(table, name, f"{path}/{name}")
+        return read_table_files(spark, name, f"{path}/{name}"), figures
 
     return _publish(raw, publish)
 
 
-def publish_catalog(raw: DataFrame, database: str, staging_as_view: bool = False) -> dict[str, DataFrame]:
-    """Save every table in ``database``; staging may stay a temporary view instead of a table."""
+def publish_catalog(raw: DataFrame, database: str, staging_as_view: bool = False) -> Published:
+    """Save every table in ``database``; staging may stay a temporary view instead of a table.
+
+    A view is counted by a pass of its own.
+    """
     spark = raw.sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
 
-    def publish(name: str, table: DataFrame) -> DataFrame:
+    def publish(name: str, table: DataFrame) -> tuple[DataFrame, Figures]:
         if name == "stg" and staging_as_view:
             table.createOrReplaceTempView("stg")
-            return table
-        save_table(table, name, database)
-        return spark.table(f"{database}.{name}").select(*CONTRACTS[name].names)
+            return table, scanned(table)
+        figures = save_table(table, name, database)
+        return spark.table(f"{database}.{name}").select(*CONTRACTS[name].names), figures
 
     return _publish(raw, publish)
 
 
-def _publish(raw: DataFrame, publish: Callable[[str, DataFrame], DataFrame]) -> dict[str, DataFrame]:
-    tables = {"raw": publish("raw", require_contract(raw, "raw"))}
+def _publish(raw: DataFrame, publish: Callable[[str, DataFrame], tuple[DataFrame, Figures]]) -> Published:
+    tables, figures = {}, {}
+    tables["raw"], figures["raw"] = publish("raw", require_contract(raw, "raw"))
     for name, (parent, model) in MODELS.items():
         table = model(tables[parent])
-        tables[name] = hold(table, name) if name in INTERNAL else publish(name, table)
-    return {name: tables[name] for name in TABLES}
+        if name in INTERNAL:
+            tables[name] = hold(table, name)
+        else:
+            tables[name], figures[name] = publish(name, table)
+    return Published(tables, figures)
 
 
-def analysis(tables: Mapping[str, DataFrame], start_date: date) -> dict[str, DataFrame]:
-    """Every result set of a run by name; ``start_date`` opens the best-seller period."""
+def analysis(
+    tables: Warehouse | Published, start_date: date, campaign_day: date | None = None, country: str | None = None
+) -> dict[str, DataFrame]:
+    """Every result set of a run by name; ``start_date`` opens the best-seller period.
+
+    ``campaign_day`` adds what came of a win-back campaign that began on it, ``country`` the lapsed big
+    spenders there.
+    """
     customers, products = tables["dim_customer"], tables["dim_product"]
     sales, orders, rfm = tables["fct_sales"], tables["fct_orders"], tables["rfm"]
-    return {
+    asked = {}
+    if campaign_day is not None:
+        asked["winback_outcome"] = campaign.outcome(tables, campaign_day)
+    if country is not None:
+        asked["lapsed_top_customers"] = campaign.lapsed_top_customers(customers, country)
+    return asked | {
         # questions
         "top_customers": analytics.q1_top_customers(customers),
         "monthly_revenue": analytics.q2_monthly_revenue(sales),
         "outlier_orders": analytics.q3_outlier_orders(orders),
         "country_revenue": analytics.q4_country_revenue(orders),
-        "top_products": analytics.q5_top_products(sales, products, start_date),
+        "top_products": analytics.q5_top_products(tables.between("fct_sales", start_date), products, start_date),
         "segments": scoring.rfm_segments(rfm),
         "totals": scoring.headline_totals(customers, rfm, sales),
         "repeat": scoring.repeat_rate(customers),
@@ -156,6 +281,7 @@ def checks(tables: Mapping[str, DataFrame], now: datetime) -> dict[str, DataFram
         "not_null": quality.dq_not_null(tables),
         "unique": quality.dq_unique(tables),
         "relationships": quality.dq_relationships(tables),
+        "schema": quality.dq_schema_contract(tables),
         "freshness": fresh.withColumn("passed", F.col("status") != "error"),
     }
 

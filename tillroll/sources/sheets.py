@@ -58,48 +58,16 @@ _CSV_OPTIONS = {"mode": "FAILFAST", "escape": '"'}
 def read_csv_sheet(spark: SparkSession, path: str, name: str, multiline: bool = False) -> Sheet:
     """A sheet stored as CSV with a header line; every field is read as text and typed on landing.
 
-    A line with too many or too few fields, an open quote or other headings fails the load. An empty field
+    A record with too many or too few fields, an open quote or other headings fails the load. An empty field
     is NULL, quoted or not. Blank lines hold no row but are counted, so that a row's number is its line.
-    With ``multiline`` fields may hold line breaks; then one task reads a file and rows are counted instead.
+    With ``multiline`` fields may hold line breaks; then rows are counted instead, and blank lines are not.
 
-    Writes when called: a text scan does not know line numbers, so the fields are written once with the
-    file block they came from and their order inside it; a running total over blocks (not lines) gives
-    each block its first number.
+    Writes when called: a text scan does not know line numbers, so lines are written once with the file
+    block they came from and their order inside it; a running total over blocks (not lines) gives each
+    block its first number. No file is read by one task.
     """
     text_schema = ", ".join(f"`{c}` STRING" for c in SHEET_COLUMNS)
-    if multiline:
-        scan = spark.read.schema(text_schema).csv(path, multiLine=True, **_CSV_OPTIONS)
-        fields = F.struct(*[F.col(c) for c in SHEET_COLUMNS])
-    else:
-        scan = spark.read.text(path)
-        line = F.col("value")
-        open_quote = (F.length(line) - F.length(F.replace(line, F.lit('"')))) % 2 == 1
-        refused = F.raise_error(F.concat(F.lit("open quote in line: "), line)).cast(f"struct<{_struct(text_schema)}>")
-        fields = (
-            F.when(F.trim(line) == "", None)
-            .when(open_quote, refused)
-            .otherwise(F.from_csv(line, text_schema, _CSV_OPTIONS))
-        )
-    lines = hold(
-        scan.select(
-            fields.alias(_FIELDS),
-            F.col("_metadata.file_path").alias("_path"),
-            F.col("_metadata.file_name").alias(FILE_COLUMN),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_order"),
-        ),
-        "csv-sheet",
-    )
-    earlier = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        lines.groupBy("_path", "_block")
-        .agg(F.count("*").alias("_n"), F.min("_order").alias("_first"))
-        .withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
-    )
-    numbered = lines.join(blocks, ["_path", "_block"]).withColumn(
-        ROW_COLUMN, F.col("_start") + F.col("_order") - F.col("_first") + 1
-    )
+    numbered = _records(spark, path, text_schema) if multiline else _lines(spark, path, text_schema)
     heading = F.array(*[F.col(_FIELDS)[c] for c in SHEET_COLUMNS])
     wrong = F.coalesce(heading != F.array(*[F.lit(c) for c in SHEET_COLUMNS]), F.lit(True))
     other = numbered.filter((F.col(ROW_COLUMN) == 1) & wrong).select(FILE_COLUMN, heading.alias("found")).first()
@@ -109,6 +77,91 @@ def read_csv_sheet(spark: SparkSession, path: str, name: str, multiline: bool =
     return Sheet(name, rows.select(f"{_FIELDS}.*", ROW_COLUMN, FILE_COLUMN))
 
 
+_BLOCK = ["_path", "_block"]
+
+
+def _place() -> list[Column]:
+    """Where in which file a scanned line stands."""
+    return [
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_name").alias(FILE_COLUMN),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_order"),
+    ]
+
+
+def _before(total: str) -> Column:
+    """Sum of ``total`` over the blocks of a file that come earlier; one row per block."""
+    earlier = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(total).over(earlier), F.lit(0))
+
+
+def _quotes(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit('"')))
+
+
+def _lines(spark: SparkSession, path: str, text_schema: str) -> DataFrame:
+    """Fields and line number of every line; a record is a line."""
+    line = F.col("value")
+    refused = F.raise_error(F.concat(F.lit("open quote in line: "), line)).cast(f"struct<{_struct(text_schema)}>")
+    fields = (
+        F.when(F.trim(line) == "", None)
+        .when(_quotes(line) % 2 == 1, refused)
+        .otherwise(F.from_csv(line, text_schema, _CSV_OPTIONS))
+    )
+    lines = hold(spark.read.text(path).select(fields.alias(_FIELDS), *_place()), "csv-sheet")
+    blocks = (
+        lines.groupBy(*_BLOCK)
+        .agg(F.count("*").alias("_n"), F.min("_order").alias("_first"))
+        .withColumn("_start", _before("_n"))
+        .drop("_n")
+    )
+    return lines.join(blocks, _BLOCK).withColumn(ROW_COLUMN, F.col("_start") + F.col("_order") - F.col("_first") + 1)
+
+
+def _records(spark: SparkSession, path: str, text_schema: str) -> DataFrame:
+    """Fields and number of every record, where quoted fields may hold line breaks.
+
+    A line goes on with the record before it if an odd number of quotes came earlier in the file. That is
+    known from the parity of each block, summed over the blocks before it, and of the lines before it in
+    its block; the same way records are numbered. Blocks are worked on side by side, and only the lines of
+    records that span several are brought together.
+    """
+    line = F.col("value")
+    lines = hold(
+        spark.read.text(path, lineSep="\n").select("value", (_quotes(line) % 2).alias("_odd"), *_place()), "csv-lines"
+    )
+    parity = lines.groupBy(*_BLOCK).agg((F.sum("_odd") % 2).alias("_parity"))
+    never = parity.groupBy("_path").agg(F.sum("_parity").alias("_all")).filter("_all % 2 = 1").first()
+    if never:
+        raise ContractError(f"{never['_path']}: an open quote at its end")
+    in_block = Window.partitionBy(*_BLOCK).orderBy("_order")
+    earlier = in_block.rowsBetween(Window.unboundedPreceding, -1)
+    odd_before = F.col("_start") + F.coalesce(F.sum("_odd").over(earlier), F.lit(0))
+    placed = (
+        lines.join(parity.select(*_BLOCK, _before("_parity").alias("_start")), _BLOCK)
+        .withColumn("_inside", odd_before % 2 == 1)
+        .withColumn("_begins", ~F.col("_inside") & (F.trim(F.rtrim(line, F.lit("\r"))) != ""))
+        .withColumn("_nth", F.sum(F.col("_begins").cast("bigint")).over(in_block))
+        .drop("_start")
+    )
+    placed = hold(placed, "csv-records")
+    starts = placed.groupBy(*_BLOCK).agg(F.max("_nth").alias("_n")).select(*_BLOCK, _before("_n").alias("_start"))
+    # A line that goes on counts as the record that began last.
+    numbered = placed.join(starts, _BLOCK).withColumn(ROW_COLUMN, F.col("_start") + F.col("_nth"))
+    alone = F.col("_begins") & (F.col("_odd") == 0)
+    whole = numbered.filter(alone).select("value", FILE_COLUMN, ROW_COLUMN)
+    parts = numbered.filter(F.col("_inside") | (F.col("_begins") & ~alone))
+    order = F.struct("_block", "_order", "value")
+    spanning = (
+        parts.groupBy("_path", FILE_COLUMN, ROW_COLUMN)
+        .agg(F.array_sort(F.collect_list(order)).alias("_parts"))
+        .select(F.array_join(F.col("_parts.value"), "\n").alias("value"), FILE_COLUMN, ROW_COLUMN)
+    )
+    fields = F.from_csv(F.rtrim(line, F.lit("\r")), text_schema, {**_CSV_OPTIONS, "multiLine": "true"})
+    return whole.unionAll(spanning).select(fields.alias(_FIELDS), FILE_COLUMN, ROW_COLUMN)
+
+
 def _struct(columns: str) -> str:
     """Column definitions as the fields of a struct type."""
     return columns.replace("` STRING", "`: STRING")

@@ -7,6 +7,8 @@ service codes, blank texts, float-like ids, and one month that both sheets conta
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillroll.schemas import SHEET_COLUMNS
@@ -95,18 +97,26 @@ def star_sheets(spark: SparkSession, sf_dir: str) -> list[Sheet]:
 
 # Every so many source rows have a timestamp that is none (fixed value).
 BAD_TIMESTAMP_EVERY = 997
+# In multiline sheets, every so many source rows have a line break in their description (fixed value).
+LINE_BREAK_EVERY = 5
 
 
 def write_sheet(spark: SparkSession, sheet: Sheet, kind: str) -> tuple[str, str]:
-    """A sheet as a folder of ``csv`` or ``parquet`` files in shared storage; returns its name and address.
+    """A sheet as a folder of ``csv``, ``multiline`` or ``parquet`` files in shared storage; returns its name and
+    address.
 
-    Some timestamps are text that is none.
+    Some timestamps are text that is none. ``multiline`` is CSV with line breaks in some descriptions.
     """
     path = new_path(spark, f"sheet-{sheet.name}")
     bad = F.col(ROW_COLUMN) % BAD_TIMESTAMP_EVERY == 0
     when = F.when(bad, "not a date").otherwise(F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss"))
-    writer = sheet.frame.withColumn("InvoiceDate", when).select(*SHEET_COLUMNS).write
-    if kind == "csv":
+    frame = sheet.frame.withColumn("InvoiceDate", when)
+    if kind == "multiline":
+        broken = F.col(ROW_COLUMN) % LINE_BREAK_EVERY == 0
+        text = F.when(broken, F.replace("Description", F.lit(" "), F.lit("\n"))).otherwise(F.col("Description"))
+        frame = frame.withColumn("Description", text)
+    writer = frame.select(*SHEET_COLUMNS).write
+    if kind != "parquet":
         # Leading and trailing blanks are part of a field.
         writer.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     else:
@@ -116,6 +126,10 @@ def write_sheet(spark: SparkSession, sheet: Sheet, kind: str) -> tuple[str, str]
 
 def sheets_from_files(spark: SparkSession, sf_dir: str, kind: str) -> list[Sheet]:
     """The star sheets, written and read again. Row numbers are those of the written files."""
-    read = {"csv": read_csv_sheet, "parquet": read_parquet_sheet}[kind]
+    read = {
+        "csv": read_csv_sheet,
+        "multiline": partial(read_csv_sheet, multiline=True),
+        "parquet": read_parquet_sheet,
+    }[kind]
     written = [write_sheet(spark, sheet, kind) for sheet in star_sheets(spark, sf_dir)]
     return [read(spark, path, name) for name, path in written]
