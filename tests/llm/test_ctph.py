@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 from hypothesis import given, settings, strategies as st
 
@@ -112,3 +113,30 @@ def test_different_short_texts_are_not_alike():
     assert len(set(prints)) == 600
     assert max(ctph.likeness(a, b) for k, a in enumerate(prints) for b in prints[:k]) < 1
     assert ctph.likeness(prints[5], ctph.fingerprint(b"0005")) == 1
+
+
+def test_signatures_are_bounded():
+    """Long texts that repeat one line, two lines, two lines in any order, or a few letters."""
+    draw = random.Random(12)
+    one, two = ("".join(draw.choice("abcdefghijklmnop ") for _ in range(n)) + "\n" for n in (70, 90))
+    texts = [one * 60_000, (one + two) * 30_000, "ab " * 700_000, "".join(draw.choice((one, two)) for _ in range(40_000))]
+    after = "".join(draw.choice("abcdefghij ") for _ in range(200_000))
+    for text in texts:
+        begun = time.perf_counter()
+        own, again, new = (ctph.fingerprint(t.encode()) for t in (text, text, ctph.edited(text, after)))
+        marks = [ctph.likeness(own, x) for x in (again, new)]
+        assert max(map(len, (*own.split(":")[1:], *new.split(":")[1:]))) <= ctph.MOST_CHUNKS * ctph.LETTERS_OF_FEW
+        assert marks[0] == 1 and own == again and own != new
+        assert time.perf_counter() - begun < 60
+
+
+def test_folding_keeps_what_does_not_repeat():
+    import numpy as np
+
+    sums = np.array([1, 2, 3] * 1000 + [7, 8, 9] + [5] * 5000 + [4], np.uint32)
+    short = ctph._shortened(sums).tolist()
+    assert len(short) <= ctph.MOST_CHUNKS and short[:3] == [1, 2, 3] and short[-1] == 4
+    at = short.index(7)
+    assert short[at : at + 3] == [7, 8, 9] and set(short[at + 3 : -1]) == {5}
+    # Stretches keep their shares of the whole.
+    assert 0.4 < at / 3000 / ((len(short) - at) / 5000) < 2.5

@@ -10,6 +10,7 @@ from hypothesis import given, settings, strategies as st
 
 from tests.llm.frames import empty, messy
 from tillroll.llm import token_files
+from tillroll.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WHOLE = tokenizers.Tokenizer.from_file(PATH)
@@ -84,3 +85,25 @@ def test_a_file_of_another_dictionary_is_refused(spark, tmp_path):
     manifest, dictionary = token_files.write_tokens(messy(spark), PATH, folder=str(tmp_path))
     with pytest.raises(ValueError):
         token_files.read_document(manifest.first()["path"], 0, dictionary + b"x")
+
+
+def test_memory_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(token_files, "WORDS_KEPT", 50)
+    words = token_files.WordIds(WHOLE, 2)
+    texts = [f"w{k}" for k in range(200)] + ["漢字仮名" * 300 + str(k) for k in range(20)] + ["x" * 70 + "!"]
+    for text in texts:
+        assert np.frombuffer(words[text.encode()], "<u2").tolist() == ids_of(text)
+        assert len(words) <= 50 and all(len(w) <= token_files.REMEMBERED_WORD for w in words)
+
+
+def test_query_is_the_whole_tokenizer(spark):
+    """Every registered figure, in doc_id order, against the library over whole texts."""
+    sf_dir = "/root/testdata/sf0.001"
+    start, expected = 0, []
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id")
+    for doc_id, text in documents.collect():
+        ids = np.array([*ids_of(text or ""), 2], "<u4")
+        expected.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = QUERIES["op1_token_files"](spark, sf_dir).collect()
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == expected

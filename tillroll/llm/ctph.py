@@ -27,11 +27,17 @@ LONGEST = 64
 LEAST_LEFT = 3
 SHARED_RUN = 7
 LETTERS_OF_FEW = 6
+# No signature has more chunks; beyond it repeats are folded, then chunks are grouped.
+MOST_CHUNKS = 2048
+LONGEST_PERIOD = 512
+GROUP_WINDOW = 16
 BLOCK_BYTES = 1 << 20
+OUT_ROWS = 1024
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 # One odd multiplier a place of the window; any odd numbers would do.
 _WEIGHTS = [(2 * k + 1) * 0x9E3779B1 & 0xFFFFFFFF | 1 for k in range(WINDOW)]
+_GROUP_WEIGHTS = [(2 * k + 1) * 0x85EBCA6B & 0xFFFFFFFF | 1 for k in range(GROUP_WINDOW)]
 _SPREAD = ((np.arange(256, dtype=np.uint64) + 1) * np.uint64(0x85EBCA6B) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
@@ -69,15 +75,80 @@ def _end_counts(data: bytes) -> np.ndarray:
     return np.cumsum(steps[::-1])[::-1]
 
 
-def _signature(data: bytes, ends: np.ndarray) -> str:
-    cuts = [0, *ends.tolist()]
-    if cuts[-1] < len(data):
-        cuts.append(len(data))
+def _chunk_sums(data: bytes, ends: np.ndarray) -> np.ndarray:
+    """crc32 of every chunk; what is left behind the last end is one too."""
     view = memoryview(data)
+    found = [np.empty(0, np.uint32)]
+    start = 0
+    for k in range(0, len(ends), OUT_ROWS):
+        stops = ends[k : k + OUT_ROWS].tolist()
+        found.append(np.fromiter((zlib.crc32(view[a:b]) for a, b in zip([start, *stops], stops)), np.uint32, len(stops)))
+        start = stops[-1]
+    if start < len(data):
+        found.append(np.array([zlib.crc32(view[start:])], np.uint32))
+    return np.concatenate(found)
+
+
+def _repeats(sums: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, period, end) of stretches that repeat their first ``period`` chunks, at least three times, in order."""
+    stretches = []
+    free = np.ones(len(sums), bool)
+    for period in range(1, min(LONGEST_PERIOD, len(sums) // 3) + 1):
+        same = (sums[period:] == sums[:-period]) & free[period:] & free[:-period]
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+        for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if end - start >= 2 * period and free[start : end + period].all():
+                stretches.append((start, period, end + period))
+                free[start : end + period] = False
+        if free.sum() <= MOST_CHUNKS // 2:
+            break
+    return sorted(stretches)
+
+
+def _folded(sums: np.ndarray, stretches: list[tuple[int, int, int]], halvings: int) -> np.ndarray:
+    """``sums`` with the repeats in each stretch halved ``halvings`` times, one at least."""
+    parts, at = [], 0
+    for start, period, end in stretches:
+        times = max(1, (end - start) // period >> halvings)
+        parts += [sums[at:start], np.tile(sums[start : start + period], times), sums[end - (end - start) % period : end]]
+        at = end
+    return np.concatenate([*parts, sums[at:]])
+
+
+def _shortened(sums: np.ndarray) -> np.ndarray:
+    """At most MOST_CHUNKS sums that stand for all of ``sums``.
+
+    What repeats is folded: the repeats of each stretch are halved until there is room, so that the shares
+    of a text in its signature stay about the same. If that is not enough, chunks are grouped where a hash
+    of the GROUP_WINDOW chunks before says so, as chunks are cut out of bytes.
+    """
+    stretches = _repeats(sums)
+    shorter = sums
+    for halvings in range(1, 33):
+        if len(shorter) <= MOST_CHUNKS or not stretches:
+            break
+        shorter = _folded(sums, stretches, halvings)
+    if len(shorter) <= MOST_CHUNKS:
+        return shorter
+    context = np.zeros(len(shorter), np.uint32)
+    for k in range(GROUP_WINDOW):
+        context[k:] += shorter[: len(shorter) - k] * np.uint32(_GROUP_WEIGHTS[k])
+    context ^= context >> np.uint32(15)
+    bits = 1
+    while ((context & np.uint32((1 << bits) - 1)) == 0).sum() >= MOST_CHUNKS:
+        bits += 1
+    ends = np.flatnonzero((context & np.uint32((1 << bits) - 1)) == 0) + 1
+    groups = np.split(shorter.astype("<u4"), ends)
+    return np.array([zlib.crc32(g.tobytes()) for g in groups if len(g)], np.uint32)
+
+
+def _signature(data: bytes, ends: np.ndarray) -> str:
+    sums = _chunk_sums(data, ends)
     # Few chunks are spelled out, or equal letters would prove nothing.
-    letters = 1 if len(cuts) > SHARED_RUN else LETTERS_OF_FEW
-    sums = (zlib.crc32(view[a:b]) for a, b in zip(cuts, cuts[1:]))
-    return "".join(LETTERS[total >> 6 * k & 63] for total in sums for k in range(letters))
+    letters = 1 if len(sums) >= SHARED_RUN else LETTERS_OF_FEW
+    if len(sums) > MOST_CHUNKS:
+        sums = _shortened(sums)
+    return "".join(LETTERS[total >> 6 * k & 63] for total in sums.tolist() for k in range(letters))
 
 
 def fingerprint(data: bytes) -> str:
@@ -86,7 +157,7 @@ def fingerprint(data: bytes) -> str:
     A text that repeats itself has its ends at few values of the hash, and they go at once. So no size is
     taken that leaves less than one in LEAST_LEFT of the ends, all chunks are kept, and of sizes that end
     nearly the same ones the finest counts. A signature of fewer than SHARED_RUN chunks has LETTERS_OF_FEW
-    letters for each.
+    letters for each, and none has more than MOST_CHUNKS: longer ones are folded and grouped.
 
     Ends at twice a size are ends at the size too, so one pass counts those of every size. Equal texts give
     equal fingerprints; the empty text gives ``3::``.
@@ -179,7 +250,6 @@ _SCHEMA = (
     "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double, edge string, text string, part bigint"
 )
-OUT_ROWS = 1024
 
 
 def _compared(doc_id: int | None, text: str, print_: str, after: str, after_print: str) -> tuple:

@@ -35,8 +35,10 @@ TAIL = "<QQ4s"
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("tokens", "<u4")])
 READ_ROWS = 2048
 
-# Words one worker remembers the ids of; beyond it the memory starts anew.
+# Words one worker remembers the ids of, and how long they may be; beyond it the memory starts anew. A text
+# without spaces is one word, which is not worth remembering.
 WORDS_KEPT = 500_000
+REMEMBERED_WORD = 64
 
 # Marks that may stand behind a word: ASCII, neither letters, digits nor white space (fixed values).
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -79,7 +81,10 @@ class WordIds(dict):
             ids = self.serial([t.id for t in self.model.tokenize(piece)])
             if len(stem) < len(word):
                 ids += self[word[len(stem) :]]
-        self[word] = ids
+        if len(word) <= REMEMBERED_WORD:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+            self[word] = ids
         return ids
 
     def whole(self, text: str) -> bytes:
@@ -118,8 +123,6 @@ def encoder(path: str) -> tuple[Callable[[bytes], bytes], int]:
         return lambda text: words.whole(text.decode("utf-8", "replace")), width
 
     def encode(text: bytes) -> bytes:
-        if len(words) > WORDS_KEPT:
-            words.clear()
         return b"".join(map(words.__getitem__, text.split()))
 
     return encode, width
