@@ -12,8 +12,8 @@ CHANGED = (
     "Yesterday morning Sophie bought 40 apples for 9 euros at the market and then gave 17 of the apples "
     "to Hassan before she walked 8 miles back home with Sophie's dog."
 )
-# The same number of the item stands for two numbers here.
-TWISTED = QUESTION.replace("12 apples for 3", "7 apples for 7")
+# Two numbers of the item have become one here.
+TWISTED = QUESTION.replace("12 apples", "7 apples").replace("gave 5", "gave 7")
 SHORT = "Which planet is closest to the sun"
 FILL = "Some clean words come before the passage and say nothing of note here. "
 
@@ -47,7 +47,7 @@ def test_passages_in_many_shapes(spark):
     got = found(docs, benchmark(spark, [QUESTION, SHORT, "too short", None]))
     assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (6, 0), (7, 1), (12, 0), (13, 0)}
     assert got[1, 0]["changed_slots"] == 0 and got[13, 0]["changed_slots"] == 0
-    assert got[4, 0]["changed_slots"] == 9  # three names, four numbers, two units
+    assert got[4, 0]["changed_slots"] == 6  # two names, two numbers, two quantities
     kept = decontaminate.drop_leaks(docs, benchmark(spark, [QUESTION, SHORT])).collect()
     assert sorted(r["doc_id"] for r in kept) == [8, 9, 10, 11] and kept[0]["a.b"] == "mine 11"
 
@@ -91,16 +91,72 @@ def test_query_finds_every_literal_passage(spark):
     assert got == held and len(held) > 20
 
 
-def test_windows_by_hand():
+def test_tokens_by_hand():
     words = decontaminate.Words()
-    t = decontaminate.Template(b"On Monday Ann ran 5 km. Then Bob ate 3kg of pie; he paid 7", words)
-    assert [w for w, n in zip(t.words, t.name) if n] == [b"Monday", b"Ann", b"Bob"]
-    assert [w for w, v in zip(t.words, t.value) if v] == [b"5", b"km.", b"3kg", b"7"]
-    assert t.slots(4, 2, True) == ["<number>5", "<unit>km"]
-    hashes, counts = t.windows(8, True)
-    again = decontaminate.Template(b"On Friday Eve ran 9 miles. Then Tom ate 4lb of pie; he paid 1", words)
-    assert (hashes == again.windows(8, True)[0]).all() and counts.tolist()[0] is False
-    assert (t.windows(8, False)[0] != again.windows(8, False)[0]).any()
+    one = b"On Monday Ann Lee ran 5 km. Then Bob ate 3kg of pie; he paid twenty five 7"
+    other = b"On Friday Eve ran 9 miles. Then Tom Dean ate 4 lb of pie; he paid 1 2"
+    t = decontaminate.Template([one, other], words)
+    literal, filled, template = t.forms()
+    assert len(literal.hashes) == len(one.split()) + len(other.split())
+    first = [t.slots(template, k, 1) for k in range(len(template.hashes)) if template.slot[k] and template.text[k] == 0]
+    assert sum(first, []) == [
+        "<name>monday ann lee", "<quantity>5 km", "<name>bob", "<quantity>3kg", "<number>twenty five", "<number>7",
+    ]
+    n = int((template.text == 0).sum())
+    assert (template.hashes[:n] == template.hashes[n:]).all()
+    windows, counts = template.windows(6)
+    assert not counts[n - 5 : n].any()  # never across texts
+    assert len(filled.hashes) > len(template.hashes)
+
+
+def test_values_of_other_lengths_and_inserted_words(spark):
+    item = "Every second summer the old painter from Boston sold exactly 25 small pictures to visitors"
+    longer = "The committee of the town wants to know how often the bus from Salem stops for 3 km on its way"
+    shapes = [
+        item.replace("Boston", "Denver"),
+        item.replace("Boston", "New York City"),
+        item.replace("25", "twenty five"),
+        item.replace("sold exactly", "sold then exactly"),
+        item.replace("Boston sold", "Boston he often sold"),
+        longer.replace("3 km", "12 miles"),
+        longer.replace("3 km", "12miles").replace("Salem", "Port Of Spain"),
+        longer.replace("3 km", "40"),
+        " ".join(item.split()[:7]),
+    ]
+    docs = frame(spark, [doc(k, f"{FILL}{t}. {FILL}") for k, t in enumerate(shapes)])
+    got = found(docs, benchmark(spark, [item, longer]))
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 1), (6, 1), (7, 1)}
+    assert got[1, 0]["changed_slots"] == 1 and got[6, 1]["changed_slots"] == 2
+
+
+def test_short_items_are_found_as_whole_sentences(spark):
+    items = ["Who wrote Dune Messiah", "Name 3 planets.", "Why?"]
+    shapes = [
+        items[0],
+        f"{FILL}Who wrote Dune Messiah? {FILL}",
+        f"{FILL}Nobody asked who wrote Dune Messiah before. {FILL}",
+        f"{FILL}name 3 planets! {FILL}",
+        f"{FILL}Name 4 planets. {FILL}",
+        "Why! Because.",
+        "That is why",
+    ]
+    got = found(frame(spark, [doc(k, t) for k, t in enumerate(shapes)]), benchmark(spark, items))
+    assert set(got) == {(0, 0), (1, 0), (3, 1), (5, 2)}
+
+
+def test_tiles_make_no_difference(spark, monkeypatch):
+    texts = [QUESTION, CHANGED, "", PROSE, None, FILL + SHORT, "x" * 5000, SHORT] * 3
+    docs = frame(spark, [doc(k, t) for k, t in enumerate(texts)])
+    items = benchmark(spark, [QUESTION, SHORT, PROSE])
+    expected = set(found(docs, items))
+    monkeypatch.setattr(decontaminate, "TILE_BYTES", 40)
+    assert set(found(docs, items)) == expected and len(expected) == 15
+
+
+def test_memory_of_words_is_bounded_by_bytes():
+    words = decontaminate.Words()
+    decontaminate.Template([("漢" * 1000 + str(k)).encode() for k in range(200)] + [b"a b c"], words)
+    assert set(words) == {b"a", b"b", b"c"}
 
 
 def test_items_made_of_figures(spark):

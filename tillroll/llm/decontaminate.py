@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +15,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tillroll.llm.common import column, packed, unpacked
 from tillroll.sources.scratch import hold
 
-WINDOW_WORDS = 8
+WINDOW_WORDS = 6
 LEAST_WORDS = 5
+# Offsets of one occurrence may shift by so many words from window to window: longer values, inserted words.
+MOST_SHIFT = 4
 LEAST_LITERAL = 0.5
 RUN_WORDS = 13
 ITEM_SHARE = 0.8
 FILTER_BITS = 1 << 24
+# What a worker remembers: so many words of so many bytes at most.
 WORDS_KEPT = 300_000
+REMEMBERED_WORD = 64
 OUT_ROWS = 4096
+# Documents are looked at in tiles of about so many bytes; a longer one is a tile of its own.
+TILE_BYTES = 1 << 19
 
 # Words that stand for numbers and units (fixed values).
 NUMBER_WORDS = (
@@ -34,8 +42,8 @@ UNITS = (
     "degree degrees °c °f mph kmh w kw v j n pa hz"
 ).split()
 
-NUMBER, UNIT, NAME = b"<number>", b"<unit>", b"<name>"
-IS_NUMBER, IS_UNIT, IS_CAPITAL, ENDS, EMPTY, IS_AMOUNT = 1, 2, 4, 8, 16, 32
+NUMBER, QUANTITY, NAME = "<number>", "<quantity>", "<name>"
+IS_NUMBER, IS_UNIT, IS_CAPITAL, ENDS, EMPTY, IS_AMOUNT, IS_NUMBER_WORD = 1, 2, 4, 8, 16, 32, 64
 _DIGITS = re.compile(r"[+-]?\d[\d.,:/]*\Z")
 _AMOUNT = re.compile(r"[+-]?\d[\d.,]*([^\W\d_]+|%|°[cf])\Z")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -58,7 +66,9 @@ class Words(dict):
         amount = _AMOUNT.match(lower)
         if not core:
             kind |= EMPTY
-        elif _DIGITS.match(core) or lower in _numbers:
+        elif lower in _numbers:
+            kind |= IS_NUMBER | IS_NUMBER_WORD
+        elif _DIGITS.match(core):
             kind |= IS_NUMBER
         elif amount and amount[1] in _units:
             kind |= IS_AMOUNT
@@ -66,9 +76,11 @@ class Words(dict):
             kind |= IS_UNIT
         elif len(core) > 1 and core[0].isupper() and not core.isupper():
             kind |= IS_CAPITAL
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        value = self[word] = _hash(lower.encode()) << 8 | kind
+        value = _hash(lower.encode()) << 8 | kind
+        if len(word) <= REMEMBERED_WORD:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -76,10 +88,6 @@ def core_of(text: str) -> str:
     return _EDGES.sub("", text)
 
 
-def _slot(kind: bytes, word: bytes) -> str:
-    return f"{kind.decode()}{core_of(word.decode('utf-8', 'replace')).lower()}"
-
-
 def _window_hashes(values: np.ndarray, n: int) -> np.ndarray:
     m = max(0, len(values) - n + 1)
     total = np.full(m, n, np.uint64)
@@ -96,71 +104,113 @@ def _held(marks: np.ndarray, n: int) -> np.ndarray:
     return total[n:] - total[: max(0, len(total) - n)]
 
 
+@dataclass(frozen=True)
+class Tokens:
+    """The tokens of some texts in one form: word by word, or with a placeholder for each value."""
+
+    hashes: np.ndarray
+    slot: np.ndarray  # the type of a placeholder, 0 for a word
+    first: np.ndarray  # the token's first word
+    end: np.ndarray  # the word behind its last
+    text: np.ndarray  # which text it is of
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of every ``n`` tokens in a row, and whether they are of one text and say enough."""
+        count = max(0, len(self.hashes) - n + 1)
+        one_text = self.text[:count] == self.text[n - 1 : n - 1 + count]
+        return _window_hashes(self.hashes, n), one_text & (n - _held(self.slot > 0, n) >= LEAST_LITERAL * n)
+
+
 class Template:
-    """The canonical words of a text: punctuation apart, lower case, typed placeholders in place of slots.
+    """The canonical words of some texts: punctuation apart, lower case.
 
-    ``filled`` has placeholders for numbers and units only, ``template`` for names too. A name is a
-    capitalised word that does not begin a sentence; a unit is a unit word behind a number. A number
-    with its unit attached is one placeholder of its own.
+    A number is digits or a run of number words, a quantity a number with its unit, attached or behind it,
+    a name a run of capitalised words that do not begin a sentence. Each is one value of one placeholder,
+    however many words it has. ``forms`` are the tokens with placeholders for all values, for numbers and
+    quantities only, and without any.
     """
 
-    def __init__(self, text: bytes, words: Words):
-        all_words = text.split()
+    TYPES = (None, NUMBER, QUANTITY, NAME)
+
+    def __init__(self, texts: list[bytes], words: Words):
+        of_text = [t.split() for t in texts]
+        all_words = list(chain.from_iterable(of_text))
         packed_words = np.fromiter(map(words.__getitem__, all_words), np.uint64, len(all_words))
+        text = np.repeat(np.arange(len(texts)), [len(w) for w in of_text])
         kinds = (packed_words & np.uint64(255)).astype(np.uint8)
-        begins = np.ones(len(kinds), bool)
-        begins[1:] = kinds[:-1] & ENDS > 0
         real = np.flatnonzero(kinds & EMPTY == 0)
-        # A mark that stands alone and ends a sentence makes the next real word its beginning.
-        if len(real) != len(kinds):
-            ended = np.concatenate([[0], np.cumsum(kinds & ENDS > 0)])
-            before = np.concatenate([[0], real[:-1]]) if len(real) else real
-            begins = np.zeros(len(kinds), bool)
-            if len(real):
-                begins[real] = ended[real] > ended[before]
-                begins[real[0]] = True
-        kinds, begins = kinds[real], begins[real]
+        ended = np.concatenate([[0], np.cumsum(kinds & ENDS > 0)])
         self.words = [all_words[k] for k in real] if len(real) != len(all_words) else all_words
+        self.text = text[real]
         self.literal = packed_words[real] >> np.uint64(8)
+        kinds = kinds[real]
+        same_text = np.zeros(len(real), bool)
+        same_text[1:] = self.text[1:] == self.text[:-1]
+        # A sentence begins behind a mark that ends one, whether it stands alone or at a word.
+        self.begins = ~same_text
+        self.begins[1:] |= ended[real[1:]] > ended[real[:-1]]
         number = kinds & IS_NUMBER > 0
-        behind = np.zeros(len(kinds), bool)
-        behind[1:] = number[:-1]
-        unit = (kinds & IS_UNIT > 0) & behind
-        amount = kinds & IS_AMOUNT > 0
-        self.name = (kinds & IS_CAPITAL > 0) & ~begins
-        self.value = number | unit | amount
-        self.kind = np.where(number, 0, np.where(unit, 1, np.where(amount, 2, 3)))
-        fixed = np.where(number, _hash(NUMBER), np.where(unit, _hash(UNIT), _hash(NUMBER + UNIT))).astype(np.uint64)
-        self.filled = np.where(self.value, fixed, self.literal)
-        self.template = np.where(self.name, np.uint64(_hash(NAME)), self.filled)
-
-    def __len__(self) -> int:
-        return len(self.words)
-
-    def windows(self, n: int, names: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of every window of ``n`` words, and whether enough of its words are literal to count."""
-        values = self.template if names else self.filled
-        slots = self.value | self.name if names else self.value
-        return _window_hashes(values, n), n - _held(slots, n) >= LEAST_LITERAL * n
-
-    def literal_windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of every window with all its words literal; those count whose placeholders say too little."""
-        return _window_hashes(self.literal, n), n - _held(self.value, n) < LEAST_LITERAL * n
-
-    def slots(self, start: int, n: int, names: bool) -> list[str]:
+        behind = np.zeros(len(real), bool)
+        behind[1:] = number[:-1] & same_text[1:]
+        self.unit = (kinds & IS_UNIT > 0) & behind
+        self.amount = kinds & IS_AMOUNT > 0
+        self.name = (kinds & IS_CAPITAL > 0) & ~self.begins
+        self.goes_on = self.unit | (behind & (kinds & IS_NUMBER_WORD > 0))
+        self.number = number
+        self.bounds = np.searchsorted(self.text, np.arange(len(texts) + 1))
+
+    def name_runs(self) -> np.ndarray:
+        runs = np.zeros(len(self.name), bool)
+        runs[1:] = self.name[1:] & self.name[:-1] & (self.text[1:] == self.text[:-1])
+        return runs
+
+    def forms(self) -> list[Tokens]:
+        n = len(self.literal)
+        places = np.arange(n)
+        value = self.number | self.unit | self.amount
+        found = [Tokens(self.literal, np.zeros(n, np.int8), places, places + 1, self.text)]
+        if value.any():
+            found.append(self._tokens(value, self.goes_on))
+        if self.name.any():
+            found.append(self._tokens(value | self.name, self.goes_on | self.name_runs()))
+        return found
+
+    def _tokens(self, slots: np.ndarray, goes_on: np.ndarray) -> Tokens:
+        first = np.flatnonzero(~goes_on)
+        end = np.append(first[1:], len(self.literal))
+        quantity = np.add.reduceat((self.unit | self.amount).astype(np.int32), first) > 0
+        kind = np.where(quantity, 2, np.where(self.number[first], 1, 3)).astype(np.int8)
+        kind = np.where(slots[first], kind, 0)
+        hashes = np.where(kind > 0, _TYPE_HASHES[kind], self.literal[first])
+        return Tokens(hashes, kind, first, end, self.text[first])
+
+    def slots(self, tokens: Tokens, at: int, n: int) -> list[str]:
         """The values in the placeholders of a window, each with its type in front."""
-        types = (NUMBER, UNIT, NUMBER + UNIT, NAME)
-        taken = self.value | self.name if names else self.value
-        return [_slot(types[self.kind[k]], self.words[k]) for k in range(start, start + n) if taken[k]]
+        return [
+            self.TYPES[tokens.slot[k]]
+            + " ".join(core_of(w.decode("utf-8", "replace")).lower() for w in self.words[tokens.first[k] : tokens.end[k]])
+            for k in range(at, at + n)
+            if tokens.slot[k]
+        ]
+
+    def whole_sentences(self, n: int) -> np.ndarray:
+        """Whether the ``n`` words from a place are one sentence or several, whole."""
+        closes = np.append(self.begins[1:], True)
+        count = max(0, len(self.literal) - n + 1)
+        return self.begins[:count] & closes[n - 1 : n - 1 + count]
+
 
+_TYPE_HASHES = np.array([0, *[_hash(t.encode()) for t in Template.TYPES[1:]]], np.uint64)
 
-_WINDOW = "id bigint, hash bigint, window bigint, at bigint, n int, words bigint, slots array<string>"
+
+_WINDOW = "id bigint, hash bigint, window bigint, at bigint, span int, n int, words bigint, slots array<string>"
 _SCHEMA = pa.schema(
     {
         "id": pa.int64(),
         "hash": pa.int64(),
         "window": pa.int64(),
         "at": pa.int64(),
+        "span": pa.int32(),
         "n": pa.int32(),
         "words": pa.int64(),
         "slots": pa.list_(pa.string()),
@@ -172,33 +222,58 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
 
 
-def _cutter(lengths: list[int], wanted: np.ndarray | None):
-    """Windows of ``lengths``, or of a text's own length where it is shorter; ``wanted`` is a bit filter."""
+def _found(template: Template, lengths: list[int] | None, wanted: np.ndarray | None) -> Iterator[tuple]:
+    """(text, window, at, span, n, slots) of the windows of a tile; ``wanted`` is a bit filter.
+
+    Without ``lengths`` a text is an item, and its windows are WINDOW_WORDS tokens or all it has.
+    """
+    for form, tokens in enumerate(template.forms()):
+        own = lengths if lengths is not None else [min(WINDOW_WORDS, len(tokens.hashes))]
+        for n in own:
+            if n < 1 or n > len(tokens.hashes) or (form and n < LEAST_WORDS):
+                continue
+            windows, counts = tokens.windows(n)
+            if n < LEAST_WORDS:
+                counts &= template.whole_sentences(n)
+            if wanted is not None:
+                bits = windows & np.uint64(64 * len(wanted) - 1)
+                counts &= wanted[bits >> np.uint64(6)] >> (bits & np.uint64(63)) & np.uint64(1) > 0
+            for at in np.flatnonzero(counts).tolist():
+                text = int(tokens.text[at])
+                first, end = int(tokens.first[at]), int(tokens.end[at + n - 1])
+                slots = template.slots(tokens, at, n) if form else []
+                yield text, windows[at].astype(np.int64).item(), first - int(template.bounds[text]), end - first, n, slots
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
+    """Rows (id, hash, text) in tiles of about ``most`` bytes of text."""
+    tile, size = [], 0
+    for batch in batches:
+        for row in zip(*batch.columns):
+            key, digest, text = (value.as_py() for value in row)
+            tile.append((key, digest, text))
+            size += len(text)
+            if size >= most:
+                yield tile
+                tile, size = [], 0
+    if tile:
+        yield tile
+
+
+def _cutter(lengths: list[int] | None, wanted: np.ndarray | None):
+    """Windows of the texts; without ``lengths`` each text is an item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, rows = Words(), []
-        for batch in batches:
-            for key, digest, text in zip(*batch.columns):
-                template = Template(text.as_py(), words)
-                own = [n for n in lengths if n <= len(template)] if wanted is not None else [min(WINDOW_WORDS, len(template))]
-                for n in own:
-                    if n < LEAST_WORDS:
-                        continue
-                    forms = [True, False] if template.name.any() else [False]
-                    if (n - _held(template.value, n) < LEAST_LITERAL * n).any():
-                        forms.append(None)
-                    for names in forms:
-                        windows, counts = template.literal_windows(n) if names is None else template.windows(n, names)
-                        if wanted is not None:
-                            bits = windows & np.uint64(64 * len(wanted) - 1)
-                            counts &= wanted[bits >> np.uint64(6)] >> (bits & np.uint64(63)) & np.uint64(1) > 0
-                        for at in np.flatnonzero(counts).tolist():
-                            slots = [] if names is None else template.slots(at, n, names)
-                            window = windows[at].astype(np.int64).item()
-                            rows.append((key.as_py(), digest.as_py(), window, at, n, len(template), slots))
-                            if len(rows) >= OUT_ROWS:
-                                yield _rows(rows)
-                                rows = []
+        for tile in _tiles(batches, TILE_BYTES if lengths is not None else 0):
+            template = Template([text for _, _, text in tile], words)
+            for text, window, at, span, n, slots in _found(template, lengths, wanted):
+                key, digest, _ = tile[text]
+                count = int(template.bounds[text + 1] - template.bounds[text])
+                rows.append((key, digest, window, at, span, n, count, slots))
+                if len(rows) >= OUT_ROWS:
+                    yield _rows(rows)
+                    rows = []
         if rows:
             yield _rows(rows)
 
@@ -231,44 +306,79 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Columns: _id, _hash (doc_id and text hash of the document), item_id, item_words, covered_words and
     changed_slots, how many slot values differ from the item's; the best occurrence per document and item.
 
-    Windows of WINDOW_WORDS canonical words (an item of LEAST_WORDS to WINDOW_WORDS words is one window)
-    are joined by hash. Windows of a document and an item with the same offset are one occurrence. It
-    counts if its slots are consistent, each value of the item standing for one value of the document and
-    the other way round, and if it covers RUN_WORDS words or ITEM_SHARE of the item. Windows with less
-    than LEAST_LITERAL literal words say too little with placeholders and are compared word for word
-    instead; items under LEAST_WORDS words can't be told from chance and never match.
+    Windows of WINDOW_WORDS tokens (a shorter item is one window) are joined by hash, in three forms: with
+    placeholders for numbers, quantities and names, for numbers and quantities, and word for word, so that a
+    literal copy always matches. Windows with less than LEAST_LITERAL literal tokens say too little. An item
+    under LEAST_WORDS words is found where it is a whole sentence, or several, word for word.
+
+    Windows of a document and an item are one occurrence if they have the same offset, or if offsets shift
+    by MOST_SHIFT words at most from one to the next, as values of other lengths and inserted words make
+    them. An occurrence counts if its slots are consistent, each value of the item standing for one value of
+    the document and the other way round, and if it covers RUN_WORDS words or ITEM_SHARE of the item.
 
     A bit filter of fixed size, summed up in Spark from all benchmark windows, keeps windows of documents
     that can't match out of the shuffle; if the benchmark outgrows it, more of them pass and the join
     still decides. Null texts are empty and match nothing; null ids are ids like any other; copies and
-    repeated rows are each compared; empty tables give no rows; other columns are ignored.
+    repeated rows are each compared; empty tables give no rows; other columns are ignored. A window that
+    many items share meets all of them in every document that has it.
     """
-    items = hold(_texts(benchmark, "item_id").mapInArrow(_cutter([], None), _WINDOW).distinct(), "leak-items")
-    lengths = [r["n"] for r in items.select("n").distinct().collect()]
-    found = _texts(docs, "doc_id").mapInArrow(_cutter(sorted(lengths), _filter_bits(items)), _WINDOW)
+    items = hold(_texts(benchmark, "item_id").mapInArrow(_cutter(None, None), _WINDOW).distinct(), "leak-items")
+    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())
+    found = _texts(docs, "doc_id").mapInArrow(_cutter(lengths, _filter_bits(items)), _WINDOW)
     left = found.select("id", "hash", "window", "at", "slots").distinct()
     right = items.select(
         F.col("id").alias("item_id"),
         F.col("hash").alias("item_hash"),
         "window",
         F.col("at").alias("item_at"),
-        "n",
+        "span",
         F.col("words").alias("item_words"),
         F.col("slots").alias("item_slots"),
     )
-    met = hold(
-        left.join(right, "window").filter(F.size("slots") == F.size("item_slots")).withColumn(
-            "offset", F.col("at") - F.col("item_at")
-        ),
-        "leak-matches",
+    met = left.join(right, "window").filter(F.size("slots") == F.size("item_slots")).withColumn(
+        "offset", F.col("at") - F.col("item_at")
+    )
+    met = hold(met.select(*_PAIR, "item_words", "item_at", "span", "slots", "item_slots", "offset"), "leak-matches")
+
+    in_order = Window.partitionBy(*_PAIR).orderBy("offset")
+    shifted = F.col("offset") - F.lag("offset").over(in_order) > MOST_SHIFT
+    # Rows of one offset share a place in the order, so they share the sum.
+    near = (
+        met.withColumn("_new", F.coalesce(shifted, F.lit(True)).cast("int"))
+        .withColumn("place", F.concat(F.lit("near "), F.sum("_new").over(in_order)))
+        .drop("_new")
+    )
+    same = met.withColumn("place", F.concat(F.lit("at "), F.col("offset")))
+    judged = _judged(hold(same.unionByName(near), "leak-occurrences"))
+    enough = (F.col("covered_words") >= RUN_WORDS) | (F.col("covered_words") >= ITEM_SHARE * F.col("item_words"))
+    best = F.struct(F.col("covered_words"), (-F.col("changed_slots")).alias("unchanged"))
+    return (
+        judged.filter(F.col("consistent") & enough)
+        .groupBy(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "item_id", "item_words")
+        .agg(F.max(best).alias("best"))
+        .select(
+            "_id",
+            "_hash",
+            "item_id",
+            "item_words",
+            F.col("best.covered_words").cast("bigint").alias("covered_words"),
+            (-F.col("best.unchanged")).cast("bigint").alias("changed_slots"),
+        )
     )
-    occurrence = ["id", "hash", "item_id", "item_hash", "offset"]
+
+
+_PAIR = ["id", "hash", "item_id", "item_hash"]
+
+
+def _judged(met: DataFrame) -> DataFrame:
+    """Covered words, consistency and changed slots of each occurrence (_PAIR, place) of matched windows."""
+    occurrence = [*_PAIR, "place"]
     # A place counts once, however many forms of its window match.
-    places = met.groupBy(*occurrence, "item_words", "n", "item_at").agg(F.lit(1).alias("_one"))
-    before = Window.partitionBy(*occurrence).orderBy("item_at")
-    gained = F.least(F.col("n"), F.coalesce(F.col("item_at") - F.lag("item_at").over(before), F.col("n")))
+    places = met.groupBy(*occurrence, "item_words", "item_at").agg(F.max(F.col("item_at") + F.col("span")).alias("end"))
+    before = Window.partitionBy(*occurrence).orderBy("item_at").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.greatest(F.col("item_at"), F.coalesce(F.max("end").over(before), F.col("item_at")))
     covered = (
-        places.withColumn("gained", gained)
+        places.withColumn("gained", F.greatest(F.lit(0), F.col("end") - begin))
         .groupBy(*occurrence, "item_words")
         .agg(F.sum("gained").alias("covered_words"))
     )
@@ -283,26 +393,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.countDistinct("ours").alias("ours"),
         F.count_if(F.col("theirs") != F.col("ours")).alias("changed"),
     )
-    judged = covered.join(slots, _null_safe(covered, slots, occurrence), "left").select(
+    pairs = F.coalesce("pairs", F.lit(0))
+    consistent = (pairs == F.coalesce("theirs", F.lit(0))) & (pairs == F.coalesce("ours", F.lit(0)))
+    return covered.join(slots, _null_safe(covered, slots, occurrence), "left").select(
         *[covered[c] for c in (*occurrence, "item_words", "covered_words")],
-        ((F.coalesce("pairs", F.lit(0)) == F.coalesce("theirs", F.lit(0))) & (F.coalesce("pairs", F.lit(0)) == F.coalesce("ours", F.lit(0)))).alias("consistent"),
+        consistent.alias("consistent"),
         F.coalesce("changed", F.lit(0)).alias("changed_slots"),
     )
-    enough = (F.col("covered_words") >= RUN_WORDS) | (F.col("covered_words") >= ITEM_SHARE * F.col("item_words"))
-    best = F.struct(F.col("covered_words"), (-F.col("changed_slots")).alias("unchanged"))
-    return (
-        judged.filter(F.col("consistent") & enough)
-        .groupBy(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "item_id", "item_words")
-        .agg(F.max(best).alias("best"))
-        .select(
-            "_id",
-            "_hash",
-            "item_id",
-            "item_words",
-            F.col("best.covered_words").cast("bigint").alias("covered_words"),
-            (-F.col("best.unchanged")).cast("bigint").alias("changed_slots"),
-        )
-    )
 
 
 def _null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
