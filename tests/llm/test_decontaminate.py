@@ -47,7 +47,7 @@ def test_passages_in_many_shapes(spark):
     got = found(docs, benchmark(spark, [QUESTION, SHORT, "too short", None]))
     assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (6, 0), (7, 1), (12, 0), (13, 0)}
     assert got[1, 0]["changed_slots"] == 0 and got[13, 0]["changed_slots"] == 0
-    assert got[4, 0]["changed_slots"] == 6  # two names, two numbers, two quantities
+    assert got[4, 0]["changed_slots"] == 7  # three names, two numbers, two quantities
     kept = decontaminate.drop_leaks(docs, benchmark(spark, [QUESTION, SHORT])).collect()
     assert sorted(r["doc_id"] for r in kept) == [8, 9, 10, 11] and kept[0]["a.b"] == "mine 11"
 
