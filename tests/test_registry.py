@@ -49,6 +49,16 @@ def test_known_sizes(spark):
     assert {r.segment: r["count"] for r in tables["rfm"].groupBy("segment").count().collect()} == SEGMENTS
 
 
+@pytest.mark.parametrize("name, table, folders", [("q5_top_products", "stg", 8), ("winback_outcome", "fct_orders", 2)])
+def test_date_ranges_read_their_folders_only(spark, name, table, folders):
+    """The registered query has partition filters, and few of the stored folders are in its range."""
+    plan = registry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_period" in plan
+    stored = {f.split("_period=")[1].split("/")[0] for f in registry.warehouse(spark, SF_DIR)[table].inputFiles()}
+    last = "2001-02-28" if table == "fct_orders" else "2001-12-31"
+    assert len([p for p in stored if "2001-01-01" <= p <= last]) == folders < len(stored) / 8
+
+
 def test_comparison_notices_differences(spark, con):
     df = registry.queries()["repeat_rate"](spark, SF_DIR)
     statement = registry.oracle_sql()["repeat_rate"]

@@ -118,7 +118,7 @@ class Warehouse(Mapping[str, DataFrame]):
             return self._built["figures"]
 
     def _in_folders(self, name: str) -> bool:
-        return self._grain is not None and name != "raw" and layout.day_column(name) is not None and name not in VIEWS
+        return self._grain is not None and layout.in_folders(name) and name not in VIEWS
 
     def _whole(self, name: str) -> DataFrame:
         """The table with the column of its folders."""

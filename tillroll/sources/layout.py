@@ -17,15 +17,19 @@ from tillroll.schemas import CLUSTER_BY, PARTITION_DAY
 PERIOD = "_period"
 GRAINS = ("day", "month", "year")
 
-# Roll-ups that have no contract, with the day and the keys they are laid out by.
+# Roll-ups that have no contract, and their day. They are small and mostly read whole, so they have no folders.
 ROLL_UP_DAY = {"order_parts": "invoice_date"}
-ROLL_UP_CLUSTER = {"order_parts": ["customer_id"]}
 
 
 def day_column(name: str) -> str | None:
     return ROLL_UP_DAY.get(name, PARTITION_DAY.get(name))
 
 
+def in_folders(name: str) -> bool:
+    """Whether a held table has folders: those that are dated when published, but for raw, which is read whole."""
+    return name in PARTITION_DAY and name != "raw"
+
+
 def period_of(day: Column, grain: str) -> Column:
     """The first day of the period that ``day`` lies in; NULL stays NULL."""
     if grain not in GRAINS:
@@ -36,8 +40,7 @@ def period_of(day: Column, grain: str) -> Column:
 def with_period(df: DataFrame, name: str, grain: str) -> DataFrame:
     """``df`` arranged for writing by period: ``rebalance`` splits a hot period over tasks and joins small ones."""
     spread = df.withColumn(PERIOD, period_of(F.col(day_column(name)), grain)).hint("rebalance", PERIOD)
-    keys = ROLL_UP_CLUSTER.get(name, CLUSTER_BY.get(name, []))
-    return spread.sortWithinPartitions(PERIOD, *keys)
+    return spread.sortWithinPartitions(PERIOD, *CLUSTER_BY.get(name, []))
 
 
 def between(table: DataFrame, name: str, grain: str, first: date | None, last: date | None) -> DataFrame:
