@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.frames import doc, empty, frame, messy
 from tillroll.llm import quality
@@ -84,3 +85,50 @@ def test_fourier_features_approximate_the_kernel():
 def test_isotonic():
     places, levels = quality.isotonic(np.arange(5.0), np.array([0, 1, 0, 1, 1.0]), np.ones(5))
     assert np.allclose(places, [0, 1.5, 3.5]) and np.allclose(levels, [0.25, 0.5, 2.5 / 3])
+
+
+def pooled_by_definition(at, means, weights):
+    """Level of each place: the greatest over starts of the least over ends of the mean between them."""
+    n, ones = np.append(0, np.cumsum(weights)), np.append(0, np.cumsum(weights * means))
+    m = len(means)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        between = (ones[None, 1:] - ones[:-1, None]) / (n[None, 1:] - n[:-1, None])
+    between[np.tril_indices(m, -1)] = np.inf
+    least = np.minimum.accumulate(between[:, ::-1], axis=1)[:, ::-1]
+    levels = np.array([least[: k + 1, k].max() for k in range(m)])
+    pools = [np.flatnonzero(np.isclose(levels, level, atol=1e-12)) for level in np.unique(levels.round(12))]
+    places = [np.average(at[p], weights=weights[p]) for p in pools]
+    smooth = [((weights * means)[p].sum() + 0.5) / (weights[p].sum() + 1) for p in pools]
+    return np.array(places), np.maximum.accumulate(smooth)
+
+
+def test_registered_result_is_that_of_a_plain_calibrated_ridge(spark):
+    """Statistics apart, the whole query once more on the driver: ridge by least squares, pools by definition."""
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    part = F.pmod(F.xxhash64(F.lit(quality.SEED), "doc_id"), F.lit(quality.PARTS)).alias("part")
+    rows = quality.all_statistics(documents).select("doc_id", "stats", part).orderBy("doc_id").collect()
+    told = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").collect()}
+    ids = np.array([r["doc_id"] for r in rows])
+    learned = np.array([zlib.crc32(str(k).encode()) % 3 != 1 and told.get(k) is not None for k in ids.tolist()])
+    x, parts = np.array([r["stats"] for r in rows]), np.array([r["part"] for r in rows])[learned]
+    y = np.array([told[k] for k in ids[learned].tolist()], float)
+    z_all = quality.fourier(x, x[learned].mean(axis=0), np.maximum(x[learned].std(axis=0), 1e-6))
+    z = z_all[learned]
+
+    def ridge(z, y):
+        root = np.sqrt(quality.RIDGE * len(z) + 1e-9) * np.eye(z.shape[1])
+        return np.linalg.lstsq(np.vstack([z, root]), np.append(y, np.zeros(z.shape[1])), rcond=None)[0]
+
+    raw = np.empty(len(z))
+    for p in range(quality.PARTS):
+        raw[parts == p] = z[parts == p] @ ridge(z[parts != p], y[parts != p])
+    steps = np.clip(np.round(raw * quality.SCORE_STEP), -quality.SCORE_STEP, 2 * quality.SCORE_STEP)
+    at = np.unique(steps)
+    n = np.array([(steps == s).sum() for s in at], float)
+    means = np.array([y[steps == s].mean() for s in at])
+    knots, levels = pooled_by_definition(at / quality.SCORE_STEP, means, n)
+    expected = dict(zip(ids.tolist(), np.interp(z_all @ ridge(z, y), knots, levels)))
+    got = {r["doc_id"]: r for r in QUERIES["op8_quality"](spark, SF_DIR).collect()}
+    assert sorted(got) == sorted(expected)
+    assert max(abs(r["score"] - expected[k]) for k, r in got.items()) < 1e-3
+    assert all(r["predicted"] == int(expected[k] >= 0.5) for k, r in got.items() if abs(expected[k] - 0.5) > 1e-3)

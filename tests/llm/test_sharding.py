@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.frames import doc, empty, frame, messy
 from tillroll.llm import sharding
+from tillroll.llm.queries import QUERIES
 
 
 def check_layout(rows, shards):
@@ -67,3 +69,15 @@ def test_fisher_yates_is_uniform(spark):
 
 def test_text_size_is_in_bytes(spark):
     assert spark.createDataFrame([("é漢",)], "text string").select(F.octet_length("text")).first()[0] == 5
+
+
+def test_registered_result_column_by_column(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    documents = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = QUERIES["op3_sharding"](spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(documents)
+    check_layout(rows, 24)
+    for r in rows:
+        text = documents[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(text) + 8, zlib.crc32(text), "rows", None)
+    assert {r["shard"] for r in rows} == set(range(24))

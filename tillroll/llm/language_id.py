@@ -17,15 +17,20 @@ from tillroll.sources.scratch import hold
 UNKNOWN = "und"
 DIMENSIONS = 4096
 SEED = 2
-# Bounds of the rows learned from: per language, and of all languages together unless each needs LEAST_ROWS.
+# Bounds of the rows learned from: per language, of all languages together unless each needs LEAST_ROWS, and
+# how many languages are learned.
 ROWS_PER_LANGUAGE = 400
 ROWS_IN_ALL = 4000
-LEAST_ROWS = 30
+LEAST_ROWS = 16
+MOST_LANGUAGES = 256
 SPREAD = 64
 EPOCHS = 12
 COST = 1.0
 
-# Families of language codes (fixed values). A code that is not here is a family of its own.
+# So many languages without a known family are a family each; of more, at most this many form one.
+FAMILY_SIZE = 16
+
+# Families of language codes (fixed values).
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
     "romance": "fr es it pt ro ca gl oc la",
@@ -40,8 +45,25 @@ FAMILIES = {
 _FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
 
-def family(lang: str) -> str:
-    return _FAMILY_OF.get(lang, lang)
+def _halved(names: list[str], means: np.ndarray) -> list[list[str]]:
+    """``names`` cut in halves along the leading direction of their means, until each group is small."""
+    if len(names) <= FAMILY_SIZE:
+        return [names]
+    spread = means - means.mean(axis=0)
+    order = np.argsort(spread @ np.linalg.svd(spread, full_matrices=False)[2][0], kind="stable")
+    halves = np.array_split(order, 2)
+    return [group for half in halves for group in _halved([names[k] for k in half], means[half])]
+
+
+def families(x: np.ndarray, langs: np.ndarray) -> dict[str, str]:
+    """Family of each of ``langs``: by its code, or for many unknown codes by the likeness of their features."""
+    found = {lang: _FAMILY_OF.get(lang, lang) for lang in sorted(set(langs.tolist()))}
+    unknown = [lang for lang in found if lang not in _FAMILY_OF]
+    if len(unknown) > FAMILY_SIZE:
+        means = np.array([x[langs == lang].mean(axis=0) for lang in unknown])
+        for group in _halved(unknown, means):
+            found |= {lang: f"like {group[0]}" for lang in group}
+    return found
 
 
 _NOT_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
@@ -148,7 +170,8 @@ def _machines(x: np.ndarray, names: np.ndarray) -> dict[tuple[str, str], np.ndar
 
 def train(x: np.ndarray, langs: list[str]) -> Model:
     langs_of = np.array(langs, dtype=object)
-    families_of = np.array([family(lang) for lang in langs], dtype=object)
+    family_of = families(x, langs_of)
+    families_of = np.array([family_of[lang] for lang in langs], dtype=object)
     languages = {f: sorted(set(langs_of[families_of == f].tolist())) for f in set(families_of.tolist())}
     within = {f: _machines(x[families_of == f], langs_of[families_of == f]) for f in languages}
     return Model(languages, _machines(x, families_of), within)
@@ -170,7 +193,8 @@ def fit(docs: DataFrame) -> Model:
     Learned from a bounded sample: per language the ROWS_PER_LANGUAGE rows with the least hash of id and
     text (fewer if there are very many languages), texts with a letter only, whole texts. A language with
     a third of all rows is trimmed to the bound in each task, then in each of SPREAD parts of it, so that
-    the last choice sees a fixed number of rows.
+    the last choice sees a fixed number of rows. Of more than MOST_LANGUAGES languages those with most rows
+    in the sample are learned, equal ones by code, so what reaches the driver has a fixed bound.
     """
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select(
         F.col("lang").cast("string").alias("lang"),
@@ -185,11 +209,13 @@ def fit(docs: DataFrame) -> Model:
     # Narrow first: which hashes are chosen; only their texts are looked at again.
     hashes = rows.select("lang", "order", F.pmod("order", F.lit(SPREAD)).alias("part"))
     chosen = hold(least(least(hashes, "lang", "part"), "lang"), "language-rows")
-    n = chosen.select("lang").distinct().count()
+    most = chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    langs = hold(most.select("lang"), "language-codes")
+    n = langs.count()
     if not n:
         return Model()
     each = min(ROWS_PER_LANGUAGE, max(LEAST_ROWS, ROWS_IN_ALL // n))
-    keys = chosen.filter(F.col("nth") <= each).select("lang", "order").distinct()
+    keys = chosen.join(langs, "lang").filter(F.col("nth") <= each).select("lang", "order").distinct()
     texts = rows.join(hold(keys, "language-keys"), ["lang", "order"]).dropDuplicates(["lang", "order"])
     learned = texts.select("lang", "order", _features_of("text").alias("x")).orderBy("lang", "order").collect()
     return train(np.array([r["x"] for r in learned], dtype=np.float32), [r["lang"] for r in learned])
