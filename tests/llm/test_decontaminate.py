@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import re
+from itertools import product
+
 from tests.llm.frames import LONG, PROSE, doc, empty, frame, messy
 from tillroll.llm import decontaminate
 from tillroll.llm.queries import QUERIES
@@ -167,3 +170,105 @@ def test_items_made_of_figures(spark):
     ]
     docs = frame(spark, [doc(k, f"{FILL}{t} {FILL}") for k, t in enumerate([*items, items[0].replace("3 9", "9 3")])])
     assert set(found(docs, benchmark(spark, items))) == {(0, 0), (1, 1), (2, 2)}
+
+
+def plain_forms(text):
+    """(key, slot value, first, end) of the tokens of each form, by the rules of the docstring."""
+    words, ended = [], True
+    for word in (text or "").split():
+        core = re.sub(r"^[\W_]+|[\W_]+$", "", word)
+        if core:
+            lower = core.lower()
+            attached = re.fullmatch(r"[+-]?\d[\d.,]*([^\W\d_]+|%|°[cf])", lower)
+            if lower in decontaminate.NUMBER_WORDS:
+                kind = "number word"
+            elif re.fullmatch(r"[+-]?\d[\d.,:/]*", core):
+                kind = "number"
+            elif attached and attached[1] in decontaminate.UNITS:
+                kind = "quantity"
+            elif lower in decontaminate.UNITS:
+                kind = "unit"
+            else:
+                kind = "name" if len(core) > 1 and core[0].isupper() and not core.isupper() and not ended else ""
+            words.append((lower, kind))
+            ended = False
+        ended |= word.rstrip("\"')]}»”’")[-1:] in tuple(".!?:")
+    forms = [[(w, None, k, k + 1) for k, (w, _) in enumerate(words)]]
+    for with_names in (False, True):
+        tokens = []
+        for k, (word, kind) in enumerate(words):
+            before = words[k - 1][1] if k else ""
+            numeric = before in ("number", "number word")
+            if kind == "unit" and numeric:
+                _, value, first, _ = tokens[-1]
+                tokens[-1] = ("<quantity>", f"{value} {word}", first, k + 1)
+            elif (kind == "number word" and numeric) or (with_names and kind == before == "name"):
+                key, value, first, _ = tokens[-1]
+                tokens[-1] = (key, f"{value} {word}", first, k + 1)
+            elif kind in ("number", "number word", "quantity"):
+                tokens.append(("<quantity>" if kind == "quantity" else "<number>", word, k, k + 1))
+            elif with_names and kind == "name":
+                tokens.append(("<name>", word, k, k + 1))
+            else:
+                tokens.append((word, None, k, k + 1))
+        forms.append(tokens)
+    return forms
+
+
+def plain_leak(text, item):
+    """(covered words, changed slots) of the best occurrence of ``item`` in ``text``, or None; every pair of windows."""
+    item_forms, matches = plain_forms(item), []
+    size = len(item_forms[0])
+    for theirs, ours in product(item_forms, plain_forms(text)):
+        n = min(decontaminate.WINDOW_WORDS, len(theirs))
+        if n < decontaminate.LEAST_WORDS:
+            continue
+        for i, j in product(range(len(theirs) - n + 1), range(len(ours) - n + 1)):
+            a, b = theirs[i : i + n], ours[j : j + n]
+            if [t[0] for t in a] != [t[0] for t in b] or sum(t[1] is None for t in a) < n * decontaminate.LEAST_LITERAL:
+                continue
+            pairs = {((x[0], x[1]), (y[0], y[1])) for x, y in zip(a, b) if x[1] is not None}
+            matches.append((b[0][2] - a[0][2], a[0][2], a[-1][3], pairs))
+    groups, offsets = [], sorted({m[0] for m in matches})
+    near = [[]]
+    for offset in offsets:
+        groups.append({offset})
+        if near[-1] and offset - near[-1][-1] > decontaminate.MOST_SHIFT:
+            near.append([])
+        near[-1].append(offset)
+    found = []
+    for group in [*groups, *near]:
+        own = [m for m in matches if m[0] in group]
+        covered = len({k for _, first, end, _ in own for k in range(first, end)})
+        pairs = set().union(*[m[3] for m in own]) if own else set()
+        one_to_one = len(pairs) == len({p[0] for p in pairs}) == len({p[1] for p in pairs})
+        if one_to_one and own and (covered >= decontaminate.RUN_WORDS or covered >= decontaminate.ITEM_SHARE * size):
+            found.append((covered, -sum(a != b for a, b in pairs)))
+    return (max(found)[0], -max(found)[1]) if found else None
+
+
+def test_templates_against_every_pair_of_windows(spark):
+    items = [
+        QUESTION,
+        "How far did Alice Brown walk from Boston to Salem if she walked twenty five miles a day for 3 days",
+        "A train leaves Paris at 9:30 and needs 4 hours for 320 km how fast is it on average",
+        "Sort 7 3 9 1 4 8 in ascending order",
+        "Name the longest river that flows through Old Saxon Town and the lake at its end",
+    ]
+    swaps = [
+        {}, {"Alice": "Maria Lopez"}, {"Alice Brown": "Tom", "Boston": "New York"}, {"12": "40", "3": "17"},
+        {"twenty five miles": "7km"}, {"walked": "slowly walked"}, {"5": "12"}, {"Paris": "Rome", "320 km": "90 miles"},
+        {"apples": "pears"}, {"9": "two hundred"}, {"river": "great river", "Old Saxon Town": "Rome"},
+    ]
+    texts = [""]
+    for item, swap in product(items, swaps):
+        for old, new in swap.items():
+            item = re.sub(rf"\b{old}\b", new, item)
+        texts += [FILL + item + " " + FILL, " ".join(item.split()[:14]) + "."]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()[:30]]
+    docs = frame(spark, [doc(k, t) for k, t in enumerate(texts)])
+    got = {pair: (r["covered_words"], r["changed_slots"]) for pair, r in found(docs, benchmark(spark, items)).items()}
+    expected = {(j, k): plain_leak(t, item) for j, t in enumerate(texts) for k, item in enumerate(items)}
+    expected = {pair: leak for pair, leak in expected.items() if leak}
+    assert len(expected) > 80 and any(changed for _, changed in expected.values())
+    assert got == expected
