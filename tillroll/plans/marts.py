@@ -2,7 +2,8 @@
 
 Every aggregation runs in two steps: lines are first combined per (key, value), which collapses most
 of them before the shuffle and spreads a hot key over its values, and only those groups are brought
-together per key.
+together per key. Extremes of strings are taken of their codes (:mod:`tillroll.operators.codes`), so all
+are hash aggregations.
 """
 
 from __future__ import annotations
@@ -12,6 +13,14 @@ from datetime import date
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tillroll.functions.columns import UNKNOWN_DESCRIPTION, most_frequent, surrogate_key
+from tillroll.operators.codes import (
+    decoded,
+    dictionary,
+    encoded,
+    greatest_by_hash,
+    most_frequent_code,
+    numbered,
+)
 from tillroll.schemas import CONTRACTS, conform
 
 
@@ -31,21 +40,32 @@ def order_parts(stg: DataFrame) -> DataFrame:
     )
 
 
-def dim_customer(parts: DataFrame) -> DataFrame:
+def countries(parts: DataFrame) -> DataFrame:
+    """Every country and its code; a written table."""
+    return dictionary(parts, "country")
+
+
+def dim_customer(parts: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """One row per numeric customer id; purchase figures cover product lines only.
 
+    ``codes`` are the :func:`countries` of ``parts``; without them they are written first.
+
     Grouping sets add up each (customer, invoice) and each (customer, country) pair in one pass, so
     the distinct orders and the modal country need neither a second scan nor a join. Customers seen
     only on service lines keep zero orders and revenue and NULL dates.
     """
+    codes = countries(parts) if codes is None else codes
     product = ~F.col("is_service_line")
     pairs = (
-        parts.filter(F.col("customer_id").isNotNull())
+        encoded(parts.filter(F.col("customer_id").isNotNull()), codes, "country")
         .groupingSets(
-            [["customer_id", "invoice_no"], ["customer_id", "country"]], "customer_id", "invoice_no", "country"
+            [["customer_id", "invoice_no"], ["customer_id", "country_code"]],
+            "customer_id",
+            "invoice_no",
+            "country_code",
         )
         .agg(
-            (F.grouping("country") == 1).alias("per_invoice"),
+            (F.grouping("country_code") == 1).alias("per_invoice"),
             F.sum("n_lines").alias("n_lines"),
             F.max(product).alias("has_product"),
             F.min(F.when(product, F.col("invoice_date"))).alias("first_date"),
@@ -56,13 +76,14 @@ def dim_customer(parts: DataFrame) -> DataFrame:
     per_invoice = F.col("per_invoice")
     bought = per_invoice & F.col("invoice_no").isNotNull() & F.col("has_product")
     customers = pairs.groupBy("customer_id").agg(
-        most_frequent(F.col("country"), F.col("n_lines"), where=~per_invoice).alias("primary_country"),
+        most_frequent_code(F.col("country_code"), F.col("n_lines"), where=~per_invoice).alias("country_code"),
         F.min("first_date").alias("first_purchase_date"),
         F.max("last_date").alias("last_purchase_date"),
         F.count_if(bought).alias("lifetime_orders"),
         F.coalesce(F.sum(F.when(per_invoice, F.col("revenue"))), F.lit(0)).alias("lifetime_net_revenue"),
     )
-    return conform(customers.withColumn("customer_sk", surrogate_key(F.col("customer_id"))), "dim_customer")
+    named = decoded(customers, codes, "country").withColumnRenamed("country", "primary_country")
+    return conform(named.withColumn("customer_sk", surrogate_key(F.col("customer_id"))), "dim_customer")
 
 
 def dim_customer_as_of(parts: DataFrame, days: list[date]) -> DataFrame:
@@ -137,23 +158,34 @@ def dim_customer_as_of(parts: DataFrame, days: list[date]) -> DataFrame:
     return customers.select("as_of", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns])
 
 
-def dim_product(stg: DataFrame) -> DataFrame:
-    """One row per stock code, described by its most frequent real text."""
+def product_texts(stg: DataFrame) -> DataFrame:
+    """Every stock code with each of its texts, and codes in the order of the texts; a written table."""
     texts = stg.groupBy("stock_code", "description").agg(
         F.count("*").alias("n_lines"),
         F.max("is_service_line").alias("is_service_line"),
         F.min("invoice_date").alias("first_date"),
         F.max("invoice_date").alias("last_date"),
     )
+    return numbered(texts, "description")
+
+
+def dim_product(stg: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """One row per stock code, described by its most frequent real text.
+
+    ``texts`` are the :func:`product_texts` of ``stg``; without them they are written first.
+    """
+    texts = product_texts(stg) if texts is None else texts
     real_text = F.col("stock_code").isNotNull() & (F.col("description") != UNKNOWN_DESCRIPTION)
-    modal_text = most_frequent(F.col("description"), F.col("n_lines"), where=real_text)
+    modal_text = most_frequent_code(F.col("description_code"), F.col("n_lines"), where=real_text)
     products = texts.groupBy("stock_code").agg(
-        F.coalesce(modal_text, F.lit(UNKNOWN_DESCRIPTION)).alias("description"),
+        modal_text.alias("description_code"),
         F.max("is_service_line").alias("is_service_line"),
         F.min("first_date").alias("first_seen_date"),
         F.max("last_date").alias("last_seen_date"),
     )
-    return conform(products.withColumn("product_sk", surrogate_key(F.col("stock_code"))), "dim_product")
+    described = decoded(products, texts.select("description_code", "description"), "description")
+    named = described.withColumn("description", F.coalesce("description", F.lit(UNKNOWN_DESCRIPTION)))
+    return conform(named.withColumn("product_sk", surrogate_key(F.col("stock_code"))), "dim_product")
 
 
 def fct_sales(stg: DataFrame) -> DataFrame:
@@ -183,16 +215,22 @@ def line_keys(sales: DataFrame) -> DataFrame:
     )
 
 
-def fct_orders(parts: DataFrame) -> DataFrame:
-    """One row per invoice."""
-    orders = parts.groupBy("invoice_no").agg(
-        F.max(surrogate_key(F.col("customer_id"))).alias("customer_sk"),
+def fct_orders(parts: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """One row per invoice.
+
+    ``codes`` are the :func:`countries` of ``parts``; without them they are written first.
+    """
+    codes = countries(parts) if codes is None else codes
+    customer = F.col("customer_id")
+    orders = encoded(parts, codes, "country").groupBy("invoice_no").agg(
+        greatest_by_hash(customer, surrogate_key(customer)).alias("customer_id"),
         F.min("invoice_date").alias("invoice_date"),
         F.min("invoice_ts").alias("invoice_ts"),
-        F.min("country").alias("country"),
+        F.min("country_code").alias("country_code"),
         F.sum("n_lines").alias("n_lines"),
         F.sum("n_units").alias("n_units"),
         F.sum("revenue").alias("order_revenue"),
         F.max("is_cancellation").alias("is_cancellation"),
     )
-    return conform(orders, "fct_orders")
+    keyed = decoded(orders, codes, "country").withColumn("customer_sk", surrogate_key(F.col("customer_id")))
+    return conform(keyed, "fct_orders")

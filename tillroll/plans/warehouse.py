@@ -12,29 +12,37 @@ from tillroll.plans import analytics, campaign, marts, quality, rfm as scoring,
 from tillroll.schemas import CONTRACTS, require_contract
 from tillroll.sources import layout
 from tillroll.sources.observed import Figures, counted, scanned
-from tillroll.sources.scratch import hold, release
+from tillroll.sources.scratch import hold, hold_buckets, release
 from tillroll.sources.sinks import read_table_files, save_table, write_table_files
 
-# Every model and the table it is built from, in build order.
-MODELS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
-    "stg": ("raw", staging.stg_lines),
-    "order_parts": ("stg", marts.order_parts),
-    "dim_customer": ("order_parts", marts.dim_customer),
-    "dim_product": ("stg", marts.dim_product),
-    "fct_sales": ("stg", marts.fct_sales),
-    "line_keys": ("fct_sales", marts.line_keys),
-    "fct_orders": ("order_parts", marts.fct_orders),
-    "rfm": ("dim_customer", scoring.rfm),
+# Every model and the tables it is built from, in build order.
+MODELS: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {
+    "stg": (("raw",), staging.stg_lines),
+    "order_parts": (("stg",), marts.order_parts),
+    "countries": (("order_parts",), marts.countries),
+    "product_texts": (("stg",), marts.product_texts),
+    "dim_customer": (("order_parts", "countries"), marts.dim_customer),
+    "dim_product": (("stg", "product_texts"), marts.dim_product),
+    "fct_sales": (("stg",), marts.fct_sales),
+    "line_keys": (("fct_sales",), marts.line_keys),
+    "fct_orders": (("order_parts", "countries"), marts.fct_orders),
+    "rfm": (("dim_customer",), scoring.rfm),
 }
 
 # Intermediate roll-ups, not part of the published schema.
-INTERNAL = {"order_parts", "line_keys"}
+INTERNAL = {"order_parts", "countries", "product_texts", "line_keys"}
 TABLES = ["raw", *[name for name in MODELS if name not in INTERNAL]]
 
+# Their models return a written table.
+WRITTEN = {"countries", "product_texts"}
+
 # Pure per-row projections: reading their parent again is cheaper than a second copy of every line.
 VIEWS = {"fct_sales"}
 
 
+# Held tables whose keys are compared with each other, and the key they are dealt into buckets by.
+BUCKETED = {"line_keys": "key", "dim_customer": "customer_sk", "dim_product": "product_sk"}
+
 # Held tables have a folder per month: a day of a few thousand lines would not fill a file.
 GRAIN = "month"
 
@@ -45,12 +53,15 @@ class Warehouse(Mapping[str, DataFrame]):
     Staging has many consumers, so it, the roll-ups and the marts are written to shared storage instead of
     being recomputed; ``fct_sales`` stays a view over staging. Dated tables have a folder per period of
     ``grain`` ("day", "month", "year", or None for none), so that :meth:`between` opens only what a date
-    range touches. Row and NULL counts are taken while a table is written (:meth:`figures`).
+    range touches. The dimensions and the fact's keys lie in ``buckets`` by key (as many as the session has
+    shuffle partitions, if not given), so references are checked without moving them. Row and NULL counts
+    are taken while a table is written (:meth:`figures`).
     """
 
-    def __init__(self, raw: Callable[[], DataFrame], grain: str | None = GRAIN):
+    def __init__(self, raw: Callable[[], DataFrame], grain: str | None = GRAIN, buckets: int | None = None):
         self._raw = raw
         self._grain = grain
+        self._buckets = buckets
         self._built: dict[str, DataFrame] = {}
         self._figures: dict[str, Figures] = {}
         self._given: set[str] = set()
@@ -66,7 +77,7 @@ class Warehouse(Mapping[str, DataFrame]):
 
     def again(self) -> Warehouse:
         """A second, independent build from the same source."""
-        return Warehouse(self._raw, self._grain)
+        return Warehouse(self._raw, self._grain, self._buckets)
 
     def close(self) -> None:
         """Delete the tables from shared storage; they must not be read any more."""
@@ -82,8 +93,8 @@ class Warehouse(Mapping[str, DataFrame]):
     def between(self, name: str, first: date | None = None, last: date | None = None) -> DataFrame:
         """The rows of a dated table from ``first`` to ``last``, both included."""
         if name in VIEWS:
-            parent, model = MODELS[name]
-            return model(self.between(parent, first, last))
+            parents, model = MODELS[name]
+            return model(*[self.between(parent, first, last) for parent in parents])
         if not self._in_folders(name):
             return _day_range(self[name], name, first, last)
         return layout.between(self._whole(name), name, self._grain, first, last).drop(layout.PERIOD)
@@ -98,7 +109,7 @@ class Warehouse(Mapping[str, DataFrame]):
             if name in self._given:
                 self._figures.setdefault(name, scanned(self[name]))
             if name not in self._figures:
-                parent = self.figures(MODELS[name][0])
+                parent = self.figures(MODELS[name][0][0])
                 lines = F.sum("n_lines")
                 of_keys = self["line_keys"].groupBy("key_column").agg(
                     lines.alias("n_rows"), F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("n_lines"))), F.lit(0)).alias("nulls")
@@ -136,11 +147,18 @@ class Warehouse(Mapping[str, DataFrame]):
     def _build(self, name: str) -> DataFrame:
         if name == "raw":
             return self._held(name, require_contract(self._raw(), "raw"))
-        parent, model = MODELS[name]
-        table = model(self[parent])
-        return table if name in VIEWS else self._held(name, table)
+        parents, model = MODELS[name]
+        table = model(*[self[parent] for parent in parents])
+        return table if name in VIEWS | WRITTEN else self._held(name, table)
 
     def _held(self, name: str, table: DataFrame) -> DataFrame:
+        if name in BUCKETED:
+            key = BUCKETED[name]
+            n = self._buckets or int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            written, self._figures[name] = counted(
+                table.repartition(n, key), name, lambda df, label: hold_buckets(df, label, key, n)
+            )
+            return written
         if not self._in_folders(name):
             written, self._figures[name] = counted(table, name, hold)
             return written
@@ -224,10 +242,10 @@ def publish_catalog(raw: DataFrame, database: str, staging_as_view: bool = False
 def _publish(raw: DataFrame, publish: Callable[[str, DataFrame], tuple[DataFrame, Figures]]) -> Published:
     tables, figures = {}, {}
     tables["raw"], figures["raw"] = publish("raw", require_contract(raw, "raw"))
-    for name, (parent, model) in MODELS.items():
-        table = model(tables[parent])
+    for name, (parents, model) in MODELS.items():
+        table = model(*[tables[parent] for parent in parents])
         if name in INTERNAL:
-            tables[name] = hold(table, name)
+            tables[name] = table if name in WRITTEN else hold(table, name)
         else:
             tables[name], figures[name] = publish(name, table)
     return Published(tables, figures)

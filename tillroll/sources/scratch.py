@@ -11,6 +11,8 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+# Catalog entries of bucketed tables by the name of their folder.
+_bucketed: dict[str, str] = {}
 # Where hold() notes what it wrote, inside of intermediates().
 _notes: ContextVar[list[str] | None] = ContextVar("held", default=None)
 
@@ -50,6 +52,24 @@ def hold(df: DataFrame, name: str, folders: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hold_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """:func:`hold` with the rows dealt into ``buckets`` by ``key`` and sorted by it within.
+
+    Spark remembers the buckets in the session's catalog, so grouping by ``key``, or joining two such tables
+    of equally many buckets on it, happens where the rows lie. :func:`release` removes the entry too.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    folder = path.rsplit("/", 1)[-1]
+    entry = f"`{spark.catalog.currentDatabase()}`.`{folder.replace('-', '_')}`"
+    df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(entry)
+    _bucketed[folder] = entry
+    notes = _notes.get()
+    if notes is not None:
+        notes.append(path)
+    return spark.table(entry)
+
+
 @contextmanager
 def intermediates(spark: SparkSession) -> Iterator[list[str]]:
     """Deletes what :func:`hold` wrote inside the block at its end; a path taken out of the list stays.
@@ -67,7 +87,10 @@ def intermediates(spark: SparkSession) -> Iterator[list[str]]:
 
 
 def drop(spark: SparkSession, path: str) -> None:
-    """Delete a folder, if it is there."""
+    """Delete a folder, if it is there, and the catalog entry of a bucketed table."""
+    entry = _bucketed.pop(path.rstrip("/").rsplit("/", 1)[-1], None)
+    if entry:
+        spark.sql(f"DROP TABLE IF EXISTS {entry}")
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
