@@ -122,7 +122,7 @@ def save_table(df: DataFrame, name: str, database: str) -> Figures:
     if parts:
         spark.catalog.recoverPartitions(f"`{database}`.`{version}`")
     names = ", ".join(f"`{c}`" for c in CONTRACTS[name].names)
-    tables = {t.name: t.tableType for t in spark.catalog.listTables(database)}
+    tables = {t.name: t.tableType for t in spark.catalog.listTables(database) if not t.isTemporary}
     if tables.get(name, "VIEW") != "VIEW":
         spark.sql(f"DROP TABLE `{database}`.`{name}`")
     spark.sql(f"CREATE OR REPLACE VIEW `{database}`.`{name}` AS SELECT {names} FROM `{database}`.`{version}`")
