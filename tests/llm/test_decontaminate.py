@@ -272,3 +272,41 @@ def test_templates_against_every_pair_of_windows(spark):
     expected = {pair: leak for pair, leak in expected.items() if leak}
     assert len(expected) > 80 and any(changed for _, changed in expected.values())
     assert got == expected
+
+
+def test_a_shared_opening_is_compared_once(spark):
+    opening = "Read the following short passage with care and answer the question"
+    items = [f"{opening} {' '.join(f'item{k}word{j}' for j in range(20))}" for k in range(25)]
+    counts = {}
+    for size in (40, 160):
+        texts = [f"{' '.join(f'own{k}x{j}' for j in range(5 + k % 7))} {opening} {' '.join(f'text{k}y{j}' for j in range(20))}" for k in range(size)]
+        met, members, _ = decontaminate._matches(frame(spark, [doc(k, t) for k, t in enumerate(texts)]), benchmark(spark, items))
+        assert members.count() == size and members.select("class").distinct().count() == 1
+        counts[size] = met.count()
+    windows = len(opening.split()) - decontaminate.WINDOW_WORDS + 1
+    assert counts[40] == counts[160] == windows * len(items)
+    # Documents that share the opening and go on like an item are still found, each with its own item.
+    texts += [f"own words {items[3]}", items[7], f"{items[3]} {items[7]}"]
+    docs = frame(spark, [doc(k, t) for k, t in enumerate(texts)])
+    assert set(found(docs, benchmark(spark, items))) == {(160, 3), (161, 7), (162, 3), (162, 7)}
+
+
+def test_passages_far_apart_are_classes_of_their_own(spark):
+    # Ends with a mark, so that what follows begins a sentence everywhere.
+    gap = " ".join(f"between{k}" for k in range(200)) + "."
+    texts = [f"{QUESTION} {gap} {SHORT}?", QUESTION, f"{gap} {SHORT}?", f"{gap} {QUESTION} {gap} {QUESTION}"]
+    _, members, _ = decontaminate._matches(frame(spark, [doc(k, t) for k, t in enumerate(texts)]), benchmark(spark, [QUESTION, SHORT]))
+    by_class = {}
+    for r in members.collect():
+        by_class.setdefault(r["class"], set()).add(r["id"])
+    assert sorted(map(sorted, by_class.values())) == [[0, 1, 3], [0, 2]]
+
+
+def test_copies_of_items_and_documents(spark):
+    docs = frame(spark, [doc(k % 5 if k % 2 else None, FILL + QUESTION) for k in range(30)] + [doc(99, "clean")])
+    items = benchmark(spark, [QUESTION] * 12 + [None, ""])
+    got = decontaminate.leaks(docs, items).collect()
+    assert len(got) == 6 * 12 and {r["covered_words"] for r in got} == {len(QUESTION.split())}
+    met, _, _ = decontaminate._matches(docs, items)
+    assert met.select("class", "item_hash").distinct().count() == 1
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(docs, items).collect()] == [99]

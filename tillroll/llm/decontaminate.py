@@ -10,7 +10,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tillroll.llm.common import column, packed, unpacked
 from tillroll.sources.scratch import hold
@@ -319,27 +319,76 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A bit filter of fixed size, summed up in Spark from all benchmark windows, keeps windows of documents
     that can't match out of the shuffle; if the benchmark outgrows it, more of them pass and the join
     still decides. Null texts are empty and match nothing; null ids are ids like any other; copies and
-    repeated rows are each compared; empty tables give no rows; other columns are ignored. A window that
-    many items share meets all of them in every document that has it.
+    repeated rows each have their rows; empty tables give no rows; other columns are ignored.
+
+    Occurrences are judged once per class of passages (:func:`_matches`), then given to the documents.
+    """
+    met, members, names = _matches(docs, benchmark)
+    best = F.struct(F.col("covered_words"), (-F.col("changed_slots")).alias("unchanged"))
+    return (
+        _leaking(met)
+        .join(members, "class")
+        .join(names, "item_hash")
+        .groupBy(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "item_id", "item_words")
+        .agg(F.max(best).alias("best"))
+        .select(
+            "_id",
+            "_hash",
+            "item_id",
+            "item_words",
+            F.col("best.covered_words").cast("bigint").alias("covered_words"),
+            (-F.col("best.unchanged")).cast("bigint").alias("changed_slots"),
+        )
+    )
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Matched windows per class of passages and item text; the documents of each class; the ids of each item text.
+
+    A passage is a run of a document's benchmark windows, cut where two are further apart than those of any
+    one occurrence can be. Passages with the same windows and slots at the same distances are a class, so an
+    opening sentence that many items and many documents share is compared once with each item, and copies
+    of a document or of an item are compared once.
     """
     items = hold(_texts(benchmark, "item_id").mapInArrow(_cutter(None, None), _WINDOW).distinct(), "leak-items")
     lengths = sorted(r["n"] for r in items.select("n").distinct().collect())
+    longest = items.agg(F.coalesce(F.max("words"), F.lit(0))).scalar()
     found = _texts(docs, "doc_id").mapInArrow(_cutter(lengths, _filter_bits(items)), _WINDOW)
-    left = found.select("id", "hash", "window", "at", "slots").distinct()
+    wanted = (
+        found.select("id", "hash", "window", "at", "slots")
+        .distinct()
+        .join(items.select("window").distinct(), "window", "left_semi")
+    )
+    # Windows next to each other in an occurrence differ by a shift of their offsets and by less than an item.
+    of_text = Window.partitionBy("id", "hash").orderBy("at")
+    gap = F.col("at") - F.lag("at").over(of_text)
+    begins = F.when(F.coalesce(gap > MOST_SHIFT + longest, F.lit(True)), F.col("at"))
+    passages = wanted.withColumn("_begins", begins).withColumn("begin", F.max("_begins").over(of_text))
+    passages = passages.withColumn("at", F.col("at") - F.col("begin"))
+    whole = Window.partitionBy("id", "hash", "begin")
+    digests = [F.hex(F.bit_xor(F.xxhash64(F.lit(k), "window", "at", "slots")).over(whole)) for k in (1, 2)]
+    passages = passages.withColumn("class", F.concat_ws(" ", *digests, F.count("*").over(whole)))
+    passages = hold(passages.select("id", "hash", "class", "window", "at", "slots"), "leak-passages")
+
+    left = passages.select("class", "window", "at", "slots").distinct()
     right = items.select(
-        F.col("id").alias("item_id"),
         F.col("hash").alias("item_hash"),
         "window",
         F.col("at").alias("item_at"),
         "span",
         F.col("words").alias("item_words"),
         F.col("slots").alias("item_slots"),
-    )
+    ).distinct()
     met = left.join(right, "window").filter(F.size("slots") == F.size("item_slots")).withColumn(
         "offset", F.col("at") - F.col("item_at")
     )
     met = hold(met.select(*_PAIR, "item_words", "item_at", "span", "slots", "item_slots", "offset"), "leak-matches")
+    members = passages.select("class", "id", "hash").distinct()
+    return met, members, items.select(F.col("hash").alias("item_hash"), F.col("id").alias("item_id")).distinct()
+
 
+def _leaking(met: DataFrame) -> DataFrame:
+    """(_PAIR, item_words, covered_words, changed_slots) of the occurrences that count."""
     in_order = Window.partitionBy(*_PAIR).orderBy("offset")
     shifted = F.col("offset") - F.lag("offset").over(in_order) > MOST_SHIFT
     # Rows of one offset share a place in the order, so they share the sum.
@@ -351,23 +400,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same = met.withColumn("place", F.concat(F.lit("at "), F.col("offset")))
     judged = _judged(hold(same.unionByName(near), "leak-occurrences"))
     enough = (F.col("covered_words") >= RUN_WORDS) | (F.col("covered_words") >= ITEM_SHARE * F.col("item_words"))
-    best = F.struct(F.col("covered_words"), (-F.col("changed_slots")).alias("unchanged"))
-    return (
-        judged.filter(F.col("consistent") & enough)
-        .groupBy(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "item_id", "item_words")
-        .agg(F.max(best).alias("best"))
-        .select(
-            "_id",
-            "_hash",
-            "item_id",
-            "item_words",
-            F.col("best.covered_words").cast("bigint").alias("covered_words"),
-            (-F.col("best.unchanged")).cast("bigint").alias("changed_slots"),
-        )
-    )
+    return judged.filter(F.col("consistent") & enough).select(*_PAIR, "item_words", "covered_words", "changed_slots")
 
 
-_PAIR = ["id", "hash", "item_id", "item_hash"]
+_PAIR = ["class", "item_hash"]
 
 
 def _judged(met: DataFrame) -> DataFrame:
@@ -395,23 +431,20 @@ def _judged(met: DataFrame) -> DataFrame:
     )
     pairs = F.coalesce("pairs", F.lit(0))
     consistent = (pairs == F.coalesce("theirs", F.lit(0))) & (pairs == F.coalesce("ours", F.lit(0)))
-    return covered.join(slots, _null_safe(covered, slots, occurrence), "left").select(
-        *[covered[c] for c in (*occurrence, "item_words", "covered_words")],
+    return covered.join(slots, occurrence, "left").select(
+        *occurrence,
+        "item_words",
+        "covered_words",
         consistent.alias("consistent"),
         F.coalesce("changed", F.lit(0)).alias("changed_slots"),
     )
 
 
-def _null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
-
-
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their columns."""
-    bad = hold(leaks(docs, benchmark).select("_id", "_hash").distinct(), "leak-documents")
+    met, members, _ = _matches(docs, benchmark)
+    bad = members.join(_leaking(met).select("class").distinct(), "class", "left_semi")
+    bad = hold(bad.select(F.col("id").alias("_id"), F.col("hash").alias("_hash")).distinct(), "leak-documents")
     rows = docs.select(
         packed(docs), column("doc_id").cast("bigint").alias("_doc"), F.xxhash64(column("text")).alias("_text")
     )
