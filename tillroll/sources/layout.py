@@ -17,6 +17,9 @@ from tillroll.schemas import CLUSTER_BY, PARTITION_DAY
 PERIOD = "_period"
 GRAINS = ("day", "month", "year")
 
+# Models whose partitions are ranges by day already; writing by period moves no rows.
+RANGED = {"stg"}
+
 # Roll-ups that have no contract, and their day. They are small and mostly read whole, so they have no folders.
 ROLL_UP_DAY = {"order_parts": "invoice_date"}
 
@@ -39,7 +42,8 @@ def period_of(day: Column, grain: str) -> Column:
 
 def with_period(df: DataFrame, name: str, grain: str) -> DataFrame:
     """``df`` arranged for writing by period: ``rebalance`` splits a hot period over tasks and joins small ones."""
-    spread = df.withColumn(PERIOD, period_of(F.col(day_column(name)), grain)).hint("rebalance", PERIOD)
+    spread = df.withColumn(PERIOD, period_of(F.col(day_column(name)), grain))
+    spread = spread if name in RANGED else spread.hint("rebalance", PERIOD)
     return spread.sortWithinPartitions(PERIOD, *CLUSTER_BY.get(name, []))
 
 
