@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -12,12 +13,25 @@ from tillroll.operators.dedup import frequent
 from tillroll.plans.staging import dedup_lines, stg_lines
 from tillroll.plans.warehouse import Warehouse
 from tillroll.sources import layout
+from tillroll.sources.sheets import read_csv_sheet
 
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@contextmanager
+def no_broadcast_by_size(spark):
+    """As with tables too large for Spark to broadcast by itself."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_staging_moves_lines_once_and_without_their_hash(spark):
     arranged = plan(layout.with_period(stg_lines(raw_frame(spark, {})), "stg", "month"))
     assert arranged.count("Exchange") == 1
@@ -73,3 +87,14 @@ def test_other_hashes_are_held(spark):
     tables = Warehouse(lambda: raw)
     assert sorted(map(str, tables["raw"].collect())) == sorted(map(str, raw.collect()))
     assert tables.figures("raw").nulls["_record_hash"] == 1
+
+
+def test_numbering_csv_lines_moves_no_lines(spark, tmp_path):
+    """The join with the few rows about file blocks is no shuffle of lines, however many lines there are."""
+    head = "Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n"
+    (tmp_path / "a.csv").write_text(head + "1,2,LAMP,3,2011-01-01 00:00:00,4.0,5.0,France\n")
+    with no_broadcast_by_size(spark):
+        for multiline in (False, True):
+            frame = read_csv_sheet(spark, str(tmp_path), "A", multiline).frame
+            assert "SortMergeJoin" not in plan(frame)
+            assert frame.count() == 1

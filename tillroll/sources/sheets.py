@@ -116,7 +116,7 @@ def _lines(spark: SparkSession, path: str, text_schema: str) -> DataFrame:
         .withColumn("_start", _before("_n"))
         .drop("_n")
     )
-    return lines.join(blocks, _BLOCK).withColumn(ROW_COLUMN, F.col("_start") + F.col("_order") - F.col("_first") + 1)
+    return lines.join(F.broadcast(blocks), _BLOCK).withColumn(ROW_COLUMN, F.col("_start") + F.col("_order") - F.col("_first") + 1)
 
 
 def _records(spark: SparkSession, path: str, text_schema: str) -> DataFrame:
@@ -139,7 +139,7 @@ def _records(spark: SparkSession, path: str, text_schema: str) -> DataFrame:
     earlier = in_block.rowsBetween(Window.unboundedPreceding, -1)
     odd_before = F.col("_start") + F.coalesce(F.sum("_odd").over(earlier), F.lit(0))
     placed = (
-        lines.join(parity.select(*_BLOCK, _before("_parity").alias("_start")), _BLOCK)
+        lines.join(F.broadcast(parity.select(*_BLOCK, _before("_parity").alias("_start"))), _BLOCK)
         .withColumn("_inside", odd_before % 2 == 1)
         .withColumn("_begins", ~F.col("_inside") & (F.trim(F.rtrim(line, F.lit("\r"))) != ""))
         .withColumn("_nth", F.sum(F.col("_begins").cast("bigint")).over(in_block))
@@ -148,7 +148,7 @@ def _records(spark: SparkSession, path: str, text_schema: str) -> DataFrame:
     placed = hold(placed, "csv-records")
     starts = placed.groupBy(*_BLOCK).agg(F.max("_nth").alias("_n")).select(*_BLOCK, _before("_n").alias("_start"))
     # A line that goes on counts as the record that began last.
-    numbered = placed.join(starts, _BLOCK).withColumn(ROW_COLUMN, F.col("_start") + F.col("_nth"))
+    numbered = placed.join(F.broadcast(starts), _BLOCK).withColumn(ROW_COLUMN, F.col("_start") + F.col("_nth"))
     alone = F.col("_begins") & (F.col("_odd") == 0)
     whole = numbered.filter(alone).select("value", FILE_COLUMN, ROW_COLUMN)
     parts = numbered.filter(F.col("_inside") | (F.col("_begins") & ~alone))
