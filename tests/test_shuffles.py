@@ -11,7 +11,7 @@ from tests.helpers import raw_frame
 from tillroll.functions.columns import line_place
 from tillroll.operators.dedup import frequent
 from tillroll.plans import marts
-from tillroll.plans.quality import rebuild_idempotent
+from tillroll.plans.quality import dq_schema_contract, rebuild_idempotent
 from tillroll.plans.staging import dedup_lines, stg_lines
 from tillroll.plans.warehouse import TABLES, Warehouse
 from tillroll.sources import layout
@@ -112,6 +112,14 @@ def test_a_second_build_writes_only_what_others_are_built_from(spark):
     second.close()
 
 
+def test_schema_contract_counts_rows_without_the_roll_up_of_keys(spark):
+    raw = raw_frame(spark, {}, {"invoice": "2", "customer_id": None}, {"_source_sheet": "B"})
+    tables = Warehouse(lambda: raw)
+    rows = {r.table_name: r.n_rows for r in dq_schema_contract(tables).collect()}
+    assert "line_keys" not in tables._built
+    assert rows == {name: table.count() for name, table in tables.items()}
+
+
 def test_orders_travel_with_keys_of_bytes(spark):
     tables = Warehouse.over(raw_frame(spark, {}, {"invoice": "2", "customer_id": None}, {"invoice": "3"}))
     orders = marts.fct_orders(tables["order_parts"], tables["countries"])

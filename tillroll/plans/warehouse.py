@@ -130,6 +130,10 @@ class Warehouse(Mapping[str, DataFrame]):
                 self._figures[name] = Figures(rows, nulls)
             return self._figures[name]
 
+    def row_count(self, name: str) -> int:
+        """Rows of a table, as they were when it was written; a view, which is per row, has those of its parent."""
+        return self.figures(MODELS[name][0][0] if name in VIEWS else name).rows
+
     def figure_rows(self) -> DataFrame:
         """(table_name, column_name, n_rows, nulls) of every table, a written table."""
         with self._lock:
@@ -212,6 +216,10 @@ class Published(Mapping[str, DataFrame]):
         """The rows of a dated table from ``first`` to ``last``, both included."""
         return _day_range(self[name], name, first, last)
 
+    def row_count(self, name: str) -> int:
+        """Rows of a table, as they were when it was written."""
+        return self._figures[name].rows
+
     def figure_rows(self) -> DataFrame:
         """(table_name, column_name, n_rows, nulls) of every table, as they were when it was written."""
         if self._figure_rows is None:
