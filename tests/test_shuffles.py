@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
@@ -112,6 +112,14 @@ def test_a_second_build_writes_only_what_others_are_built_from(spark):
     second.close()
 
 
+def test_customers_of_many_days_move_orders_twice_and_changes_once(spark):
+    """Past days, however many, take no join and no shuffle of their own."""
+    parts = Warehouse.over(raw_frame(spark, {}, {"invoice": "2", "country": "Spain"}))["order_parts"]
+    with no_broadcast_by_size(spark):
+        steps = plan(marts.dim_customer_as_of(parts, [date(2010, 1, 1), date(2011, 2, 1), date(2011, 3, 1)]))
+    assert steps.count("Exchange") == 3 and "Join" not in steps
+
+
 def test_schema_contract_counts_rows_without_the_roll_up_of_keys(spark):
     raw = raw_frame(spark, {}, {"invoice": "2", "customer_id": None}, {"_source_sheet": "B"})
     tables = Warehouse(lambda: raw)

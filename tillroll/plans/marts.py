@@ -89,71 +89,72 @@ def dim_customer(parts: DataFrame, codes: DataFrame | None = None) -> DataFrame:
 def dim_customer_as_of(parts: DataFrame, days: list[date]) -> DataFrame:
     """:func:`dim_customer` as it stood at the end of each of ``days``, with the day as ``as_of``.
 
-    One pass for all days: what changes between one day and the next is added up per customer, running
-    sums carry it on, and each state stands for all days up to the next change. Lines after the last day and
-    lines without a day take no part.
+    One pass for all days: what changes between one day and the next is added up per customer and country,
+    the lines of a country stand for all days up to its next change, and running sums carry the rest on. Lines
+    after the last day and lines without a day take no part.
+
+    Order parts are moved by order, so a hot customer is spread, then as one row per customer, country and day,
+    of which a customer has few; from there on all is worked out where the rows of a customer lie.
     """
     days = sorted(set(days))
     ends = F.array(*[F.lit(d) for d in days])
     # The first of the days that has seen a line.
     slot = F.size(F.filter(ends, lambda d: d < F.col("invoice_date")))
-    seen = parts.filter(F.col("customer_id").isNotNull() & (F.col("invoice_date") <= F.lit(days[-1]))).withColumn("slot", slot)
     product = ~F.col("is_service_line")
-    invoices = seen.groupBy("customer_id", "invoice_no", "slot").agg(
-        F.max(product).alias("has_product"),
-        F.min(F.when(product, F.col("invoice_date"))).alias("first_date"),
-        F.max(F.when(product, F.col("invoice_date"))).alias("last_date"),
-        F.sum(F.when(product, F.col("revenue"))).alias("revenue"),
+    seen = (
+        parts.filter(F.col("customer_id").isNotNull() & (F.col("invoice_date") <= F.lit(days[-1])))
+        .select(
+            "customer_id",
+            "invoice_no",
+            "country",
+            slot.alias("slot"),
+            "n_lines",
+            # No part without a day is left, so a part has one here if it is of products.
+            F.when(product, F.col("invoice_date")).alias("day"),
+            F.when(product, F.col("revenue")).alias("revenue"),
+        )
+        .repartition("customer_id", "invoice_no")
     )
     # An invoice counts as an order from the first day that has seen a product line of it.
-    orders = (
-        invoices.filter(F.col("has_product") & F.col("invoice_no").isNotNull())
-        .groupBy("customer_id", "invoice_no")
-        .agg(F.min("slot").alias("slot"))
-        .select("customer_id", "slot", F.lit(1).alias("orders"))
-    )
+    in_order = Window.partitionBy("customer_id", "invoice_no").orderBy(F.asc_nulls_last("day"))
+    opens = (F.row_number().over(in_order) == 1) & F.col("day").isNotNull() & F.col("invoice_no").isNotNull()
     changes = (
-        invoices.drop("has_product", "invoice_no")
-        .unionByName(orders, allowMissingColumns=True)
-        .groupBy("customer_id", "slot")
+        seen.withColumn("opens", opens)
+        .groupBy("customer_id", "country", "slot")
         .agg(
-            F.sum("orders").alias("orders"),
-            F.min("first_date").alias("first_date"),
-            F.max("last_date").alias("last_date"),
+            F.sum("n_lines").alias("n_lines"),
+            F.count_if("opens").alias("orders"),
+            F.min("day").alias("first_date"),
+            F.max("day").alias("last_date"),
             F.sum("revenue").alias("revenue"),
         )
+        .repartition("customer_id")
     )
-    so_far = Window.partitionBy("customer_id").orderBy("slot")
-    states = changes.select(
+    per_country = Window.partitionBy("customer_id", "country").orderBy("slot")
+    carried = changes.select(
+        "*",
+        F.sum("n_lines").over(per_country).alias("lines_so_far"),
+        F.lead("slot", 1, len(days)).over(per_country).alias("_next"),
+    ).withColumn("on", F.explode(F.sequence("slot", F.col("_next") - 1)))
+    new = F.col("on") == F.col("slot")
+    per_day = carried.groupBy("customer_id", "on").agg(
+        most_frequent(F.col("country"), F.col("lines_so_far"), where=F.lit(True)).alias("primary_country"),
+        F.sum(F.when(new, F.col("orders"))).alias("orders"),
+        F.min("first_date").alias("first_date"),
+        F.max("last_date").alias("last_date"),
+        F.sum(F.when(new, F.col("revenue"))).alias("revenue"),
+    )
+    so_far = Window.partitionBy("customer_id").orderBy("on")
+    customers = per_day.select(
+        ends[F.col("on")].alias("as_of"),
+        surrogate_key(F.col("customer_id")).alias("customer_sk"),
         "customer_id",
-        "slot",
-        F.lead("slot", 1, len(days)).over(so_far).alias("_next"),
-        F.coalesce(F.sum("orders").over(so_far), F.lit(0)).alias("lifetime_orders"),
+        "primary_country",
         F.min("first_date").over(so_far).alias("first_purchase_date"),
         F.max("last_date").over(so_far).alias("last_purchase_date"),
+        F.coalesce(F.sum("orders").over(so_far), F.lit(0)).alias("lifetime_orders"),
         F.coalesce(F.sum("revenue").over(so_far), F.lit(0)).alias("lifetime_net_revenue"),
     )
-    per_country = Window.partitionBy("customer_id", "country").orderBy("slot")
-    countries = (
-        seen.groupBy("customer_id", "country", "slot")
-        .agg(F.sum("n_lines").alias("n_lines"))
-        .select(
-            "customer_id",
-            "country",
-            "slot",
-            F.lead("slot", 1, len(days)).over(per_country).alias("_next"),
-            F.sum("n_lines").over(per_country).alias("n_lines"),
-        )
-    )
-
-    def on_each_day(df: DataFrame) -> DataFrame:
-        return df.withColumn("slot", F.explode(F.sequence("slot", F.col("_next") - 1))).drop("_next")
-
-    homes = on_each_day(countries).groupBy("customer_id", "slot").agg(
-        most_frequent(F.col("country"), F.col("n_lines"), where=F.lit(True)).alias("primary_country")
-    )
-    customers = on_each_day(states).join(homes, ["customer_id", "slot"])
-    customers = customers.withColumn("customer_sk", surrogate_key(F.col("customer_id"))).withColumn("as_of", ends[F.col("slot")])
     columns = CONTRACTS["dim_customer"].fields
     return customers.select("as_of", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns])
 
