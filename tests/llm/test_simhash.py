@@ -160,6 +160,46 @@ def test_every_pair_of_two_bits_is_tied(spark):
     assert len(set(found.values())) == len(pairs)
 
 
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans that ran for held tables, by name; each is run once more for it."""
+    seen, hold = {}, simhash.hold
+
+    def watched(df, name):
+        df.collect()
+        seen[name] = final_plan(df)
+        return hold(df, name)
+
+    monkeypatch.setattr(simhash, "hold", watched)
+    return seen
+
+
+def final_plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_looked_up_values_are_never_broadcast(spark, plans):
+    """The table is small enough to be broadcast, its counted values are not and what it explodes to is not."""
+    draw = random.Random(7)
+    prints = spark.createDataFrame([(draw.getrandbits(63),) for _ in range(5000)], "_print bigint")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(200 << 10))
+    try:
+        assert simhash.near_links(prints).count() == 0
+    finally:
+        spark.conf.set(key, before)
+    assert "Generate" in plans["simhash-hits"] and "Broadcast" not in plans["simhash-hits"]
+
+
+def test_rows_per_document_are_never_broadcast(spark, plans):
+    docs = frame(spark, [doc(k, f"text number {k} of its own {k * k}") for k in range(50)])
+    groups = simhash.near_groups(docs)
+    groups.collect()
+    assert "Broadcast" not in plans["simhash-groups"] + final_plan(groups)
+    assert "SortMergeJoin" in final_plan(groups)
+
+
 def folders(spark) -> set:
     from pathlib import Path
 

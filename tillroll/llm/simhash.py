@@ -141,7 +141,8 @@ def near_links(prints: DataFrame) -> DataFrame:
     probes = table.select("_print", F.col("_key").alias("_own"), F.explode(_looked_up(F.col("_key"))).alias("_key"))
     own = F.col("_own") == F.col("_key")
     # Most neighbours hold nothing, and a value that only its own fingerprint has leads nowhere.
-    met = probes.join(sizes, "_key").filter(~own | (F.col("_size") > 1))
+    # Spark takes probes to be as large as the table they explode from, so it must not choose to broadcast them.
+    met = probes.join(sizes.hint("merge"), "_key").filter(~own | (F.col("_size") > 1))
     hits = hold(met.select("_print", "_key", own.alias("_home"), (F.col("_size") > CROWD).alias("_crowd")), "simhash-hits")
 
     entries = table.select("_key", F.col("_print").alias("_entry"))
@@ -186,9 +187,10 @@ def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFram
     known = hold(known, "simhash-roots")
     release(roots)
     least = known.groupBy("_root").agg(F.min("_least").alias("_group"))
-    labels = hold(known.join(least, "_root").select("_print", "_root", "_group"), "simhash-groups")
+    # Neither all fingerprints nor all documents fit the driver, however small their files are.
+    labels = hold(known.join(least.hint("merge"), "_root").select("_print", "_root", "_group"), "simhash-groups")
     release(known)
-    return prints.join(labels, "_print").select("_id", "_hash", "_print", "_root", "_group")
+    return prints.join(labels.hint("merge"), "_print").select("_id", "_hash", "_print", "_root", "_group")
 
 
 def hexadecimal(print_: Column) -> Column:
