@@ -196,8 +196,10 @@ def test_rows_per_document_are_never_broadcast(spark, plans):
     docs = frame(spark, [doc(k, f"text number {k} of its own {k * k}") for k in range(50)])
     groups = simhash.near_groups(docs)
     groups.collect()
-    assert "Broadcast" not in plans["simhash-groups"] + final_plan(groups)
-    assert "SortMergeJoin" in final_plan(groups)
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.count() == 50 == len(kept.collect())
+    assert "Broadcast" not in plans["simhash-groups"] + final_plan(groups) + final_plan(kept)
+    assert "SortMergeJoin" in final_plan(groups) and "SortMergeJoin" in final_plan(kept)
 
 
 def folders(spark) -> set:

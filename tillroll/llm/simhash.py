@@ -221,7 +221,7 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) ->
     release(groups)
     rows = docs.select(
         packed(docs), *_row_key(column("doc_id").cast("bigint"), F.xxhash64(column("text")))
-    ).join(chosen, key, "left_semi")
+    ).join(chosen.hint("merge"), key, "left_semi")
     # Partitioned like the join, so identical rows meet without another shuffle.
     first = F.row_number().over(Window.partitionBy(*key).orderBy("_key_hash"))
     return rows.withColumn("_nth", first).filter("_nth = 1").select(*unpacked(docs.columns, {}))
