@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 from datetime import date, datetime
+from pathlib import Path
+from time import sleep
 
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from tillroll.plans.quality import dq_schema_contract, rebuild_idempotent
 from tillroll.plans.staging import dedup_lines, stg_lines
 from tillroll.plans.warehouse import TABLES, Warehouse
 from tillroll.sources import layout
+from tillroll.sources.scratch import hold, hold_buckets, release
 from tillroll.sources.sheets import read_csv_sheet
 
 
@@ -112,6 +115,47 @@ def test_a_second_build_writes_only_what_others_are_built_from(spark):
     second.close()
 
 
+def test_a_second_build_in_turn_keeps_what_is_still_read(spark):
+    raw = raw_frame(spark, {}, {"invoice": "2", "customer_id": "8"})
+    first = Warehouse(lambda: raw)
+    second = first.again()
+    files, there = {}, {}
+
+    def watched():
+        for name, table in second.in_turn():
+            files[name] = Path(table.inputFiles()[0].removeprefix("file:"))
+            there[name] = {other for other, file in files.items() if file.exists()}
+            yield name, table
+
+    rows = rebuild_idempotent({name: first[name] for name in TABLES}, watched()).collect()
+    assert [r.table_name for r in rows] == TABLES and all(r.identical and r.rows_first == r.rows_second for r in rows)
+    assert set(files) == set(TABLES) and "raw" in there["stg"]
+    assert "raw" not in there["dim_customer"] and "stg" in there["fct_sales"] and "stg" not in there["rfm"]
+    assert not any(file.exists() for file in files.values())
+    assert first["stg"].count() == 2
+
+
+def test_a_held_table_leaves_no_shuffle_files(spark):
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def shuffles():
+        names = map(str, (blocks.getAllBlocks().apply(k) for k in range(blocks.getAllBlocks().size())))
+        return {name for name in names if name.startswith("shuffle_")}
+
+    before, switch = shuffles(), spark.conf.get(key)
+    groups = spark.range(1000).groupBy((F.col("id") % 10).alias("key")).agg(F.count("*").alias("n"))
+    held = [hold(groups, "groups"), hold_buckets(groups.repartition(4, "key"), "groups", "key", 4)]
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        sleep(0.1)
+    assert not shuffles() - before
+    assert [table.count() for table in held] == [10, 10] and spark.conf.get(key) == switch
+    for table in held:
+        release(table)
+
+
 def test_customers_of_many_days_move_orders_twice_and_changes_once(spark):
     """Past days, however many, take no join and no shuffle of their own."""
     parts = Warehouse.over(raw_frame(spark, {}, {"invoice": "2", "country": "Spain"}))["order_parts"]
